@@ -141,4 +141,6 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return read.filter("utc_micros IS NOT NULL").select("table_name", "row_no", "field", "utc_micros")
 
 
+from gridsmith.plans.oracles import ORACLES  # noqa: E402
+
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_golden, p3_found, p3_lineage, p4_found, p4_table, p5_found, p5_files, p6_found, p6_kept, p7_found)}
