@@ -104,7 +104,7 @@ def properties(p: Column) -> Column:
     """Renamed properties with processing time and file format filled in; instruments joined in upper case; lineage removed."""
     renamed = F.create_map(*[F.lit(x) for kv in RENAMED.items() for x in kv])
     instruments = F.from_json(p["instruments"], "array<string>")
-    value = lambda k, v: F.when(k == "instruments", F.when(F.size(instruments) > 0, F.array_join(F.transform(instruments, F.upper), "_"))).otherwise(v)
+    value = lambda k, v: F.when(k == "instruments", F.when(F.size(instruments) > 0, F.array_join(F.transform(instruments, lambda x: F.upper(x)), "_"))).otherwise(v)
     moved = F.transform_keys(F.transform_values(p, value), lambda k, _: F.coalesce(F.try_element_at(renamed, k), k))
     filled = lambda c: F.nullif(c, F.lit(""))
     made = F.coalesce(filled(p["odc:processing_datetime"]), filled(p["created"]), filled(p["datetime"]))

@@ -67,7 +67,7 @@ def statuses(incoming: DataFrame, catalogue: DataFrame, update: bool = False, up
     nth = F.row_number().over(Window.partitionBy("id").orderBy(seq))
     df = df.withColumn("__nth", nth)
     exists = F.coalesce(F.col("__there"), F.lit(False)) | (F.col("__nth") > 1)
-    safe = (F.col("__product").isNull() | (F.col("__product") <=> F.col("product"))) & (F.col("__region").isNull() | (F.col("__region") <=> F.col("region_code")))
+    safe = (F.col("__product").isNull() | F.col("__product").eqNullSafe(F.col("product"))) & (F.col("__region").isNull() | F.col("__region").eqNullSafe(F.col("region_code")))
     stop = F.lit(False)
     if archive_less_mature is not None:
         block = blocked(maturity_pairs(incoming, catalogue, archive_less_mature)).withColumn("__blocked", F.lit(True))
@@ -146,7 +146,7 @@ def product_sync(listed: DataFrame, definitions: DataFrame, known: DataFrame, up
     multisets; otherwise the whole entry fails. New products are added; existing ones are updated only if asked, else unchanged.
     """
     docs = definitions.groupBy("definition").agg(F.array_sort(F.collect_list("product")).alias("found"))
-    names = F.transform(F.split("names", ";"), F.trim)
+    names = F.transform(F.split("names", ";"), lambda x: F.trim(x))
     rows = listed.withColumn("names_list", F.array_sort(names)).join(docs, "definition", "left")
     good = F.coalesce(F.col("names_list") == F.col("found"), F.lit(False))
     each = rows.select(F.explode(F.when(good, F.col("names_list")).otherwise(F.array("names"))).alias("product"), good.alias("good"))
@@ -174,7 +174,7 @@ def differing_parents(embedded: DataFrame, stored: DataFrame) -> DataFrame:
     """(id): embedded parent documents that differ from the stored ones (as canonical JSON)."""
     canon = lambda c: F.to_json(F.try_parse_json(c))
     a, b = embedded.select("id", canon("doc").alias("a")), stored.select("id", canon("doc").alias("b"))
-    return a.join(b, "id").filter(~(F.col("a") <=> F.col("b"))).select("id")
+    return a.join(b, "id").filter(~F.col("a").eqNullSafe(F.col("b"))).select("id")
 
 
 def search(catalogue: DataFrame, product: str | None = None, box: tuple[float, float, float, float] | None = None, start: object = None, stop: object = None,

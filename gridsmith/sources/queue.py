@@ -41,14 +41,27 @@ def notified_objects(messages: DataFrame, body: str = "body", last_only: bool =
     return messages.select(*messages.columns, F.explode(r).alias("__r")).select(*messages.columns, F.concat(F.lit("s3://"), "__r.s3.bucket.name", F.lit("/"), "__r.s3.object.key").alias("url"))
 
 
-def batches(messages: DataFrame, order: Column | str, size: int = 10, parts: int = 64) -> DataFrame:
-    """Add ``batch``: groups of at most ``size`` consecutive messages.
+def numbered(df: DataFrame, order: str, parts: int = 64) -> DataFrame:
+    """Add ``n``: the row's number (from 1) in the order of a numeric column without ties, without one task seeing all rows.
 
-    Messages are range-partitioned by ``order`` and numbered within each part, so that no task sees all of them; the last batch of a part may be smaller.
+    Boundaries of ``parts`` ranges and the ranges' sizes (at most ``parts`` numbers each) are gathered; rows are numbered within a range.
     """
-    ranged = messages.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
+    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    ranged = df.withColumn("__part", part)
+    sizes = {r[0]: r[1] for r in ranged.groupBy("__part").count().toLocalIterator()}
+    before, total = [], 0
+    for k in range(len(cuts) + 1):
+        before.append(F.lit(total).cast("long"))
+        total += sizes.get(k, 0)
     nth = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return ranged.withColumn("batch", F.concat_ws("-", F.col("__part"), F.floor((nth - 1) / size))).drop("__part")
+    return ranged.withColumn("n", F.get(F.array(*before), F.col("__part")) + nth).drop("__part")
+
+
+def batches(messages: DataFrame, order: str, size: int = 10) -> DataFrame:
+    """Add ``batch``: consecutive messages in groups of ``size``, numbered from 0."""
+    return numbered(messages, order).withColumn("batch", F.expr(f"(n - 1) div {size}")).drop("n")
 
 
 def redrive(dead: DataFrame, live: DataFrame, order: str, limit: int | None = None, dry_run: bool = False) -> tuple[int, DataFrame, DataFrame]:
