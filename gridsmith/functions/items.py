@@ -97,7 +97,7 @@ def with_product(df: DataFrame) -> DataFrame:
 def dataset_id(df_product: Column, item_id: Column, source_id: Column) -> Column:
     """The item's id if it is a UUID, else one derived from product and source id."""
     algorithm = F.when(df_product == "s2_l2a", "sentinel-2_stac_process").otherwise(F.concat(df_product, F.lit("_stac_process")))
-    return F.when(identifiers.is_uuid(item_id), item_id).otherwise(identifiers.dataset_uuid(algorithm, "1.0.0", F.array(source_id)))
+    return F.when(identifiers.is_uuid(item_id), item_id).when(source_id.isNotNull() & df_product.isNotNull(), identifiers.dataset_uuid(algorithm, "1.0.0", F.array(source_id)))
 
 
 def properties(p: Column) -> Column:
