@@ -49,41 +49,51 @@ def statistics(lines: DataFrame, keys: list[str], payload: str = "payload") -> D
     return raw.select(*keys, "field", kind_of("raw").alias("kind")).groupBy(*keys, "field", "kind").agg(F.count("*").alias("n"))
 
 
+KINDS = ["boolean", "list", "object", "point", "text", "whole"]
+
+
 def file_schemas(lines: DataFrame, stream: str = "stream_no", file: str = "file_no", at: str = "written_at", payload: str = "payload") -> DataFrame:
-    """(stream, file, seq, field, kind): the fields of each file with their prevailing kind, files numbered per stream."""
-    stats = statistics(lines, [stream, file, at], payload)
-    per_field = stats.groupBy(stream, file, at, "field").agg(
-        F.min(F.when(F.col("kind").isNotNull(), F.struct((-F.col("n")).alias("n"), "kind"))).alias("best")
-    )
-    fields = per_field.groupBy(stream, file, at).agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("best.kind").alias("kind")))).alias("schema"))
-    # Files whose lines hold no field at all still are a step of their stream.
-    empty = lines.groupBy(stream, file, at).agg(F.lit(1).alias("one"))
-    all_files = empty.join(fields, [stream, file, at], "left").select(stream, file, at, F.coalesce("schema", F.expr("CAST(map() AS map<string,string>)")).alias("schema"))
+    """(stream, file, at, schema, before): each file's fields with their prevailing kind, beside those of the file before.
+
+    One scan; files whose lines hold no field still are a step of their stream. A field whose values are all null in a file
+    keeps its last known kind.
+    """
+    raw = lines.select(stream, file, at, F.explode_outer(path_values(F.col(payload))).alias("field", "raw"))
+    raw = raw.select(stream, file, at, "field", kind_of("raw").alias("kind"))
+    per_field = raw.groupBy(stream, file, at, "field").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS])
+    # The most frequent kind; of equal ones the alphabetically first.
+    best = F.array_max(F.array(*[F.when(F.col(f"n_{k}") > 0, F.struct(F.col(f"n_{k}").alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("kind"))) for i, k in enumerate(KINDS)]))["kind"]
+    entry = F.when(F.col("field").isNotNull(), F.struct("field", best.alias("kind")))
+    files = per_field.groupBy(stream, file, at).agg(F.map_from_entries(F.collect_list(entry)).alias("schema"))
     order = Window.partitionBy(stream).orderBy(at, file)
-    return all_files.withColumn("seq", F.row_number().over(order)).withColumn("before", F.lag("schema").over(order))
+    return files.withColumn("before", F.lag("schema").over(order))
 
 
 def changes(lines: DataFrame, stream: str = "stream_no", file: str = "file_no", at: str = "written_at", payload: str = "payload") -> DataFrame:
-    """(file, change_kind, old_field, new_field): added, removed, renamed and retyped fields against the file before."""
+    """(file, change_kind, old_field, new_field): added, removed, renamed and retyped fields against the file before.
+
+    The n-th removed spelling of a core name is paired with the n-th added one (mostly there is one of each); pairs are
+    formed by grouping on (file, core name), not by comparing fields with each other.
+    """
     steps = file_schemas(lines, stream, file, at, payload).filter("before IS NOT NULL")
-    now, old = F.map_keys("schema"), F.map_keys("before")
-    gone = steps.select(file, F.explode(F.array_except(old, now)).alias("field"), "before").select(file, "field", F.col("before")[F.col("field")].alias("kind"))
-    new = steps.select(file, F.explode(F.array_except(now, old)).alias("field"), "schema").select(file, "field", F.col("schema")[F.col("field")].alias("kind"))
-    place = Window.partitionBy(file, "core").orderBy("field")
-    # The n-th removed spelling of a core name is paired with the n-th added one; a core name mostly has one of each.
-    gone = gone.withColumn("core", core_name(F.col("field"))).withColumn("nth", F.row_number().over(place))
-    new = new.withColumn("core", core_name(F.col("field"))).withColumn("nth", F.row_number().over(place))
-    pairs = gone.withColumnsRenamed({"field": "old_field", "kind": "old_kind"}).join(
-        new.withColumnsRenamed({"field": "new_field", "kind": "new_kind"}), [file, "core", "nth"], "full"
-    )
+    now, old, no = F.map_keys("schema"), F.map_keys("before"), F.lit(None).cast("string")
+
+    def change(core: Column, f0: Column, k0: Column, f1: Column, k1: Column) -> Column:
+        return F.struct(core.alias("core"), f0.alias("f0"), k0.alias("k0"), f1.alias("f1"), k1.alias("k1"))
+
+    gone = F.transform(F.array_except(old, now), lambda f: change(core_name(f), f, F.col("before")[f], no, no))
+    new = F.transform(F.array_except(now, old), lambda f: change(core_name(f), no, no, f, F.col("schema")[f]))
+    same = F.filter(F.array_intersect(now, old), lambda f: F.col("schema")[f] != F.col("before")[f])
+    same = F.transform(same, lambda f: change(F.concat(F.lit("="), f), f, F.col("before")[f], f, F.col("schema")[f]))
+    each = steps.select(file, F.explode(F.concat(gone, new, same)).alias("c")).select(file, "c.*")
+    place = Window.partitionBy(file, "core").orderBy(F.coalesce("f0", "f1"))
+    nth = F.when(F.col("f0").isNotNull(), F.count("f0").over(place)).otherwise(F.count("f1").over(place))
+    pairs = each.withColumn("nth", nth).groupBy(file, "core", "nth").agg(*[F.max(c).alias(c) for c in ("f0", "k0", "f1", "k1")])
     kinds = F.array(
-        F.when(F.col("new_field").isNull(), "removed").when(F.col("old_field").isNull(), "added").otherwise("renamed"),
-        F.when(F.col("old_kind") != F.col("new_kind"), "retyped"),
+        F.when(F.col("f1").isNull(), "removed").when(F.col("f0").isNull(), "added").when(F.col("f0") != F.col("f1"), "renamed"),
+        F.when(F.col("k0") != F.col("k1"), "retyped"),
     )
-    moved = pairs.select(file, F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("change_kind"), F.coalesce("old_field", F.lit("")).alias("old_field"), F.coalesce("new_field", F.lit("")).alias("new_field"))
-    same = steps.select(file, F.explode(F.array_intersect(now, old)).alias("field"), "schema", "before")
-    retyped = same.filter(F.col("schema")[F.col("field")] != F.col("before")[F.col("field")]).select(file, F.lit("retyped").alias("change_kind"), F.col("field").alias("old_field"), F.col("field").alias("new_field"))
-    return moved.unionByName(retyped)
+    return pairs.select(file, F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("change_kind"), F.coalesce("f0", F.lit("")).alias("old_field"), F.coalesce("f1", F.lit("")).alias("new_field"))
 
 
 def _has_core(core: str):
