@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,12 +162,25 @@ def convex_hull(points):  # noqa: ANN001, ANN201
 
 
 def footprints(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """Convex hull of each group's points. Points pass through partial hulls of salted parts, so that no group is gathered whole."""
-    part = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("p"))
-    part = part.withColumn("salt", F.pmod(F.xxhash64("p"), F.lit(256)))
-    part = part.groupBy(group, "salt").agg(convex_hull(F.collect_set("p")).alias("h"))
-    rings = part.select(group, F.explode("h").alias("p")).groupBy(group).agg(F.collect_set("p").alias("ps"))
-    return rings.select(group, convex_hull("ps").alias("ring"))
+    """Convex hull of each group's points.
+
+    Every task first reduces each batch of points to its hulls; hulls of salted parts follow, then those of whole groups, so
+    that no step gathers a group's points.
+    """
+    points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict = {}
+            for g, px, py in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                sets.setdefault(g, set()).add((px, py))
+            out = [(g, *p) for g, ps in sets.items() for p in hull(list(ps))]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], batch.schema.field(0).type), *[pa.array([o[i] for o in out], pa.float64()) for i in (1, 2)]], names=["g", "x", "y"])
+
+    part = points.mapInArrow(reduce, points.schema).select("g", F.array("x", "y").alias("p")).withColumn("salt", F.pmod(F.xxhash64("p"), F.lit(256)))
+    part = part.groupBy("g", "salt").agg(convex_hull(F.collect_set("p")).alias("h"))
+    rings = part.select("g", F.explode("h").alias("p")).groupBy("g").agg(F.collect_set("p").alias("ps"))
+    return rings.select(F.col("g").alias(group), convex_hull("ps").alias("ring"))
 
 
 def feature_collection(df: DataFrame, x: str = "x", y: str = "y", step: int = 1) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.session import broadcast_if_small
@@ -64,9 +64,10 @@ def statuses(incoming: DataFrame, catalogue: DataFrame, update: bool = False, up
     """
     there = catalogue.select("id", F.lit(True).alias("__there"), F.col("product").alias("__product"), F.col("region_code").alias("__region")).dropDuplicates(["id"])
     df = incoming.join(there, "id", "left")
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(seq))
-    df = df.withColumn("__nth", nth)
-    exists = F.coalesce(F.col("__there"), F.lit(False)) | (F.col("__nth") > 1)
+    # Later rows of an id by an aggregation and a join (its large side can be split), not by a window that gathers the id.
+    firsts = incoming.filter("id IS NOT NULL").groupBy("id").agg(F.min(seq).alias("__first"))
+    df = df.join(firsts, "id", "left")
+    exists = F.coalesce(F.col("__there"), F.lit(False)) | F.coalesce(F.col(seq) > F.col("__first"), F.lit(False))
     safe = (F.col("__product").isNull() | F.col("__product").eqNullSafe(F.col("product"))) & (F.col("__region").isNull() | F.col("__region").eqNullSafe(F.col("region_code")))
     stop = F.lit(False)
     if archive_less_mature is not None:
@@ -84,7 +85,7 @@ def statuses(incoming: DataFrame, catalogue: DataFrame, update: bool = False, up
         .otherwise("added:")
     )
     df = df.withColumn("__r", reason).withColumn("status", F.split_part("__r", F.lit(":"), F.lit(1))).withColumn("reason", F.nullif(F.split_part("__r", F.lit(":"), F.lit(2)), F.lit("")))
-    return df.drop("__r", "__there", "__product", "__region", "__nth", "__blocked")
+    return df.drop("__r", "__there", "__product", "__region", "__first", "__blocked")
 
 
 def counts(judged: DataFrame) -> DataFrame:
@@ -99,7 +100,8 @@ def apply(judged: DataFrame, catalogue: DataFrame, now: Column, archive_less_mat
     """
     cols = catalogue.columns
     accepted = judged.filter(F.col("status").isin("added", "updated"))
-    last = accepted.withColumn("__nth", F.row_number().over(Window.partitionBy("id").orderBy(F.col(seq).desc()))).filter("__nth = 1")
+    last = accepted.groupBy("id").agg(F.max(F.struct(F.col(seq).alias("__seq"), *[F.col(c) for c in accepted.columns if c in cols and c != "id"])).alias("r"))
+    last = last.select("id", "r.*")
     last = last.select(*[F.col(c) if c in last.columns else F.lit(None).cast(catalogue.schema[c].dataType).alias(c) for c in cols])
     out = catalogue.join(last.select("id"), "id", "left_anti").select(*cols).unionByName(last)
     if archive_less_mature is not None:
