@@ -204,3 +204,21 @@ def event_attributes(action: Column | str, p: Column, collection: Column) -> Col
     product = F.coalesce(F.nullif(p["odc:product"], F.lit("")), collection)
     m = F.create_map(F.lit("action"), action, F.lit("product"), product, F.lit("datetime"), p["datetime"], F.lit("maturity"), F.nullif(p["dea:dataset_maturity"], F.lit("")))
     return F.map_filter(m, lambda k, v: (k != "maturity") | v.isNotNull())
+
+
+def tile_items(tiles: DataFrame, product: str, url: str, step: int = 1, pixels: int = 3600, band: str = "elevation") -> DataFrame:
+    """Item documents (tile, item) of a tiled global raster: one geotiff asset per tile; ``url`` has ``{tile}`` for its name.
+
+    Such rasters have no acquisition time; their items hold from 1900 to 2100.
+    """
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    size = step / pixels
+    ring = F.array(F.array(x, y), F.array(x + step, y), F.array(x + step, y + step), F.array(x, y + step), F.array(x, y))
+    grid = F.array(F.lit(size), F.lit(0.0), x, F.lit(0.0), F.lit(-size), y + step)
+    properties_ = F.struct(
+        F.lit(product).alias("odc:product"), F.col("tile").alias("odc:region_code"), F.lit(4326).alias("proj:epsg"),
+        F.lit("1900-01-01T00:00:00Z").alias("start_datetime"), F.lit("2100-01-01T00:00:00Z").alias("end_datetime"),
+    )
+    asset = F.struct(F.replace(F.lit(url), F.lit("{tile}"), F.col("tile")).alias("href"), F.lit("image/tiff; application=geotiff").alias("type"), F.array(F.lit(pixels), F.lit(pixels)).alias("proj:shape"), grid.alias("proj:transform"))
+    item = F.struct(F.col("tile").alias("id"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), properties_.alias("properties"), F.struct(asset.alias(band)).alias("assets"))
+    return tiles.select("tile", F.to_json(item).alias("item"))

@@ -198,6 +198,12 @@ def search(catalogue: DataFrame, product: str | None = None, box: tuple[float, f
     return out if limit is None else out.orderBy("center_time", "id").limit(limit)
 
 
+def view(found: DataFrame, most: int = 2000) -> tuple[int, DataFrame | None]:
+    """(count, rows): the rows of a search are only handed out if there are fewer than ``most``."""
+    n = found.count()
+    return n, found if n < most else None
+
+
 def summaries(catalogue: DataFrame, *groups: str) -> DataFrame:
     """Total, live, temporal and spatial extent per product (or other groups)."""
     groups = groups or ("product",)

@@ -103,7 +103,7 @@ def _has_core(core: str):
 def project(lines: DataFrame, target: Mapping[str, str], keys: list[str], payload: str = "payload") -> DataFrame:
     """One consistent table: a typed column per core name of ``target`` and ``failed_casts``, the fields whose value had another form.
 
-    Lists of one element and objects with one member give that element; a value that still doesn't cast is null and reported.
+    Lists give their first element, objects their member ``name`` or their only member; a value that still doesn't cast is null and reported.
     """
     raw = lines.select(*keys, path_values(F.col(payload)).alias("raw"))
     entries = F.transform(F.map_entries("raw"), lambda e: F.struct(core_name(e["key"]).alias("core"), e["key"].alias("key"), e["value"].alias("value")))
@@ -112,7 +112,8 @@ def project(lines: DataFrame, target: Mapping[str, str], keys: list[str], payloa
     for core, dtype in target.items():
         hit = F.get(F.filter("entries", _has_core(core)), F.lit(0))
         text = hit["value"].cast("string")
-        inner = F.regexp_replace(F.regexp_replace(text, r'^\[\s*"?([^",\]]*)"?\s*\]$', "$1"), r'^\{\s*"[^"]*"\s*:\s*"?([^",}]*)"?\s*\}$', "$1")
+        member = F.regexp_replace(text, r'^\{\s*"[^"]*"\s*:\s*"?([^",}]*)"?\s*\}$', "$1")
+        inner = F.coalesce(F.try_variant_get(hit["value"], "$.name", "string"), F.try_variant_get(hit["value"], "$[0]", "string"), member)
         value = inner.try_cast(dtype)
         out.append(value.alias(core))
         failed.append(F.when(text.isNotNull() & value.isNull(), hit["key"]))

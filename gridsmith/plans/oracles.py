@@ -203,6 +203,23 @@ ORACLES = {
         UNION ALL SELECT file_no, 'retyped', old_field, new_field FROM cores WHERE old_field IS NOT NULL AND new_field IS NOT NULL AND old_kind <> new_kind
         UNION ALL SELECT file_no, 'removed', old_field, '' FROM cores c WHERE new_field IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_no = c.file_no AND r.old_field = c.old_field)
         UNION ALL SELECT file_no, 'added', '', new_field FROM cores c WHERE old_field IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_no = c.file_no AND r.new_field = c.new_field)""",
+    "p4_table": r"""WITH lines AS (SELECT min(line_key) AS line_key, file_no, try_cast(payload AS json) AS j FROM metadata_line GROUP BY file_no, line_no, payload),
+        cells AS (SELECT line_key, j, unnest(json_keys(j)) AS field FROM lines WHERE json_type(j) = 'OBJECT'),
+        texts AS (
+            SELECT line_key, field, replace(regexp_replace(regexp_replace(lower(regexp_replace(field, '^.*:', '')), '^eo_|_m$', '', 'g'), 'name$', ''), '_', '') AS core,
+                CASE json_type(j, '$."' || field || '"') WHEN 'ARRAY' THEN json_extract_string(j, '$."' || field || '"[0]')
+                    WHEN 'OBJECT' THEN coalesce(json_extract_string(j, '$."' || field || '".name'), json_extract_string(j, '$."' || field || '"."' || json_keys(j, '$."' || field || '"')[1] || '"')) ELSE json_extract_string(j, '$."' || field || '"') END AS v
+            FROM cells
+        ),
+        wide AS (
+            SELECT line_key, max(v) FILTER (core = 'id') AS id, max(v) FILTER (core = 'platform') AS platform, max(v) FILTER (core = 'regioncode') AS regioncode,
+                max(v) FILTER (core = 'gsd') AS gsd, max(field) FILTER (core = 'gsd') AS gsd_field, max(v) FILTER (core = 'cloudcover') AS cloud, max(field) FILTER (core = 'cloudcover') AS cloud_field,
+                max(v) FILTER (core = 'fileformat') AS fileformat, max(v) FILTER (core = 'constellation') AS constellation
+            FROM texts GROUP BY line_key
+        )
+        SELECT l.line_key, l.file_no, id, platform, regioncode, try_cast(gsd AS double) AS gsd, try_cast(cloud AS double) AS cloudcover, fileformat, constellation,
+            concat_ws(',', CASE WHEN gsd IS NOT NULL AND try_cast(gsd AS double) IS NULL THEN gsd_field END, CASE WHEN cloud IS NOT NULL AND try_cast(cloud AS double) IS NULL THEN cloud_field END) AS failed_casts
+        FROM lines l LEFT JOIN wide w USING (line_key)""",
     "p5_found": r"""WITH pieces AS (SELECT unnest(regexp_extract_all(body, '\{[^{}]*\}')) AS piece FROM tiny_file),
         records AS (SELECT try_cast(piece AS json) AS j FROM pieces)
         SELECT DISTINCT j->>'href' AS href, trim(j->>'etag', '"') AS etag FROM records WHERE json_type(j, '$.href') = 'VARCHAR' AND json_type(j, '$.etag') = 'VARCHAR'""",

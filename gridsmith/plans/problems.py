@@ -95,7 +95,7 @@ LINE_COLUMNS = {"id": "string", "platform": "string", "regioncode": "string", "g
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
     """All lines as one typed table; ``failed_casts`` names the fields that did not fit."""
-    lines = load(spark, d, "metadata_line").dropDuplicates(["file_no", "line_no", "payload"])
+    lines = load(spark, d, "metadata_line").groupBy("file_no", "line_no", "payload").agg(F.min("line_key").alias("line_key"))
     return drift.project(lines, LINE_COLUMNS, ["line_key", "file_no"]).withColumn("failed_casts", F.array_join("failed_casts", ","))
 
 

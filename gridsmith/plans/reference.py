@@ -551,6 +551,15 @@ def items_to_datasets(s: SparkSession, d: str) -> DataFrame:
     return items.to_datasets(m, "delivery_id", "message").select("delivery_id", "id", "product", F.col("properties")["odc:region_code"].alias("region"), F.col("properties")["odc:file_format"].alias("file_format"))
 
 
+@query(f"""WITH t AS ({_tile_sql(3)}), h AS (SELECT *, sha1(unhex('{_NS}') || encode(lower('land_cover_stac_process' || chr(10) || '1.0.0' || chr(10) || chr(10) || tile))) AS h FROM t)
+    SELECT tile, {_UUID} AS id, 'land_cover' AS product, tile AS region, 's3://cover/' || tile || '.tif' AS path, 'epsg:4326' AS crs, CAST(x AS double) AS x0, CAST(y + 3 AS double) AS y0 FROM h""")
+def tile_datasets(s: SparkSession, d: str) -> DataFrame:
+    """Dataset documents of all tiles of a global raster."""
+    made = items.to_datasets(items.tile_items(geo.tiles(s, None, 3), "land_cover", "s3://cover/{tile}.tif", 3, 36000, "map"), "tile")
+    grid = F.col("grids")["default"]["transform"]
+    return made.select("tile", "id", "product", F.col("properties")["odc:region_code"].alias("region"), F.col("measurements")["map"]["path"].alias("path"), "crs", F.get(grid, F.lit(2)).alias("x0"), F.get(grid, F.lit(5)).alias("y0"))
+
+
 # --- relational surface -----------------------------------------------------------------------------------------------
 
 

@@ -209,3 +209,23 @@ def test_queue(spark):
     n = spark.createDataFrame([(body,), ("{}",)], "body string")
     assert [r["url"] for r in queue.notified_objects(n).collect()] == ["s3://b/x", "s3://b/y"]
     assert [r["url"] for r in queue.notified_objects(n, last_only=True).collect()] == ["s3://b/y"]
+
+
+def test_listing_source(spark, rows, tmp_path):
+    from gridsmith.sources import datasource
+
+    for name in ("a/x/1.json", "a/2.json", "b/3.json", "top.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("12345")
+    datasource.register(spark)
+    df = spark.read.format("object_listing").option("path", str(tmp_path)).load()
+    assert sorted(r["url"] for r in df.collect()) == sorted(f"{tmp_path}/{n}" for n in ("a/x/1.json", "a/2.json", "b/3.json", "top.json"))
+    only = df.filter(F.col("url").startswith(f"{tmp_path}/a/"))
+    assert sorted(r["size"] for r in only.collect()) == [5, 5]
+    reader = datasource.ListingReader(str(tmp_path))
+    list(reader.pushFilters([datasource.StringStartsWith(("url",), f"{tmp_path}/a/x")]))
+    assert [p.path for p in reader.partitions()] == [str(tmp_path), f"{tmp_path}/a"]
+
+
+def test_view(spark):
+    assert catalogue.view(spark.range(5), 5) == (5, None) and catalogue.view(spark.range(4), 5)[0] == 4
