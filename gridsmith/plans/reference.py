@@ -387,7 +387,7 @@ def pixel_drill(s: SparkSession, d: str) -> DataFrame:
 
     hit = _points(s, d).filter((F.col("lon") <= 10.05) & (F.col("lon") + 5 >= 10.05) & (F.col("lat") <= 20.05) & (F.col("lat") + 5 >= 20.05))
     # Drilling one point gives few datasets; they are numbered in time order.
-    return hit.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("c_nationkey", "id")).alias("n"))
+    return hit.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("c_nationkey", "id")).cast("bigint").alias("n"))
 
 
 @query("""SELECT CAST(ts + to_microseconds(CAST((user_id % 360 - 180) * 240000000 AS bigint)) AS date) AS day, count(*) AS n FROM events GROUP BY 1""")
@@ -596,7 +596,7 @@ def window_events(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return load(s, d, "events").select("event_id", "user_id", F.lag("event_id").over(w).alias("before"), F.rank().over(w).alias("r"), F.count("*").over(w.rowsBetween(-2, 0)).alias("n"))
+    return load(s, d, "events").select("event_id", "user_id", F.lag("event_id").over(w).alias("before"), F.rank().over(w).cast("bigint").alias("r"), F.count("*").over(w.rowsBetween(-2, 0)).alias("n"))
 
 
 @query("""WITH b AS (SELECT user_id, event_id AS b_id, ts AS b_ts FROM events WHERE event_type = 'click')
