@@ -100,21 +100,60 @@ def _has_core(core: str):
     return lambda e: e["core"] == core
 
 
-def project(lines: DataFrame, target: Mapping[str, str], keys: list[str], payload: str = "payload") -> DataFrame:
+#: Beyond so many properties (most frequent first) values stay in the rest map; none is lost.
+MOST_COLUMNS = 500
+
+
+def columns(lines: DataFrame, known: Mapping[str, str], reserved: list[str], payload: str = "payload") -> dict[str, str]:
+    """``known`` and a typed column for every further core name of all files, from the counts of its kinds (fields x kinds rows).
+
+    The prevailing kind decides (ties: the alphabetically first): text string, numbers bigint or, if any has a point, double, boolean,
+    lists and objects ``json`` (their whole text). Names in ``reserved`` and fields that are only null get no column.
+    """
+    per_core = statistics(lines, [], payload).filter("kind IS NOT NULL").groupBy(core_name(F.col("field")).alias("core"))
+    counts = per_core.agg(F.sum("n").alias("all"), *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in KINDS])
+    out = dict(known)
+    for r in counts.filter(~F.col("core").isin(["", *known, *reserved])).orderBy(F.desc("all"), "core").limit(MOST_COLUMNS).collect():
+        numbers = "double" if r["point"] else "bigint"
+        types = [(r["boolean"], "boolean"), (r["list"] + r["object"], "json"), (r["point"] + r["whole"], numbers), (r["text"], "string")]
+        out[r["core"]] = max(types, key=lambda t: t[0])[1]
+    return out
+
+
+def _same(value: Column, text: Column) -> Column:
+    """Whether a typed value still says all of the raw scalar ``text`` (numbers by value, unless leading zeros would go)."""
+    number = lambda c: c.try_cast("decimal(38,18)")
+    return F.coalesce((value.cast("string") == text) | ((number(value.cast("string")) == number(text)) & ~text.rlike(r"^\s*[+-]?0\d")), F.lit(False))
+
+
+def project(lines: DataFrame, target: Mapping[str, str], keys: list[str], payload: str = "payload", rest: str | None = None) -> DataFrame:
     """One consistent table: a typed column per core name of ``target`` and ``failed_casts``, the fields whose value had another form.
 
     Lists give their first element, objects their member ``name`` or their only member; a value that still doesn't cast is null and reported.
+    ``rest`` names a map from field to JSON text of all values that no typed column holds in full: fields without a column, failed
+    casts, lists and objects of which a part was taken, and a second spelling in one line. Nulls are no values.
     """
     raw = lines.select(*keys, path_values(F.col(payload)).alias("raw"))
     entries = F.transform(F.map_entries("raw"), lambda e: F.struct(core_name(e["key"]).alias("core"), e["key"].alias("key"), e["value"].alias("value")))
-    raw = raw.withColumn("entries", entries)
-    out, failed = [], []
-    for core, dtype in target.items():
-        hit = F.get(F.filter("entries", _has_core(core)), F.lit(0))
+    raw = raw.withColumn("entries", F.filter(entries, lambda e: ~F.is_variant_null(e["value"])))
+    raw = raw.select(*keys, "entries", *[F.get(F.filter("entries", _has_core(core)), F.lit(0)).alias(f"hit_{i}") for i, core in enumerate(target)])
+    out, failed, held = [], [], []
+    for i, (core, dtype) in enumerate(target.items()):
+        hit = F.col(f"hit_{i}")
         text = hit["value"].cast("string")
-        member = F.regexp_replace(text, r'^\{\s*"[^"]*"\s*:\s*"?([^",}]*)"?\s*\}$', "$1")
-        inner = F.coalesce(F.try_variant_get(hit["value"], "$.name", "string"), F.try_variant_get(hit["value"], "$[0]", "string"), member)
-        value = inner.try_cast(dtype)
+        if dtype == "json":
+            value = F.to_json(hit["value"])
+            held.append(F.when(value.isNotNull(), hit["key"]))
+        else:
+            member = F.regexp_replace(text, r'^\{\s*"[^"]*"\s*:\s*"?([^",}]*)"?\s*\}$', "$1")
+            inner = F.coalesce(F.try_variant_get(hit["value"], "$.name", "string"), F.try_variant_get(hit["value"], "$[0]", "string"), member)
+            value = inner.try_cast(dtype)
+            held.append(F.when(_same(value, text), hit["key"]))
         out.append(value.alias(core))
         failed.append(F.when(text.isNotNull() & value.isNull(), hit["key"]))
-    return raw.select(*keys, *out, F.filter(F.array(*failed), lambda x: x.isNotNull()).alias("failed_casts"))
+    failed_casts = F.filter(F.array(*failed), lambda x: x.isNotNull()).alias("failed_casts")
+    if rest is None:
+        return raw.select(*keys, *out, failed_casts)
+    typed = raw.select(*keys, *out, failed_casts, "entries", F.array_compact(F.array(*held)).alias("held"))
+    left = F.filter("entries", lambda e: ~F.array_contains("held", e["key"]))
+    return typed.withColumn(rest, F.map_from_entries(F.transform(left, lambda e: F.struct(e["key"], F.to_json(e["value"]))))).drop("entries", "held")

@@ -89,14 +89,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(load(spark, d, "metadata_line").select("stream_no", "file_no", "written_at", "payload"))
 
 
-#: The consistent table's columns by core name.
+#: The consistent table's columns of agreed type, by core name; the columns of all other properties follow from the data.
 LINE_COLUMNS = {"id": "string", "platform": "string", "regioncode": "string", "gsd": "double", "cloudcover": "double", "fileformat": "string", "constellation": "string"}
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
-    """All lines as one typed table; ``failed_casts`` names the fields that did not fit."""
-    lines = load(spark, d, "metadata_line").groupBy("file_no", "line_no", "payload").agg(F.min("line_key").alias("line_key"))
-    return drift.project(lines, LINE_COLUMNS, ["line_key", "file_no"]).withColumn("failed_casts", F.array_join("failed_casts", ","))
+    """All lines as one typed table of all properties; ``failed_casts`` names the fields that did not fit, ``rest`` holds what no column does."""
+    source, keys = load(spark, d, "metadata_line"), ["line_key", "file_no"]
+    lines = source.groupBy("file_no", "line_no", "payload").agg(F.min("line_key").alias("line_key"))
+    target = drift.columns(source, LINE_COLUMNS, [*keys, "failed_casts", "rest"])
+    return drift.project(lines, target, keys, rest="rest").withColumn("failed_casts", F.array_join("failed_casts", ","))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

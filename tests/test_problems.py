@@ -1,9 +1,12 @@
 import json
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridsmith.operators import changefeed, dedup, drift, nested, survivorship
+from gridsmith.plans import problems
 from gridsmith.sources import archive
 
 CHANGES = "key string, instant long, tie long, live boolean"
@@ -152,6 +155,51 @@ def test_drift_project(spark):
     assert got == [(0, 30.0, "p", 5.0, []), (1, None, None, None, ["gsd_m"]), (2, None, None, None, [])]
 
 
+def test_drift_keeps_every_value(spark):
+    data = [
+        (1, 1, 0, 1, '{"gsd":"10","n:count":3,"platform":{"name":"p","serial":7},"proj:shape":[4,5],"ok":true,"void":null}'),
+        (1, 2, 0, 2, '{"gsd":"x","eo:gsd":20.5,"count":"007","shape":[6],"ok":false,"late":{"a":[1]}}'), (1, 2, 1, 2, '{"gsd":12.5,"count":9}'),
+    ]
+    df = lines(spark, data)
+    target = drift.columns(df, {"gsd": "double", "platform": "string"}, ["file_no", "line_no", "rest"])
+    assert target == {"gsd": "double", "platform": "string", "count": "bigint", "ok": "boolean", "shape": "json", "late": "json"}
+    got = {(r["file_no"], r["line_no"]): r.asDict() for r in drift.project(df, target, ["file_no", "line_no"], rest="rest").collect()}
+    first, second, third = got[1, 0], got[2, 0], got[2, 1]
+    assert (first["gsd"], first["count"], first["platform"], first["shape"], first["ok"], first["failed_casts"]) == (10.0, 3, "p", "[4,5]", True, [])
+    assert {k: json.loads(v) for k, v in first["rest"].items()} == {"platform": {"name": "p", "serial": 7}}
+    assert (second["gsd"] is None, second["count"], second["late"], second["failed_casts"]) == (True, 7, '{"a":[1]}', ["gsd"])
+    assert {k: json.loads(v) for k, v in second["rest"].items()} == {"gsd": "x", "eo:gsd": 20.5, "count": "007"}
+    assert (third["gsd"], third["count"], third["rest"]) == (12.5, 9, {})
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_whole_line_table(spark):
+    """Every non-null value of every line is in its column or in the rest map, and the columns of the SQL have the SQL's rows."""
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    t = problems.p4_table(spark, d)
+    rows = t.collect()
+    cores = set(t.columns) - {"line_key", "file_no", "failed_casts", "rest"}
+    payload = {r["line_key"]: json.loads(r["payload"]) for r in spark.read.parquet(f"{d}/metadata_line.parquet").collect()}
+    names = sorted({f for p in payload.values() for f in p})
+    core = dict(zip(names, spark.createDataFrame([(f,) for f in names], "f string").select(drift.core_name(F.col("f"))).toPandas().iloc[:, 0]))
+    assert cores == {*core.values()} | set(problems.LINE_COLUMNS) and len(cores) > len(problems.LINE_COLUMNS)
+    for r in rows:
+        for field, v in payload[r["line_key"]].items():
+            if v is None:
+                continue
+            if field in r["rest"]:
+                assert json.loads(r["rest"][field]) == v
+            else:
+                got = r[core[field]]
+                assert json.loads(got) == v if isinstance(v, (list, dict)) else str(got) == str(v) or float(got) == float(v)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW metadata_line AS SELECT * FROM read_parquet('{d}/metadata_line.parquet')")
+    want = db.sql(problems.ORACLES["p4_table"])
+    assert sorted((tuple(r[c] for c in want.columns) for r in rows), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_drift_empty(spark):
     assert drift.changes(lines(spark, [])).count() == 0
 
