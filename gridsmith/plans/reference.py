@@ -272,8 +272,7 @@ def lineage_missing(s: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH d AS (SELECT unnest(CASE WHEN json_type(try_cast(doc AS json)) = 'OBJECT' AND json_type(try_cast(doc AS json), '$.datasets') IS NULL THEN [try_cast(doc AS json)] ELSE [] END) AS ds FROM odc_document)
     SELECT ds->>'$.product.name' AS product, count(*) AS n FROM d WHERE json_type(ds, '$.id') = 'VARCHAR' GROUP BY 1""")
 def count_by_product(s: SparkSession, d: str) -> DataFrame:
-    doc = F.try_parse_json("doc")
-    one = load(s, d, "odc_document").select(F.try_variant_get(doc, "$.id", "string").alias("id"), F.try_variant_get(doc, "$.product.name", "string").alias("product"))
+    one = nested.flatten(load(s, d, "odc_document").select("doc_no", "href", "doc"))["dataset"].select(F.col("dataset_id").alias("id"), "product")
     return one.filter("id IS NOT NULL").groupBy("product").agg(F.count("*").alias("n"))
 
 

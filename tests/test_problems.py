@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridsmith.operators import changefeed, dedup, drift, nested, survivorship
-from gridsmith.plans import problems
+from gridsmith.plans import problems, reference
 from gridsmith.sources import archive
 
 CHANGES = "key string, instant long, tie long, live boolean"
@@ -116,6 +116,25 @@ def test_nested_tables(spark, rows):
         assert all(r["dataset_pre"] < r["pre"] < r["post"] < sets[r["doc_no"], r["dataset_pre"]] for r in tables[t].collect())
 
 
+def test_count_by_product_reads_every_form(spark, tmp_path):
+    one = lambda n, product: {"id": f"d{n}", "product": product}
+    texts = [json.dumps(x) for x in (one(1, {"name": "a"}), [one(2, {"name": "a"}), one(3, {"name": "b"})], {"datasets": [one(4, "a"), one(5, {"name": "b"})]}, {"product": "a"}, one(6, None))]
+    df = spark.createDataFrame([(i, "s3://b/doc.json", t) for i, t in enumerate(["\ufeff" + texts[0], *texts[1:], "{", None])], "doc_no long, href string, doc string")
+    df.write.parquet(f"{tmp_path}/odc_document.parquet")
+    assert {r["product"]: r["n"] for r in reference.count_by_product(spark, str(tmp_path)).collect()} == {"a": 3, "b": 2, None: 1}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_count_by_product_against_unnested_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW odc_document AS SELECT * FROM read_parquet('{d}/odc_document.parquet')")
+    sql = f"{reference._DOCS} SELECT CASE WHEN json_type(ds->'product') = 'OBJECT' THEN ds->>'$.product.name' ELSE ds->>'product' END AS product, count(*) AS n FROM datasets WHERE json_type(ds, '$.id') = 'VARCHAR' GROUP BY 1"
+    assert sorted(map(tuple, reference.count_by_product(spark, d).collect())) == sorted(db.sql(sql).fetchall())
+
+
 def test_nested_empty(spark):
     df = spark.createDataFrame([], "doc_no long, href string, doc string")
     assert nested.measurement_grids(df).count() == 0
