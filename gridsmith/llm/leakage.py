@@ -5,11 +5,13 @@ The test items' word n-grams form a hash set that every task gets; the items are
 words (invisible characters, escapes, entities, markup, comment signs and joins of string pieces fall away), looks up
 all windows of ``SEED`` words at once, and verifies hits in two exact steps.
 
-A leak is a span of ``SPAN`` successive words of an item with at most ``EDITS`` words changed, dropped or added. Its at least
-27 unchanged words lie in at most four runs, so one run has seven words or more: windows of seven words miss no leak.
-Longer spans with one edit in ten contain such a span. Verification first counts, around each seed, the item's words
-that occur in the document within the possible shift (at least 27 in some span of 30), then computes the edit distance of each span of
-30 words bit-parallel. No shuffle; no pair is capped.
+A leak is a span of ``SPAN`` or more successive words of an item with at most one in ten changed, dropped or added. It is
+enough to try the lengths of ``SPANS``: a span of 30 to 39 words has at most three edits and its first 30 words no more, and so
+for 40 and 50; one of 60 or more can be cut in two parts of at least 30 words of which one has at most one edit in ten. At
+least 27 unchanged words lie in at most four runs, 36 in five or 45 in six, so one run has seven words or more: windows of seven
+words miss no leak. Verification first counts, around each seed, the item's words that occur in the document within the
+possible shift (all but the edits in some span), then computes the edit distance of each such span bit-parallel. No
+shuffle; no pair is capped.
 
 Defined results: null and empty texts and items of fewer than ``SPAN`` words give no rows; each (document row, item) is
 reported once; repeated document rows give repeated rows; an empty item table gives no rows.
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEED, SPAN, EDITS = 7, 30, 3
+#: Lengths of spans with the edits they may have; any longer leak holds one of these.
+SPANS = [(SPAN + 10 * k, EDITS + k) for k in range(3)]
 BLOCK_ITEMS = 20_000
 SLICE_CHARS = 4_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -135,6 +139,31 @@ def within(pattern: list[int], text: list[int], most: int) -> bool:
     return False
 
 
+def _verify(items: Items, ids: np.ndarray, doc: np.ndarray, p: np.ndarray, j: np.ndarray, span: int, edits: int, found: set[tuple[int, int]]) -> None:
+    """Add to ``found`` the pairs with ``span`` words of the item within ``edits`` edits around a seed at ``p`` and ``j``."""
+    reach = np.arange(-(span - SEED), span + edits)
+    for at in range(0, len(p), 20_000):
+        ps, js = p[at : at + 20_000], j[at : at + 20_000]
+        item = items.stream[js[:, None] + reach]
+        item = np.where(items.owner[js[:, None] + reach] == items.owner[js][:, None], item, -1)
+        near = np.zeros(item.shape, dtype=bool)
+        for s in range(-edits, edits + 1):
+            near |= (ids[np.clip(ps[:, None] + reach + s, 0, len(ids) - 1)] == item) & (item > 0)
+        covered = np.concatenate([np.zeros((len(ps), 1), dtype=np.int32), np.cumsum(near, axis=1, dtype=np.int32)], axis=1)
+        spans = covered[:, span:] - covered[:, :-span]
+        whole = (item[:, : item.shape[1] - span + 1] >= 0) & (item[:, span - 1 :] >= 0)
+        for k in np.flatnonzero(((spans >= span - edits) & whole).any(axis=1)):
+            pair = (int(doc[ps[k]]), int(items.owner[js[k]]))
+            if pair in found:
+                continue
+            text_lo, text_hi = max(0, ps[k] + reach[0] - 2 * edits), ps[k] + reach[-1] + 2 * edits + 1
+            text = np.where(doc[text_lo:text_hi] == doc[ps[k]], ids[text_lo:text_hi], -1).tolist()
+            for a in np.flatnonzero((spans[k] >= span - edits) & whole[k]):
+                if within(item[k, a : a + span].tolist(), text, edits):
+                    found.add(pair)
+                    break
+
+
 def leaks(items: Items, ids: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
     """(document index, item index) of all leaks; ``ids`` are word ids with gaps between documents, ``doc`` their owners."""
     if not len(items.codes):
@@ -151,28 +180,9 @@ def leaks(items: Items, ids: np.ndarray, doc: np.ndarray) -> list[tuple[int, int
     # Of successive seeds on one diagonal only the first is needed.
     first = (ids[np.maximum(p - 1, 0)] != items.stream[j - 1]) | (ids[np.maximum(p - 1, 0)] <= 0)
     p, j = p[first], j[first]
-    reach = np.arange(-(SPAN - SEED), SPAN + EDITS)
     found: set[tuple[int, int]] = set()
-    for at in range(0, len(p), 20_000):
-        ps, js = p[at : at + 20_000], j[at : at + 20_000]
-        item = items.stream[js[:, None] + reach]
-        item = np.where(items.owner[js[:, None] + reach] == items.owner[js][:, None], item, -1)
-        near = np.zeros(item.shape, dtype=bool)
-        for s in range(-EDITS, EDITS + 1):
-            near |= (ids[np.clip(ps[:, None] + reach + s, 0, len(ids) - 1)] == item) & (item > 0)
-        covered = np.concatenate([np.zeros((len(ps), 1), dtype=np.int32), np.cumsum(near, axis=1, dtype=np.int32)], axis=1)
-        spans = covered[:, SPAN:] - covered[:, :-SPAN]
-        whole = (item[:, : item.shape[1] - SPAN + 1] >= 0) & (item[:, SPAN - 1 :] >= 0)
-        for k in np.flatnonzero(((spans >= SPAN - EDITS) & whole).any(axis=1)):
-            pair = (int(doc[ps[k]]), int(items.owner[js[k]]))
-            if pair in found:
-                continue
-            text_lo, text_hi = max(0, ps[k] + reach[0] - 2 * EDITS), ps[k] + reach[-1] + 2 * EDITS + 1
-            text = np.where(doc[text_lo:text_hi] == doc[ps[k]], ids[text_lo:text_hi], -1).tolist()
-            for a in np.flatnonzero((spans[k] >= SPAN - EDITS) & whole[k]):
-                if within(item[k, a : a + SPAN].tolist(), text, EDITS):
-                    found.add(pair)
-                    break
+    for span, edits in SPANS:
+        _verify(items, ids, doc, p, j, span, edits, found)
     return sorted(found)
 
 

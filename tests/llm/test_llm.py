@@ -84,6 +84,19 @@ def test_leaks_against_brute_force(spark):
     assert leakage.clean(d, t).count() == d.count() - len({i for i, _ in want})
 
 
+def test_longer_leaks_with_one_edit_in_ten(spark):
+    w = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)]
+    hit = lambda n, at: " ".join("changed" if k in at else x for k, x in enumerate(w[:n]))
+    more = {11: "one", 17: "two", 23: "three", 29: "four"}
+    docs = {
+        1: hit(40, (10, 16, 22, 29)), 2: hit(45, (15, 18, 22, 29)), 3: hit(50, (20, 22, 24, 26, 29)), 4: hit(40, (10, 16, 20, 22, 29)), 5: hit(39, (10, 16, 22, 28)),
+        6: " ".join(x for k, x in enumerate(w[:40]) if k not in more), 7: " ".join(f"{more.get(k, '')} {x}" for k, x in enumerate(w[:40])),
+    }
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    t = spark.createDataFrame([(1, " ".join(w))], "item_id long, item_text string")
+    assert sorted(r["doc_id"] for r in leakage.leaked(d, t).collect()) == [1, 2, 3, 6, 7]
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_ITEMS", 2)
     w = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
