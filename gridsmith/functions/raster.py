@@ -82,20 +82,29 @@ def geometric_median(vectors: np.ndarray, eps: float = 1e-4, most: int = 200) ->
     return m
 
 
-def geomedian_over(df: DataFrame, group: str, vector: str, steps: int = 12, eps: float = 1e-4) -> DataFrame:
+def geomedian_over(df: DataFrame, group: str, vector: str, steps: int = 200, eps: float = 1e-4) -> DataFrame:
     """Geometric median per group of any size: each Weiszfeld step is one aggregation of weighted sums (JVM side).
 
-    ``steps`` bounds the passes; groups that have converged within ``eps`` no longer move.
+    Passes end once every group has moved by less than ``eps`` (groups with NaN don't count); a group that still moves after
+    ``steps`` passes is an error.
     """
-    rows = df.filter(F.col(vector).isNotNull()).select(group, F.posexplode(vector).alias("i", "v"), F.monotonically_increasing_id().alias("row"))
+    # The row's number is given before its elements are taken apart, so that they share one weight.
+    rows = df.filter(F.col(vector).isNotNull()).withColumn("row", F.monotonically_increasing_id()).select(group, F.posexplode(vector).alias("i", "v"), "row")
     centre = rows.groupBy(group, "i").agg(F.avg("v").alias("m"))
     from gridsmith.session import materialise
 
     rows = materialise(rows, "geomedian-rows")
+    shift = F.nanvl(F.sqrt(F.sum((F.col("m") - F.col("before")) ** 2)), F.lit(0.0)).alias("shift")
     for _ in range(steps):
+        before = centre.select(group, "i", F.col("m").alias("before"))
         near = rows.join(centre, [group, "i"])
         weight = near.groupBy(group, "row").agg((1 / F.greatest(F.sqrt(F.sum((F.col("v") - F.col("m")) ** 2)), F.lit(1e-12))).alias("w"))
         centre = materialise(rows.join(weight, [group, "row"]).groupBy(group, "i").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m")), "geomedian")
+        moved = centre.join(before, [group, "i"]).groupBy(group).agg(shift).agg(F.max("shift")).first()[0]
+        if moved is None or moved < eps:
+            break
+    else:
+        raise RuntimeError(f"geometric median: a group still moves after {steps} steps")
     return centre.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("median"))
 
 

@@ -486,7 +486,7 @@ def pixel_bounds(s: SparkSession, d: str) -> DataFrame:
 @query()
 def geomedian_by_label(s: SparkSession, d: str) -> DataFrame:
     e = load(s, d, "embeddings").select("label", F.col("embedding").cast(T.ArrayType(T.DoubleType())).alias("v"))
-    return raster.geomedian_over(e, "label", "v", steps=6)
+    return raster.geomedian_over(e, "label", "v", eps=1e-9)
 
 
 # --- documents --------------------------------------------------------------------------------------------------------

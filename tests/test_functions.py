@@ -83,6 +83,17 @@ def test_geo(spark):
     assert geo.project_geometry(g, 32632)["type"] == "Polygon" and geo.project_geometry(g, 3577) is None
 
 
+def test_geomedian_over_converges(spark):
+    far = [[0.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.2, 1.1], [900.0, 700.0], [800.0, 950.0]]
+    near = [[0.0, 0.0], [0.0, 2.0], [2.0, 0.0], [2.0, 2.0]]
+    df = spark.createDataFrame([("far", v) for v in far] + [("near", v) for v in near] + [("near", None)], "g string, v array<double>")
+    got = {r["g"]: np.array(r["median"]) for r in raster.geomedian_over(df, "g", "v", eps=1e-5).collect()}
+    assert np.abs(got["far"] - raster.geometric_median(np.array(far), eps=1e-12, most=10_000)).max() < 1e-3
+    assert np.abs(got["near"] - 1.0).max() < 1e-9
+    with pytest.raises(RuntimeError):
+        raster.geomedian_over(df, "g", "v", steps=3)
+
+
 def test_raster(spark):
     df = spark.createDataFrame([(0.0,), (20.0,), (90.0,), (-9.0,)], "v double")
     assert [tuple(r[0]) for r in df.select(raster.rgba(F.col("v"), F.col("v"), F.col("v"), F.lit(40.0), F.lit(-9.0))).collect()] == [(0, 0, 0, 255), (127, 127, 127, 255), (255, 255, 255, 255), (0, 0, 0, 0)]
