@@ -88,7 +88,7 @@ def record_path_match(s: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT file_no, substr(href, 6) AS key FROM tiny_file WHERE starts_with(substr(href, 6), 'tn-lists/') AND href LIKE '%.json' AND href LIKE '%day=2017%' AND regexp_matches(substr(href, 6), '^(?:tn-lists/[a-z]+_s2)')")
 def inventory_filter(s: SparkSession, d: str) -> DataFrame:
-    rows = objects(s, d).select("file_no", F.substring("url", 6, 1000).alias("key"))
+    rows = objects(s, d).select("file_no", F.substr(F.col("url"), F.lit(6)).alias("key"))
     return listing.key_filter(rows, "key", "/tn-lists/", ".json", "day=2017", regex="tn-lists/[a-z]+_s2")
 
 
@@ -514,7 +514,7 @@ def tar_round_trip(s: SparkSession, d: str) -> DataFrame:
     import uuid
 
     out = f"{shared_dir(s)}/tars-{uuid.uuid4().hex}"
-    f = load(s, d, "tiny_file").select(F.concat_ws("#", "file_no", F.substring("href", 6, 1000)).alias("name"), F.col("body").alias("content"))
+    f = load(s, d, "tiny_file").select(F.concat_ws("#", "file_no", F.substr(F.col("href"), F.lit(6))).alias("name"), F.col("body").alias("content"))
     docs.write_tars(f, out).agg(F.sum("n")).first()
     m = docs.tar_members(s, f"{out}/*.tar.gz")
     return m.select(F.split_part("name", F.lit("#"), F.lit(1)).cast("bigint").alias("file_no"), F.concat(F.lit("s3://"), F.regexp_replace("name", "^[0-9]+#", "")).alias("name"), F.md5("content").alias("digest"))

@@ -140,6 +140,14 @@ def test_nested_empty(spark):
     assert nested.measurement_grids(df).count() == 0
 
 
+def test_long_object_keys(spark, tmp_path):
+    key = "tn-lists/ls_s2/day=2017/" + "k" * 1500 + ".json"
+    df = spark.createDataFrame([(1, f"s3://{key}", "{}")], "file_no long, href string, body string").withColumn("n_bytes", F.lit(2)).withColumn("written_at", F.lit(None).cast("timestamp"))
+    df.write.parquet(f"{tmp_path}/tiny_file.parquet")
+    assert [tuple(r) for r in reference.inventory_filter(spark, str(tmp_path)).collect()] == [(1, key)]
+    assert [r["name"] for r in reference.tar_round_trip(spark, str(tmp_path)).collect()] == [f"s3://{key}"]
+
+
 def test_resolve():
     assert nested.resolve("s3://b/a/doc.json", "x/./y/../z.tif") == "s3://b/a/x/z.tif"
     assert nested.resolve("s3://b/doc.json", "../../z.tif") == "s3://b/z.tif"
