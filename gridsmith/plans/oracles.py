@@ -7,7 +7,6 @@ from functools import cache
 from zoneinfo import ZoneInfo
 
 from gridsmith.functions.timestamps import ABBREVIATIONS, MONTHS
-from gridsmith.operators.survivorship import MISSING_WORDS
 
 # The clocks of the producers.
 ZONES = ["Africa/Nairobi", "America/Denver", "Asia/Kolkata", "Australia/Sydney", "Europe/Berlin", "Pacific/Auckland", "UTC"]
@@ -99,35 +98,6 @@ keyed AS (
 ),
 ranked AS (SELECT *, CASE WHEN k IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY k ORDER BY utc NULLS LAST, delivery_id) END AS place FROM keyed)"""
 
-_MISSING = ", ".join(f"'{w}'" for w in MISSING_WORDS)
-_RANK = "CASE lower(trim(maturity)) WHEN 'final' THEN 0 WHEN 'interim' THEN 1 WHEN 'nrt' THEN 2 ELSE 3 END"
-_SCENES = f"""WITH {instants('''SELECT record_no AS row_key, 'taken' AS field, datetime_text AS text, product FROM dataset_record
-        UNION ALL SELECT record_no, 'processed', processing_datetime_text, product FROM dataset_record''')},
-taken AS (SELECT row_key AS record_no, utc FROM read WHERE field = 'taken'),
-processed AS (SELECT row_key AS record_no, utc FROM read WHERE field = 'processed'),
-regions AS (
-    SELECT *, regexp_extract(upper(trim(region_code)), '^P?(\\d{{1,3}})[^0-9A-Z]*R?(\\d{{1,3}})$', ['p', 'r']) AS pr,
-        regexp_replace(regexp_replace(upper(trim(region_code)), '[^0-9A-Z]', '', 'g'), '^(MGRS)?T?(\\d)', '\\2') AS sq
-    FROM dataset_record
-),
-scenes AS (
-    SELECT r.*, p.utc AS processed, CASE WHEN pr.p <> '' THEN lpad(pr.p, 3, '0') || lpad(pr.r, 3, '0') WHEN regexp_full_match(sq, '\\d{{1,2}}[A-Z]{{3}}') THEN lpad(sq, 5, '0') END AS region,
-        CAST(floor(t.utc / 1000000) AS bigint) AS second
-    FROM regions r JOIN taken t USING (record_no) JOIN processed p USING (record_no)
-),
-grouped AS (
-    SELECT *, min(record_no) OVER g AS group_no, count(*) OVER g AS n FROM scenes
-    WHERE region IS NOT NULL AND second IS NOT NULL AND product IS NOT NULL WINDOW g AS (PARTITION BY product, region, second)
-),
-entries AS (
-    SELECT group_no, 'platform' AS field, record_no, maturity, processed, platform AS v FROM grouped WHERE n > 1 AND lower(trim(platform)) NOT IN ({_MISSING})
-    UNION ALL SELECT group_no, 'crs', record_no, maturity, processed, crs FROM grouped WHERE n > 1 AND lower(trim(crs)) NOT IN ({_MISSING})
-    UNION ALL SELECT group_no, 'href', record_no, maturity, processed, href FROM grouped WHERE n > 1 AND lower(trim(href)) NOT IN ({_MISSING})
-    UNION ALL SELECT group_no, 'gsd', record_no, maturity, processed, CAST(gsd AS varchar) FROM grouped WHERE n > 1 AND gsd > 0 AND NOT isnan(gsd)
-    UNION ALL SELECT group_no, 'cloud_cover', record_no, maturity, processed, CAST(cloud_cover AS varchar) FROM grouped WHERE n > 1 AND cloud_cover BETWEEN 0 AND 100 AND NOT isnan(cloud_cover)
-),
-best AS (SELECT *, row_number() OVER (PARTITION BY group_no, field ORDER BY {_RANK}, processed DESC NULLS LAST, record_no) AS place FROM entries)"""
-
 _DATASETS = r"""WITH parsed AS (SELECT doc_no, href, try_cast(ltrim(doc, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS json) AS j FROM odc_document),
 datasets AS (
     SELECT doc_no, href, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN j->'$[*]' WHEN json_type(j->'datasets') = 'ARRAY' THEN j->'$.datasets[*]' ELSE [j] END) AS ds FROM parsed WHERE j IS NOT NULL
@@ -145,11 +115,6 @@ ORACLES = {
             WHERE dataset_id <> '' AND utc IS NOT NULL AND action IN ('', 'ADDED', 'UPDATED', 'ARCHIVED')
         )
         SELECT dataset_id, delivery_id FROM last WHERE place = 1 AND action <> 'ARCHIVED'""",
-    "p2_found": f"{_SCENES} SELECT group_no, field, record_no FROM best WHERE place = 1",
-    "p2_golden": f"""{_SCENES}
-        SELECT g.group_no, g.product, g.region, max(v) FILTER (b.field = 'platform') AS platform, CAST(max(v) FILTER (b.field = 'gsd') AS double) AS gsd,
-            CAST(max(v) FILTER (b.field = 'cloud_cover') AS double) AS cloud_cover, max(v) FILTER (b.field = 'crs') AS crs, max(v) FILTER (b.field = 'href') AS href
-        FROM (SELECT DISTINCT group_no, product, region FROM grouped WHERE n > 1) g LEFT JOIN best b ON b.group_no = g.group_no AND b.place = 1 GROUP BY ALL""",
     "p3_found": rf"""{_DATASETS},
         measurements AS (
             SELECT doc_no, href, ds, unnest(json_keys(ds->'measurements')) AS band, NULL AS item FROM numbered WHERE json_type(ds->'measurements') = 'OBJECT'

@@ -1,4 +1,4 @@
-"""Queries of the general data-preparation problems (P1-P7) over the tables of the domain."""
+"""Queries of the general data-preparation problems (P1, P3-P7) over the tables of the domain."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsmith.functions.timestamps import is_canonical, with_instant
-from gridsmith.operators import changefeed, dedup, drift, nested, survivorship
+from gridsmith.operators import changefeed, dedup, drift, nested
 from gridsmith.session import broadcast_if_small, load, materialise
 from gridsmith.sources import archive
 
@@ -38,42 +38,6 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.live_rows(changes).select(F.col("key").alias("dataset_id"), F.col("tie").alias("delivery_id"))
 
 
-def _scenes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    df = load(spark, d, "dataset_record").select("record_no", "product", "region_code", "datetime_text", "processing_datetime_text", "maturity", *columns)
-    df = df.join(clocks(spark, d), "product", "left")
-    df = with_instant(df, "datetime_text", "taken", "zone", "date_order")
-    df = with_instant(df, "processing_datetime_text", "processed", "zone", "date_order")
-    df = df.withColumn("region", survivorship.region_key(F.col("region_code"))).withColumn("second", F.expr("CAST(floor(taken / 1000000) AS bigint)"))
-    return df.filter("product IS NOT NULL AND region IS NOT NULL AND second IS NOT NULL")
-
-
-SCENE_FIELDS = ["platform", "gsd", "cloud_cover", "crs", "href"]
-
-
-def _present() -> dict:
-    tests = {c: survivorship.text_present(F.col(c)) for c in ("platform", "crs", "href")}
-    tests["gsd"] = survivorship.number_present(F.col("gsd"), F.col("gsd") > 0)
-    tests["cloud_cover"] = survivorship.number_present(F.col("cloud_cover"), F.col("cloud_cover").between(0, 100))
-    return {c: tests[c] for c in SCENE_FIELDS}
-
-
-def scene_survivors(spark: SparkSession, d: str) -> DataFrame:
-    df = _scenes(spark, d, *SCENE_FIELDS)
-    best = survivorship.survivors(df, ["product", "region", "second"], _present(), survivorship.maturity_rank(F.col("maturity")), F.col("processed"), "record_no")
-    return best.filter("first_record < last_record")
-
-
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Of each group of records of one scene and each field, the record whose value survives."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{c}.record").alias("record_no")) for c in SCENE_FIELDS])).alias("e")
-    return scene_survivors(spark, d).select(F.col("first_record").alias("group_no"), each).select("group_no", "e.*").filter("record_no IS NOT NULL")
-
-
-def p2_golden(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving record built field by field."""
-    return scene_survivors(spark, d).select(F.col("first_record").alias("group_no"), "product", "region", *[F.col(f"{c}.value").alias(c) for c in SCENE_FIELDS])
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Measurements with their path and grid, linked by interval containment."""
     return nested.measurement_grids(load(spark, d, "odc_document").select("doc_no", "href", "doc"))
@@ -145,4 +109,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 from gridsmith.plans.oracles import ORACLES  # noqa: E402
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_golden, p3_found, p3_lineage, p4_found, p4_table, p5_found, p5_files, p6_found, p6_kept, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_lineage, p4_found, p4_table, p5_found, p5_files, p6_found, p6_kept, p7_found)}

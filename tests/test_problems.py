@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridsmith.operators import changefeed, dedup, drift, nested, survivorship
+from gridsmith.operators import changefeed, dedup, drift, nested
 from gridsmith.plans import problems, reference
 from gridsmith.sources import archive
 
@@ -69,30 +69,6 @@ def test_deletion_vectors_empty_table(spark, tmp_path):
     assert dedup.apply_vectors(src, bits, ["n"], keep=False).count() == 0
 
 
-def test_survivors(spark):
-    data = [
-        (3, "g", "final", 10, "x"), (2, "g", "final", 10, "y"), (1, "g", "nrt", 99, "z"), (4, "g", " FINAL ", None, "w"),
-        (5, "h", None, None, "-"), (6, "h", "nrt", 1, " unknown "), (7, "i", "final", 1, "alone"), (2, "g", "final", 10, "y"),
-    ]
-    df = spark.createDataFrame(data, "record long, g string, maturity string, at long, v string").withColumn("first", F.lit(1))
-    got = survivorship.survivors(df, ["g"], {"v": survivorship.text_present(F.col("v"))}, survivorship.maturity_rank(F.col("maturity")), F.col("at"), "record")
-    out = {r["g"]: (r["first_record"], r["last_record"], r["v"] and tuple(r["v"])) for r in got.collect()}
-    assert out == {"g": (1, 4, (2, "y")), "h": (5, 6, None), "i": (7, 7, (7, "alone"))}
-
-
-def test_region_key(spark):
-    same = ["01JGK", "MGRS-01JGK", "T01JGK", "01J GK", "01-J-GK", "t01jgk ", "1JGK"]
-    paths = ["002199", " 002199", "002_199", "P002_R199", "p002r199", "2/199", "002-199"]
-    df = spark.createDataFrame([(x,) for x in [*same, *paths, "", "??", None]], "r string")
-    got = [r[0] for r in df.select(survivorship.region_key(F.col("r"))).collect()]
-    assert got == ["01JGK"] * len(same) + ["002199"] * len(paths) + [None] * 3
-
-
-def test_number_present(spark):
-    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (-1.0,)], "v double")
-    assert [r[0] for r in df.select(survivorship.number_present(F.col("v"), F.col("v") > 0)).collect()] == [True, False, False, False]
-
-
 DOC = {
     "id": "d1", "label": None, "product": {"name": "p"}, "crs": "epsg:1",
     "grids": {"default": {"shape": ["10", "20"], "transform": [[1, 0, "5.0"], [0, -1, 7], [0, 0, 1]]}, "g2": {"shape": [1, 2], "transform": [1, 0, 3, 0, 1, 4]}},

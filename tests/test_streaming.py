@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from gridsmith.operators import changefeed, dedup, survivorship
+from gridsmith.operators import changefeed, dedup
 from gridsmith.sources import queue
 from gridsmith.streaming import indexer
 
@@ -52,5 +52,3 @@ def test_hot_keys(spark, rows):
     assert live.count() == 20001 and live.filter("key = 'hot'").first()["tie"] == last
     first = dedup.first_by_key(df, "key", [F.col("instant"), F.col("tie")], ["tie"])
     assert first.count() == 20001
-    best = survivorship.survivors(df.withColumn("v", F.lit("x")), ["key"], {"v": F.lit(True)}, F.lit(0), F.col("instant"), "tie")
-    assert best.filter("key = 'hot'").first()["v"]["record"] == last
