@@ -2,10 +2,21 @@
 
 Texts are cut into pieces at white space (an optional leading space stays with its piece) and pieces into words by the
 tokenizer's own pattern. The merges are done in DuckDB, inside each task: token-position rows of all words that the
-worker has not met yet join the merge table in a recursive query, which contracts each word's leftmost pair of least rank
-(together with its further, non-overlapping occurrences: a merge can only create pairs of greater rank, so contracting
-them one at a time gives the same result) until no pair is left; an ordered aggregation gives the words' ids. A worker
-keeps the ids of pieces it has met, at most ``MEMO_PIECES`` of them, so repeated words cost one look-up. No shuffle.
+worker has not met yet join the merge table in one recursive query, which contracts pairs of least rank until none is
+left; an ordered aggregation gives the words' ids. The recursion is keyed by position (USING KEY): it holds the current
+tokens only, and a step writes only the positions it changes.
+
+Contracting the leftmost pair of least rank of a word, one at a time, would take as many steps as a word has merges. So
+words are laid out in cells of at least twice the length of the longest token they can form, and a step contracts, in
+each cell, the pairs of the least rank of the cell and its two neighbours on either side (of overlapping ones, which are
+equal tokens, every second from the left). The result is the same: another merge could only come before such a pair by
+making a token that holds one of its halves; that token would hold a pair of lower rank that is there already, not
+farther away than a token is long. A word of up to a cell's length thereby contracts its pair of least rank a step, and
+the number of steps does not grow with the length of the longest word.
+
+A worker keeps the ids of pieces it has met, at most ``MEMO_BYTES`` of them, so repeated words cost one look-up. Words go
+to the query in batches of like length and at most ``BATCH_BYTES`` (one longer word is a batch of its own). A batch takes
+about ``LETTER_BYTES`` of memory a letter; nothing is spilled. No shuffle.
 
 Defined results: an empty list for empty and for null texts; texts that look like special tokens are plain text; characters
 that cannot be encoded (lone surrogates) become the replacement character; repeated rows give repeated rows.
@@ -23,7 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MEMO_PIECES = 400_000
+MEMO_BYTES = 96 << 20
+BATCH_BYTES = 1 << 20
+LETTER_BYTES = 400
 SLICE_CHARS = 4_000_000
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Unicode white space, as the tokenizer's pattern means it.
@@ -31,61 +44,37 @@ WS = r"\t-\r \x85\xa0  -     　"
 PIECES = rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-LONG_WORD = 64
 
-# Contracts the leftmost pair of least rank of every word, a pair a step.
-_MERGE = """
-WITH RECURSIVE t AS (
-    SELECT word, pos, tok, 0 AS step FROM words
-    UNION ALL
-    SELECT word, pos, tok, step
-    FROM (
-        SELECT p.word, p.pos, CASE WHEN b.at = p.pos THEN b.new ELSE p.tok END AS tok, p.step + 1 AS step, b.gone
-        FROM t p JOIN (
-            SELECT word, min(key) % 65536 AS at, arg_min(npos, key) AS gone, arg_min(new, key) AS new
-            FROM (
-                SELECT q.word, q.npos, m.new, m.rank::BIGINT * 65536 + q.pos AS key
-                FROM (SELECT word, pos, tok, lead(tok) OVER w AS nxt, lead(pos) OVER w AS npos FROM t WINDOW w AS (PARTITION BY word ORDER BY pos)) q
-                JOIN merges m ON q.tok = m.l AND q.nxt = m.r
-            )
-            GROUP BY word
-        ) b ON b.word = p.word
-    )
-    WHERE pos <> gone
-),
-last AS (SELECT word, max(step) AS step FROM t GROUP BY word)
-SELECT t.word, list(t.tok ORDER BY t.pos) AS ids FROM t JOIN last USING (word, step) GROUP BY t.word ORDER BY t.word
-"""
+# Cells of a word of letters and of any other word: twice the bytes of the longest token of that kind.
+_LETTERS = re.compile(rb" ?[A-Za-z]+")
 
-# The same for long words (runs of one sign, keys): all occurrences of that pair in one step, so that the number of steps
-# stays small.
-_MERGE_LONG = """
-WITH RECURSIVE t AS (
-    SELECT word, pos, tok, 0 AS step FROM words
-    UNION ALL
-    SELECT word, pos, CASE WHEN taken THEN new ELSE tok END, step + 1
-    FROM (
-        SELECT *, coalesce(lag(taken) OVER (PARTITION BY word ORDER BY pos), false) AS eaten
+_MERGE = """
+WITH RECURSIVE t(g, word, cell, tok) USING KEY (g) AS (
+    SELECT g, word, cell, tok FROM words
+    UNION
+    (WITH pairs AS MATERIALIZED (
+        SELECT q.*, m.new, m.rank
         FROM (
-            SELECT *, hit AND (row_number() OVER (PARTITION BY word, island, hit ORDER BY pos)) % 2 = 1 AS taken
-            FROM (
-                SELECT *, n - sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY word ORDER BY pos) AS island
-                FROM (
-                    SELECT *, coalesce(rank = min(rank) OVER (PARTITION BY word), false) AS hit, min(rank) OVER (PARTITION BY word) AS best
-                    FROM (
-                        SELECT p.*, m.rank, m.new
-                        FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt, row_number() OVER (PARTITION BY word ORDER BY pos) AS n FROM t) p
-                        LEFT JOIN merges m ON p.tok = m.l AND p.nxt = m.r
-                    )
-                )
-                WHERE best IS NOT NULL
-            )
-        )
+            SELECT g, word, cell, tok, lead(tok) OVER w AS nxt, lead(g) OVER w AS ng, lag(tok) OVER w IS DISTINCT FROM tok AS fresh
+            FROM recurring.t WHERE tok >= 0 AND word IN (SELECT word FROM t) WINDOW w AS (PARTITION BY word ORDER BY g)
+        ) q JOIN merges m ON q.tok = m.l AND q.nxt = m.r
+    ),
+    least AS (
+        SELECT cell, rank, min(rank) OVER (ORDER BY cell RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around
+        FROM (SELECT cell, min(rank) AS rank FROM pairs GROUP BY cell)
+    ),
+    best AS (
+        SELECT p.g, p.ng, p.word, p.cell, p.new FROM pairs p JOIN least l ON l.cell = p.cell AND l.rank = p.rank AND l.rank = l.around
+        WHERE p.tok <> p.nxt
+        UNION ALL
+        SELECT p.g, p.ng, p.word, p.cell, p.new
+        FROM (SELECT *, max(CASE WHEN fresh THEN g END) OVER (PARTITION BY word ORDER BY g) AS since FROM pairs WHERE tok = nxt) p
+        JOIN least l ON l.cell = p.cell AND l.rank = p.rank AND l.rank = l.around
+        WHERE (p.g - p.since) // (p.ng - p.g) % 2 = 0 AND p.g - p.since <= $width
     )
-    WHERE NOT eaten
-),
-last AS (SELECT word, max(step) AS step FROM t GROUP BY word)
-SELECT t.word, list(t.tok ORDER BY t.pos) AS ids FROM t JOIN last USING (word, step) GROUP BY t.word ORDER BY t.word
+    SELECT g, word, cell, new FROM best UNION ALL SELECT ng, word, cell, -1 FROM best)
+)
+SELECT word, list(tok ORDER BY g) AS ids FROM t WHERE tok >= 0 GROUP BY word ORDER BY word
 """
 
 
@@ -110,12 +99,22 @@ class Encoder:
             "l": pa.array([vocab[a] for a, _ in merges], pa.int32()), "r": pa.array([vocab[b] for _, b in merges], pa.int32()),
             "rank": pa.array(range(len(merges)), pa.int32()), "new": pa.array([vocab[a + b] for a, b in merges], pa.int32()),
         })
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("merge_rows", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.db.unregister("merge_rows")
         letters = byte_alphabet()
+        inverse = {c: b for b, c in letters.items()}
+        # The bytes of all tokens end to end, by id, for the way back.
+        table_ = {i: x for x, i in vocab.items()}
+        raw = [bytes(inverse[c] for c in table_[i]) if i in table_ and all(c in inverse for c in table_[i]) else b"" for i in range(max(vocab.values()) + 1)]
+        self.token_bytes = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.token_length = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        self.token_start = np.cumsum(self.token_length) - self.token_length
         self.byte_id = np.array([vocab[letters[b]] for b in range(256)], dtype=np.int32)
+        tokens = [bytes(inverse[c] for c in x) for x in vocab if all(c in inverse for c in x)]
+        self.width = 2 * max(map(len, tokens))
+        self.letter_width = 2 * max(len(x) for x in tokens if _LETTERS.fullmatch(x))
         self.words, self.ascii_words = regex.compile(WORDS), re.compile(ASCII_WORDS)
         self.clear()
 
@@ -124,31 +123,40 @@ class Encoder:
         self.values = np.zeros(1 << 16, dtype=np.int32)
         self.starts = np.zeros(1 << 12, dtype=np.int64)
         self.lengths = np.zeros(1 << 12, dtype=np.int64)
-        self.used = 0
+        self.used = self.size = 0
 
     def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word by the recursive queries."""
+        """Ids of each word, in batches of like length and bounded size."""
         raw = [w.encode("utf-8", "replace") for w in words]
-        long = [i for i, r in enumerate(raw) if len(r) > LONG_WORD]
-        if not long:
-            return self._merge(raw, _MERGE)
+        # Letters and other words have cells of other widths, so they don't share a batch.
+        kind = [_LETTERS.fullmatch(r) is not None for r in raw]
         out: list = [None] * len(raw)
-        for query, at in ((_MERGE, [i for i, r in enumerate(raw) if len(r) <= LONG_WORD]), (_MERGE_LONG, long)):
-            for i, ids in zip(at, self._merge([raw[i] for i in at], query)):
-                out[i] = ids
+        batch: list[int] = []
+        size = 0
+        for i in [*sorted(range(len(raw)), key=lambda k: (kind[k], len(raw[k]))), -1]:
+            if batch and (i < 0 or kind[i] != kind[batch[0]] or size + len(raw[i]) > BATCH_BYTES or len(raw[i]) > 8 * max(len(raw[batch[0]]), 8)):
+                for k, ids in zip(batch, self._merge([raw[k] for k in batch], self.letter_width if kind[batch[0]] else self.width)):
+                    out[k] = ids
+                batch, size = [], 0
+            if i >= 0:
+                batch.append(i)
+                size += len(raw[i])
         return out
 
-    def _merge(self, raw: list[bytes], query: str) -> list[np.ndarray]:
-        if not raw:
-            return []
+    def _merge(self, raw: list[bytes], width: int) -> list[np.ndarray]:
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        starts, at = np.cumsum(sizes) - sizes, np.arange(int(sizes.sum()))
+        # Between the cells of two words lie two that are empty, so that no word sees another.
+        cells = sizes // width + 3
+        first = np.cumsum(cells) - cells
         rows = pa.table({
-            "word": pa.array(np.repeat(np.arange(len(raw), dtype=np.int32), sizes)),
-            "pos": pa.array((np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)),
+            "g": pa.array(at), "word": pa.array(np.repeat(np.arange(len(raw), dtype=np.int32), sizes)),
+            "cell": pa.array((np.repeat(first, sizes) + (at - np.repeat(starts, sizes)) // width).astype(np.int32)),
             "tok": pa.array(self.byte_id[np.frombuffer(b"".join(raw), dtype=np.uint8)]),
         })
+        self.db.execute(f"SET memory_limit = '{max(400, 100 + len(at) * LETTER_BYTES // 1_000_000)}MB'")
         self.db.register("words", rows)
-        out = self.db.sql(query).to_arrow_table().column("ids").combine_chunks()
+        out = self.db.sql(_MERGE.replace("$width", str(width))).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("words")
         ids, offsets = out.values.to_numpy(), out.offsets.to_numpy()
         return [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
@@ -162,6 +170,7 @@ class Encoder:
         self.values[self.used : self.used + len(ids)] = ids
         self.starts[k], self.lengths[k] = self.used, len(ids)
         self.used += len(ids)
+        self.size += 2 * len(piece) + 8 * len(ids) + 150
         self.memo[piece] = k
 
     def learn(self, pieces: set[str]) -> None:
@@ -178,7 +187,7 @@ class Encoder:
         for ps in found:
             new.update(ps)
         new = {p for p in new if p not in self.memo}
-        if new and len(self.memo) + len(new) > MEMO_PIECES:
+        if new and self.size > MEMO_BYTES:
             self.clear()
             new = {p for ps in found for p in ps}
         if new:
@@ -191,10 +200,22 @@ class Encoder:
         ids = self.values[np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all texts end to end, offsets of the texts)."""
+        lengths = self.token_length[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(self.token_start[ids] - ends[:-1], lengths) + np.arange(int(ends[-1]))
+        return self.token_bytes[at], ends[offsets]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def worker_encoder(vocabulary: str) -> Encoder:
+    """The encoder of this Python worker, made once."""
+    return _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, Encoder(vocabulary))
+
+
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, ids): the token ids of each text, without special tokens."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -202,9 +223,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from gridsmith.llm import tokenize
 
-        encoder = tokenize._ENCODERS.get(vocabulary)
-        if encoder is None:
-            encoder = tokenize._ENCODERS.setdefault(vocabulary, tokenize.Encoder(vocabulary))
+        encoder = tokenize.worker_encoder(vocabulary)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             start = 0
@@ -219,3 +238,27 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
                 start = stop
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """(doc_id, data): the UTF-8 bytes that each list of token ids stands for; empty for an empty or null list."""
+    schema = T.StructType([T.StructField("doc_id", encoded.schema[doc_id].dataType), T.StructField("data", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from gridsmith.llm import tokenize
+
+        encoder = tokenize.worker_encoder(vocabulary)
+        for batch in batches:
+            lists = batch.column(1).fill_null([])
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            data, ends = encoder.decode(lists.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0])
+            # Slices: the bytes of a batch may exceed what 32-bit offsets can address.
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + (1 << 30), side="right")) - 1)
+                part = (ends[start : stop + 1] - ends[start]).astype(np.int32)
+                made = pa.Array.from_buffers(pa.binary(), stop - start, [None, pa.py_buffer(part), pa.py_buffer(data[ends[start] : ends[stop]].tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), made], names=["doc_id", "data"])
+                start = stop
+
+    return encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, schema)
