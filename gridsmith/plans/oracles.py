@@ -104,6 +104,30 @@ datasets AS (
 ),
 numbered AS (SELECT *, row_number() OVER () AS n FROM datasets WHERE json_type(ds) = 'OBJECT')"""
 
+_COLUMN_TYPES = [("boolean", "boolean"), ("bigint", "bigint"), ("double", "double"), ("string", "varchar"), ("json", "varchar")]
+# The columns come from the data, as in the operator: the prevailing kind of each core name decides.
+_CELLS = r"""lines AS (SELECT min(line_key) AS line_key, file_no, try_cast(payload AS json) AS j FROM metadata_line GROUP BY file_no, line_no, payload),
+        listed AS (SELECT line_key, j, unnest(json_keys(j)) AS field, generate_subscripts(json_keys(j), 1) AS nth FROM (SELECT line_key, try_cast(payload AS json) AS j FROM metadata_line) WHERE json_type(j) = 'OBJECT'),
+        cells AS (
+            SELECT line_key, field, nth, replace(regexp_replace(regexp_replace(lower(regexp_replace(field, '^.*:', '')), '^eo_|_m$', '', 'g'), 'name$', ''), '_', '') AS core,
+                json_type(j, '$."' || field || '"') AS t, json_extract(j, '$."' || field || '"') AS raw, json_extract_string(j, '$."' || field || '"') AS text
+            FROM listed WHERE json_type(j, '$."' || field || '"') <> 'NULL'
+        ),
+        counted AS (
+            SELECT core, count(*) FILTER (t = 'BOOLEAN') AS booleans, count(*) FILTER (t IN ('ARRAY', 'OBJECT')) AS parts, count(*) FILTER (t IN ('UBIGINT', 'BIGINT', 'DOUBLE')) AS numbers,
+                count(*) FILTER (t = 'DOUBLE') AS points, count(*) FILTER (t = 'VARCHAR') AS texts
+            FROM cells GROUP BY core
+        ),
+        types AS (
+            SELECT core, CASE greatest(booleans, parts, numbers, texts) WHEN booleans THEN 'boolean' WHEN parts THEN 'json' WHEN numbers THEN CASE WHEN points > 0 THEN 'double' ELSE 'bigint' END ELSE 'string' END AS dtype
+            FROM counted
+        ),
+        valued AS (
+            SELECT c.*, dtype, row_number() OVER (PARTITION BY line_key, core ORDER BY nth) AS spelling,
+                CASE WHEN dtype = 'json' THEN CAST(raw AS varchar) WHEN t = 'ARRAY' THEN json_extract_string(raw, '$[0]') WHEN t = 'OBJECT' THEN json_extract_string(raw, '$.name') ELSE text END AS v
+            FROM cells c JOIN types USING (core)
+        )"""
+
 ORACLES = {
     "p1_found": f"""{_KEYED},
         events AS (
@@ -168,23 +192,26 @@ ORACLES = {
         UNION ALL SELECT file_no, 'retyped', old_field, new_field FROM cores WHERE old_field IS NOT NULL AND new_field IS NOT NULL AND old_kind <> new_kind
         UNION ALL SELECT file_no, 'removed', old_field, '' FROM cores c WHERE new_field IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_no = c.file_no AND r.old_field = c.old_field)
         UNION ALL SELECT file_no, 'added', '', new_field FROM cores c WHERE old_field IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_no = c.file_no AND r.new_field = c.new_field)""",
-    "p4_table": r"""WITH lines AS (SELECT min(line_key) AS line_key, file_no, try_cast(payload AS json) AS j FROM metadata_line GROUP BY file_no, line_no, payload),
-        cells AS (SELECT line_key, j, unnest(json_keys(j)) AS field FROM lines WHERE json_type(j) = 'OBJECT'),
-        texts AS (
-            SELECT line_key, field, replace(regexp_replace(regexp_replace(lower(regexp_replace(field, '^.*:', '')), '^eo_|_m$', '', 'g'), 'name$', ''), '_', '') AS core,
-                CASE json_type(j, '$."' || field || '"') WHEN 'ARRAY' THEN json_extract_string(j, '$."' || field || '"[0]')
-                    WHEN 'OBJECT' THEN coalesce(json_extract_string(j, '$."' || field || '".name'), json_extract_string(j, '$."' || field || '"."' || json_keys(j, '$."' || field || '"')[1] || '"')) ELSE json_extract_string(j, '$."' || field || '"') END AS v
-            FROM cells
-        ),
-        wide AS (
-            SELECT line_key, max(v) FILTER (core = 'id') AS id, max(v) FILTER (core = 'platform') AS platform, max(v) FILTER (core = 'regioncode') AS regioncode,
-                max(v) FILTER (core = 'gsd') AS gsd, max(field) FILTER (core = 'gsd') AS gsd_field, max(v) FILTER (core = 'cloudcover') AS cloud, max(field) FILTER (core = 'cloudcover') AS cloud_field,
-                max(v) FILTER (core = 'fileformat') AS fileformat, max(v) FILTER (core = 'constellation') AS constellation
-            FROM texts GROUP BY line_key
+    "p4_statistics": r"""WITH lines AS (SELECT file_no, try_cast(payload AS json) AS j FROM metadata_line),
+        nodes AS (SELECT l.file_no, substr(t.fullkey, 3) AS path, t.type, t.parent IS NULL AS root, t.path AS above FROM lines l, json_tree(l.j) t WHERE json_type(l.j) = 'OBJECT'),
+        kinds AS (
+            SELECT file_no, replace(path, '"', '') AS path, CASE type WHEN 'VARCHAR' THEN 'text' WHEN 'UBIGINT' THEN 'whole' WHEN 'BIGINT' THEN 'whole'
+                WHEN 'DOUBLE' THEN 'point' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' END AS kind
+            FROM nodes WHERE NOT root AND path NOT LIKE '%[%'
         )
-        SELECT l.line_key, l.file_no, id, platform, regioncode, try_cast(gsd AS double) AS gsd, try_cast(cloud AS double) AS cloudcover, fileformat, constellation,
-            concat_ws(',', CASE WHEN gsd IS NOT NULL AND try_cast(gsd AS double) IS NULL THEN gsd_field END, CASE WHEN cloud IS NOT NULL AND try_cast(cloud AS double) IS NULL THEN cloud_field END) AS failed_casts
-        FROM lines l LEFT JOIN wide w USING (line_key)""",
+        SELECT path, kind, CAST(count(*) AS bigint) AS n_values, CAST(count(DISTINCT file_no) AS bigint) AS n_files FROM kinds WHERE kind IS NOT NULL GROUP BY ALL""",
+    "p4_table": f"""WITH {_CELLS},
+        kept AS (
+            SELECT *, dtype <> 'json' AND spelling = 1 AND unread AS failed, spelling > 1 OR (dtype <> 'json' AND (t IN ('ARRAY', 'OBJECT') OR unread)) AS unheld
+            FROM (SELECT *, CASE dtype WHEN 'double' THEN try_cast(v AS double) IS NULL WHEN 'bigint' THEN try_cast(v AS bigint) IS NULL WHEN 'boolean' THEN try_cast(v AS boolean) IS NULL ELSE false END AS unread FROM valued)
+        ),
+        notes AS (
+            SELECT line_key, string_agg(field, ',' ORDER BY field) FILTER (failed) AS failed_casts, string_agg(field || '=' || CAST(raw AS varchar), chr(10) ORDER BY field || '=' || CAST(raw AS varchar)) FILTER (unheld) AS rest
+            FROM kept GROUP BY line_key
+        ),
+        {", ".join(f"{k}_wide AS (PIVOT (WITH {_CELLS} SELECT line_key, core, TRY_CAST(v AS {sql}) AS v FROM valued WHERE spelling = 1 AND dtype = '{k}') ON core USING any_value(v) GROUP BY line_key)" for k, sql in _COLUMN_TYPES)}
+        SELECT lines.file_no, * EXCLUDE (file_no, j, failed_casts, rest), coalesce(failed_casts, '') AS failed_casts, CASE WHEN json_type(j) = 'OBJECT' THEN coalesce(rest, '') END AS rest
+        FROM lines {" ".join(f"LEFT JOIN {k}_wide USING (line_key)" for k, _ in _COLUMN_TYPES)} LEFT JOIN notes USING (line_key)""",
     "p5_found": r"""WITH pieces AS (SELECT unnest(regexp_extract_all(body, '\{[^{}]*\}')) AS piece FROM tiny_file),
         records AS (SELECT try_cast(piece AS json) AS j FROM pieces)
         SELECT DISTINCT j->>'href' AS href, trim(j->>'etag', '"') AS etag FROM records WHERE json_type(j, '$.href') = 'VARCHAR' AND json_type(j, '$.etag') = 'VARCHAR'""",

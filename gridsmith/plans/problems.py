@@ -53,16 +53,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(load(spark, d, "metadata_line").select("stream_no", "file_no", "written_at", "payload"))
 
 
-#: The consistent table's columns of agreed type, by core name; the columns of all other properties follow from the data.
-LINE_COLUMNS = {"id": "string", "platform": "string", "regioncode": "string", "gsd": "double", "cloudcover": "double", "fileformat": "string", "constellation": "string"}
+def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of the values of every path (also below the top level): lines and files."""
+    n = drift.statistics(load(spark, d, "metadata_line").select("file_no", "payload"), ["file_no"], depth=4).filter("kind IS NOT NULL")
+    return n.groupBy(F.col("field").alias("path"), "kind").agg(F.sum("n").alias("n_values"), F.count("*").alias("n_files"))
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
-    """All lines as one typed table of all properties; ``failed_casts`` names the fields that did not fit, ``rest`` holds what no column does."""
+    """All lines as one typed table of all properties, its columns and types from the statistics of all files.
+
+    ``failed_casts`` names the fields that did not fit their column, ``rest`` (``field=JSON``, by line) holds what no column does.
+    """
     source, keys = load(spark, d, "metadata_line"), ["line_key", "file_no"]
     lines = source.groupBy("file_no", "line_no", "payload").agg(F.min("line_key").alias("line_key"))
-    target = drift.columns(source, LINE_COLUMNS, [*keys, "failed_casts", "rest"])
-    return drift.project(lines, target, keys, rest="rest").withColumn("failed_casts", F.array_join("failed_casts", ","))
+    target = drift.columns(source, [*keys, "failed_casts", "rest"])
+    rest = F.array_join(F.array_sort(F.transform(F.map_entries("rest"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\n")
+    return drift.project(lines, target, keys, rest="rest").withColumn("failed_casts", F.array_join("failed_casts", ",")).withColumn("rest", rest)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,4 +115,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 from gridsmith.plans.oracles import ORACLES  # noqa: E402
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_lineage, p4_found, p4_table, p5_found, p5_files, p6_found, p6_kept, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_lineage, p4_found, p4_statistics, p4_table, p5_found, p5_files, p6_found, p6_kept, p7_found)}
