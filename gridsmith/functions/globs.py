@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -64,23 +65,25 @@ class Query:
     levels: tuple[str, ...] = ()
 
 
+_GLOB = r"[^/]*[*\[\]?][^/]*"
+#: A URL query: what holds no glob sign up to a slash, the segments after that, the last segment (which may be empty).
+_QUERY = re.compile(rf"(?P<base>(?:[^/*\[\]?]*/)*?)(?:(?P<levels>{_GLOB}(?:/[^/]*)*)/)?(?P<last>[^/]*)", re.S)
+
+
 def parse_query(url: str) -> Query:
-    """Split a URL query at its first segment with a glob sign; ``**`` mixed with other levels is an error."""
-    parts = url.split("/")
-    n = next((i for i, p in enumerate(parts) if _SPECIAL & set(p)), len(parts))
-    base, rest = "/".join(parts[:n]).rstrip("/") + "/", parts[n:]
-    if not rest:
-        return Query(base, None, None, None)
-    *levels, last = rest
-    glob = last if _SPECIAL & set(last) else None
-    name = last if last and glob is None else None
-    if not levels:
-        return Query(base, 0, name, glob)
-    if set(levels) == {"**"}:
-        return Query(base, -1, name, glob)
-    if "**" in levels:
-        raise ValueError(f"Bad query: {url}")
-    return Query(base, len(levels), name, glob, tuple(levels))
+    """Split a URL query into static prefix, levels and last segment.
+
+    A query without glob signs names a folder; ``**`` stands for any depth and must be the only level.
+    """
+    m = _QUERY.fullmatch(url)
+    levels, last = tuple(m["levels"].split("/")) if m["levels"] else (), m["last"]
+    if not levels and not _SPECIAL.intersection(last):
+        return Query(f"{url.rstrip('/')}/", None, None, None)
+    deep = levels == ("**",)
+    if not deep and "**" in levels:
+        raise ValueError(f"'**' must be the only level of a query: {url}")
+    named = {"glob": last} if _SPECIAL.intersection(last) else {"file": last or None}
+    return Query(m["base"].rstrip("/") + "/", -1 if deep else len(levels), named.get("file"), named.get("glob"), () if deep else levels)
 
 
 def predicate(url: Column, query: Query) -> Column:
@@ -92,7 +95,7 @@ def predicate(url: Column, query: Query) -> Column:
         if query.glob is not None:
             return p & url.rlike(url_regex(query.glob))
         return p & url.endswith("/" + query.file) if query.file is not None else p
-    rel = F.split(F.substring(url, len(query.base) + 1, 1 << 20), "/")
+    rel = F.split(F.substr(url, F.lit(len(query.base) + 1)), "/")
     p = p & (F.size(rel) == query.depth + 1)
     for i, level in enumerate(query.levels):
         p = p & F.get(rel, F.lit(i)).rlike(level_regex(level))

@@ -3,7 +3,7 @@
 ``winner_bitmaps`` shuffles nothing but identifier, delivery order and file-row position. Each identifier's first
 delivery is chosen by one aggregation (partial on the map side, so an identifier that holds a third of all rows sends
 one row per map task), and the winners' positions become bitmaps of 32,768 rows per file. ``apply_vectors`` then reads the
-wide columns file by file and keeps (or, inverted, returns) the rows by their bit: payloads are never shuffled.
+wide columns, a row group at a time, and keeps (or, inverted, returns) the rows by their bit: payloads are never shuffled.
 
 Defined results: rows without an identifier are equal to none and all remain; a null order value sorts last; exact
 repeats of a row differ in position only, the first position remains; an empty table gives no rows.
@@ -12,7 +12,6 @@ repeats of a row differ in position only, the first position remains; an empty t
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridsmith.sources import files
+
 BLOCK = 32768
 
 
@@ -66,64 +67,74 @@ def with_positions(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.row_index").alias("_row_index"))
 
 
-def _open(path: str):
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
+def row_groups(source: DataFrame) -> DataFrame:
+    """(file, path, row_group, first, n): the row groups behind a Parquet scan, from the files' footers, read by the tasks."""
+    paths = source.select(F.col("_metadata.file_path").alias("path")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                with files.open_input(path) as f:
+                    footer, first = pq.ParquetFile(f).metadata, 0
+                    for g in range(footer.num_row_groups):
+                        rows.append((path, g, first, footer.row_group(g).num_rows))
+                        first += footer.row_group(g).num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)]], names=["path", "row_group", "first", "n"])
 
-    uri = path
-    if uri.startswith("file:"):
-        return pq.ParquetFile(unquote(uri[5:]).replace("//", "/", 1) if uri.startswith("file://") else unquote(uri[5:]))
-    fs, inner = pafs.FileSystem.from_uri(uri)
-    return pq.ParquetFile(fs.open_input_file(inner))
+    return paths.mapInArrow(run, "path string, row_group long, first long, n long").withColumn("file", file_key(F.col("path")))
 
 
 def apply_vectors(source: DataFrame, bitmaps: DataFrame, columns: Sequence[str], keep: bool = True, partitions: int | None = None) -> DataFrame:
     """Read ``columns`` of the files behind ``source``; rows whose bit is set are kept (``keep``) or dropped.
 
-    A task holds the bitmaps of one file at a time (a bit per row) and streams its batches.
+    The unit of work is a row group: each meets the bitmaps of its blocks (a bit a row is all that is shuffled), and a task
+    streams the batches of one row group at a time. ``partitions`` is the number of such tasks (shuffle partitions).
     """
     spark = source.sparkSession
     schema = T.StructType([source.schema[c] for c in columns])
-    files = spark.createDataFrame([(f,) for f in source.inputFiles()], "path string")
-    files = files.select(file_key(F.col("path")).alias("file"), F.lit(-1).cast("long").alias("block"), F.lit(None).cast("binary").alias("bits"), "path")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plan = files.unionByName(bitmaps.withColumn("path", F.lit(None).cast("string"))).repartition(n, "file").sortWithinPartitions("file", "block")
+    blocks = row_groups(source).filter("n > 0").withColumn("block", F.explode(F.expr(f"sequence(first div {BLOCK}, (first + n - 1) div {BLOCK})")))
+    plan = blocks.join(bitmaps, ["file", "block"], "left").select("path", "row_group", "first", "n", "block", "bits")
+    plan = plan.repartition(n, "path", "row_group").sortWithinPartitions("path", "row_group", "block")
     names, out_schema = list(columns), schema
 
+    def emit(key: tuple[str, int, int, int], bits: dict[int, bytes | None], target: pa.Schema) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        path, group, first, n_rows = key
+        whole = np.zeros(n_rows, dtype=bool)
+        for b, packed in bits.items():
+            if packed is not None:
+                lo, hi = max(first, b * BLOCK), min(first + n_rows, (b + 1) * BLOCK)
+                whole[lo - first : hi - first] = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), bitorder="little")[lo - b * BLOCK : hi - b * BLOCK]
+        if not keep:
+            whole = ~whole
+        if not whole.any():
+            return
+        at = 0
+        with files.open_input(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=BLOCK, row_groups=[group], columns=names):
+                mask = whole[at : at + batch.num_rows]
+                at += batch.num_rows
+                if mask.any():
+                    yield from pa.Table.from_batches([batch]).filter(pa.array(mask)).select(names).cast(target).to_batches()
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(out_schema)
-
-        def emit(path: str, blocks: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-            at = 0
-            for batch in _open(path).iter_batches(batch_size=BLOCK, columns=names):
-                n_rows = batch.num_rows
-                mask = np.zeros(n_rows, dtype=bool)
-                first, last = at // BLOCK, (at + n_rows - 1) // BLOCK
-                for b in range(first, last + 1):
-                    if b in blocks:
-                        bits = np.unpackbits(np.frombuffer(blocks[b], dtype=np.uint8), bitorder="little").astype(bool)
-                        lo, hi = max(at, b * BLOCK), min(at + n_rows, (b + 1) * BLOCK)
-                        mask[lo - at : hi - at] = bits[lo - b * BLOCK : hi - b * BLOCK]
-                at += n_rows
-                table = pa.Table.from_batches([batch]).filter(pa.array(mask if keep else ~mask)).select(names)
-                if table.num_rows:
-                    yield from table.cast(target).to_batches()
-
-        file, path, blocks = None, None, {}
+        key, bits = None, {}
         for batch in batches:
-            for f, b, bits, p in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "bits", "path"))):
-                if f != file and file is not None:
-                    if path is not None:
-                        yield from emit(path, blocks)
-                    path, blocks = None, {}
-                file = f
-                if b == -1:
-                    path = p
-                else:
-                    blocks[b] = bits
-        if file is not None and path is not None:
-            yield from emit(path, blocks)
+            for *k, block, packed in zip(*(batch.column(c).to_pylist() for c in ("path", "row_group", "first", "n", "block", "bits"))):
+                if tuple(k) != key:
+                    if key is not None:
+                        yield from emit(key, bits, target)
+                    key, bits = tuple(k), {}
+                bits[block] = packed
+        if key is not None:
+            yield from emit(key, bits, target)
 
     return plan.mapInArrow(read, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsmith.functions.text import yaml_documents
+from gridsmith.sources import files
 
 
 def lines(spark: SparkSession, path: str, skip_empty: bool = False) -> DataFrame:
@@ -40,19 +41,38 @@ def parsed(raw: DataFrame, uri: str = "uri", content: str = "content") -> DataFr
     return as_json.unionByName(as_yaml).withColumn("error", F.when(F.col("doc").isNull(), "unreadable document"))
 
 
-def tar_members(spark: SparkSession, path: str, keep: Callable[[str, int], bool] | None = None) -> DataFrame:
-    """(archive, name, content): regular files of tar archives (any compression); ``keep`` sees name and size."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+BATCH_BYTES = 8 << 20
+
+
+def _member_batches(archive: str, keep: Callable[[tarfile.TarInfo], bool] | None) -> Iterator[pa.RecordBatch]:
+    names: list[str] = []
+    data: list[bytes] = []
+    with files.open_input(archive) as f, tarfile.open(fileobj=f, mode="r|*") as tar:
+        for m in tar:
+            if m.isfile() and (keep is None or keep(m)):
+                names.append(m.name)
+                data.append(tar.extractfile(m).read())
+                if sum(map(len, data)) > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([archive] * len(names)), pa.array(names), pa.array(data, pa.binary())], names=["archive", "name", "content"])
+                    names, data = [], []
+    if names:
+        yield pa.RecordBatch.from_arrays([pa.array([archive] * len(names)), pa.array(names), pa.array(data, pa.binary())], names=["archive", "name", "content"])
+
+
+def tar_members(spark: SparkSession, path: str, keep: Callable[[tarfile.TarInfo], bool] | None = None) -> DataFrame:
+    """(archive, name, content): regular files of tar archives (any compression); ``keep`` sees name, size and mtime of an entry.
+
+    Tasks stream the archives, so that an archive may be of any size; a member must fit into memory.
+    """
+    # The bytes are not among the columns read: Spark only lists the archives.
+    listed = spark.read.format("binaryFile").load(path).select("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with tarfile.open(fileobj=io.BytesIO(data)) as tar:
-                    for m in tar:
-                        if m.isfile() and (keep is None or keep(m.name, m.size)):
-                            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([m.name]), pa.array([tar.extractfile(m).read()], pa.binary())], names=["archive", "name", "content"])
+            for p in batch.column(0).to_pylist():
+                yield from _member_batches(p, keep)
 
-    return raw.mapInArrow(run, "archive string, name string, content binary")
+    return listed.mapInArrow(run, "archive string, name string, content binary")
 
 
 def tar_mode(gzip: bool = False, xz: bool = False, pipe: bool = False) -> str:
@@ -68,16 +88,14 @@ def write_tars(docs: DataFrame, folder: str, gzip: bool = True, mtime: int = 0)
     suffix = ".tar.gz" if gzip else ".tar"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         from pyspark.taskcontext import TaskContext
 
-        root = folder.removeprefix("file://")
-        os.makedirs(root, exist_ok=True)
+        fs, root = files.resolve(folder)
+        fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         path, n = f"{root}/part-{part:05d}{suffix}", 0
         temp = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
-        with tarfile.open(temp, "w" + tar_mode(gzip=gzip)) as tar:
+        with fs.open_output_stream(temp, compression=None) as out, tarfile.open(fileobj=out, mode="w|gz" if gzip else "w|") as tar:
             for batch in batches:
                 for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     if data is not None:
@@ -85,7 +103,7 @@ def write_tars(docs: DataFrame, folder: str, gzip: bool = True, mtime: int = 0)
                         info.size, info.mode, info.mtime = len(data), 0o644, mtime
                         tar.addfile(info, io.BytesIO(data))
                         n += 1
-        os.replace(temp, path)
+        fs.move(temp, path)
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "n"])
 
     return docs.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, n long")

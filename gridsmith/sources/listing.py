@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.functions import globs, urls
+from gridsmith.functions import globs
+from gridsmith.sources import files
 
 OBJECTS = "url string, size long, last_modified timestamp, etag string"
 
@@ -39,7 +41,7 @@ def dirs(listing: DataFrame, q: globs.Query) -> DataFrame:
     if depth == 0:
         return spark.createDataFrame([(q.base,)], "url string")
     url = F.col("url")
-    rel = F.split(F.substring(url, len(q.base) + 1, 1 << 20), "/")
+    rel = F.split(F.substr(url, F.lit(len(q.base) + 1)), "/")
     keep = url.startswith(q.base) & (F.size(rel) > depth)
     for i, level in enumerate(q.levels):
         keep = keep & F.get(rel, F.lit(i)).rlike(globs.level_regex(level))
@@ -54,7 +56,7 @@ def one_level(listing: DataFrame, base: str, keep: Column | None = None) -> Data
     """(url, is_dir): directories and files directly below ``base``; ``keep`` applies to files only."""
     base = base.rstrip("/") + "/"
     below = listing.filter(F.col("url").startswith(base) & (F.length("url") > len(base)))
-    rest = F.substring(F.col("url"), len(base) + 1, 1 << 20)
+    rest = F.substr(F.col("url"), F.lit(len(base) + 1))
     at = F.instr(rest, "/")
     folders = below.filter(at > 0).select(F.concat(F.lit(base), F.substring(rest, F.lit(1), at)).alias("url"), F.lit(True).alias("is_dir")).distinct()
     files = below.filter(at == 0)
@@ -64,7 +66,7 @@ def one_level(listing: DataFrame, base: str, keep: Column | None = None) -> Data
 
 def keys(listing: DataFrame, prefix: str) -> DataFrame:
     """Keys below a prefix, without it."""
-    return listing.filter(F.col("url").startswith(prefix)).select(F.substring(F.col("url"), len(prefix) + 1, 1 << 20).alias("key"))
+    return listing.filter(F.col("url").startswith(prefix)).select(F.substr(F.col("url"), F.lit(len(prefix) + 1)).alias("key"))
 
 
 def matching(listing: DataFrame, keep: Column | None = None, glob: str | None = None) -> DataFrame:
@@ -88,7 +90,7 @@ def walk(listing: DataFrame, base: str, guide: Column) -> DataFrame:
     """Guided walk over a flat listing. ``guide`` maps each directory below base (columns dir, depth) to ``dir`` (go on one
     level), ``deep`` (everything below) or ``skip``; any other word is an error."""
     base = base.rstrip("/") + "/"
-    parts = F.split(F.substring(F.col("url"), len(base) + 1, 1 << 20), "/")
+    parts = F.split(F.substr(F.col("url"), F.lit(len(base) + 1)), "/")
     rows = listing.filter(F.col("url").startswith(base)).withColumn("__p", parts)
     levels = rows.select("url", F.posexplode(F.slice(F.col("__p"), 1, F.greatest(F.size("__p") - 1, F.lit(0)))).alias("depth", "__d"), "__p")
     levels = levels.withColumn("dir", F.concat(F.lit(base), F.array_join(F.slice("__p", F.lit(1), F.col("depth") + 1), "/"), F.lit("/"))).withColumn("__g", guide)
@@ -109,42 +111,67 @@ def crawl(listing: DataFrame, skips: Sequence[str], select: Sequence[str]) -> Da
     return listing.filter(hit(list(select)) & ~hit(list(skips)))
 
 
-def fetch(requests: DataFrame, roots: dict[str, str] | None = None) -> DataFrame:
-    """(url, data, error) of (url[, start, stop]): one row per request, errors as values, never raised.
+CONNECTIONS = 24
 
-    ``roots`` maps URL prefixes to local or mounted folders; other URLs go through Arrow's file systems.
+
+def _read(url: str, start: int | None, stop: int | None, attempts: int, pause: float) -> tuple[bytes | None, str | None]:
+    """(bytes, error) of one object or byte range; passing failures are tried again, a missing object is not."""
+    if (start is None) != (stop is None) or (start is not None and (start < 0 or stop <= start)):
+        return None, "bad range"
+    for left in range(attempts - 1, -1, -1):
+        try:
+            with files.open_input(url) as f:
+                if start is None:
+                    return f.read(), None
+                f.seek(start)
+                return f.read(stop - start), None
+        except FileNotFoundError:
+            return None, "not found"
+        except Exception as x:  # noqa: BLE001
+            error = str(x) or type(x).__name__
+            if left:
+                time.sleep(pause * 2 ** (attempts - 1 - left))
+    return None, error
+
+
+def fetch(requests: DataFrame, roots: dict[str, str] | None = None, connections: int = CONNECTIONS, attempts: int = 3, pause: float = 0.2) -> DataFrame:
+    """(url, start, stop, data, error) of (url[, start, stop]): one row per request, in any order, errors as values, never raised.
+
+    A task keeps ``connections`` reads under way and twice as many requested. ``roots`` maps URL prefixes to mounted folders.
     """
     cols = requests.columns
     narrow = requests.select("url", *[(F.col(c) if c in cols else F.lit(None)).cast("long").alias(c) for c in ("start", "stop")])
 
+    def where(url: str | None) -> str:
+        for prefix, root in (roots or {}).items():
+            if url and url.startswith(prefix):
+                return root.rstrip("/") + "/" + url[len(prefix) :].lstrip("/")
+        return url or ""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs as pafs
-
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for url, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                data = error = None
-                try:
-                    where = url
-                    for prefix, root in (roots or {}).items():
-                        if url.startswith(prefix):
-                            where = root.rstrip("/") + "/" + url[len(prefix) :].lstrip("/")
-                    fs, path = pafs.FileSystem.from_uri(where if "://" in where else f"file://{where}")
-                    with fs.open_input_file(path) as f:
-                        if a is None and b is None:
-                            data = f.read()
-                        elif b is None or a is None or a < 0 or b <= a:
-                            raise ValueError("bad range")
-                        else:
-                            f.seek(a)
-                            data = f.read(b - a)
-                except Exception as x:  # noqa: BLE001
-                    error = str(x) or type(x).__name__
-                for c, v in zip(out, (url, data, error)):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.string())], names=["url", "data", "error"])
-
-    return narrow.mapInArrow(run, "url string, data binary, error string")
+        from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+
+        def made(done: set) -> pa.RecordBatch:
+            rows = [(*under_way.pop(f), *f.result()) for f in done]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["url", "start", "stop", "data", "error"])
+
+        with ThreadPoolExecutor(connections) as pool:
+            under_way: dict = {}
+            for batch in batches:
+                for request in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    under_way[pool.submit(_read, where(request[0]), *request[1:], attempts, pause)] = request
+                    if len(under_way) >= 2 * connections:
+                        yield made(wait(under_way, return_when=FIRST_COMPLETED).done)
+            while under_way:
+                yield made(wait(under_way, return_when=FIRST_COMPLETED).done)
+
+    return narrow.mapInArrow(run, "url string, start long, stop long, data binary, error string")
+
+
+def documents(listing: DataFrame, roots: dict[str, str] | None = None, **options: object) -> DataFrame:
+    """(uri, content, error): the objects of a listing, fetched; what could not be read has its error and no content."""
+    return fetch(listing.select("url"), roots, **options).select(F.col("url").alias("uri"), F.col("data").alias("content"), "error")
 
 
 def latest_manifest(listing: DataFrame, prefix: str) -> DataFrame:
@@ -187,8 +214,3 @@ def record_paths(df: DataFrame, key: str, patterns: Sequence[str]) -> DataFrame:
     for x in patterns:
         p = p | F.col(key).rlike(globs.path_regex(x))
     return df.filter(p)
-
-
-def split_address(df: DataFrame, url: str = "url") -> DataFrame:
-    a = urls.object_address(F.col(url))
-    return df.withColumn("bucket", a["bucket"]).withColumn("key", a["key"])

@@ -38,10 +38,12 @@ def test_urls(spark):
 
 def test_parse_query():
     q = globs.parse_query
-    assert q("s3://b/some/path") == globs.Query("s3://b/some/path/", None, None, None)
+    assert q("s3://store/one/two") == globs.Query("s3://store/one/two/", None, None, None)
     assert q("s3://b/p/*/*/") == globs.Query("s3://b/p/", 2, None, None, ("*", "*"))
     assert q("s3://b/p/*/*/f.yaml") == globs.Query("s3://b/p/", 2, "f.yaml", None, ("*", "*"))
     assert q("s3://b/p/**/*.yaml") == globs.Query("s3://b/p/", -1, None, "*.yaml", ())
+    assert q("s3://b") == q("s3://b/") == globs.Query("s3://b/", None, None, None)
+    assert q("s3://b/x[ab]/mid/l.json") == globs.Query("s3://b/", 2, "l.json", None, ("x[ab]", "mid")) and q("s3://b/p/**/f.json") == globs.Query("s3://b/p/", -1, "f.json", None, ())
     assert q("s3://b/p/*.yaml") == globs.Query("s3://b/p/", 0, None, "*.yaml", ())
     with pytest.raises(ValueError):
         q("s3://b/p/**/x/*.yaml")
@@ -61,6 +63,7 @@ def test_text(spark):
     assert values(spark, text.int_range(F.col("x"))["stop"], "1:2", "a:2", "1", None) == [2, None, None, None]
     assert values(spark, text.slice_of(F.col("x"))["step"], "1::3", ":4", "x") == [3, None, None]
     assert values(spark, text.options(F.col("x")), "a=1#b=2#c#d=1=2") == [{"a": "1", "b": "2"}]
+    assert values(spark, text.options(F.col("x")), "a=1#b=2#a=3#a=", "", None) == [{"b": "2", "a": ""}, {}, None]
     assert values(spark, text.flag(F.col("x")), "yes", "T", "0", None) == [True, True, False, False]
     assert json.loads(text.group_text('GROUP = A\nX = 1\nY = "q"\nEND_GROUP = A\nEND\n')) == {"A": {"X": 1, "Y": "q"}}
     for bad in ("GROUP = A\nEND_GROUP = B", "END_GROUP = A", "X = 1\nX = 2", "junk"):
@@ -193,8 +196,12 @@ def test_listing(spark, rows, tmp_path):
         listing.walk(o, "s3://b/", F.lit("nonsense")).collect()
     (tmp_path / "f").write_bytes(b"0123456789")
     got = listing.fetch(spark.createDataFrame([("s3://m/f", 2, 5), ("s3://m/none", None, None), ("s3://m/f", 5, 2)], "url string, start long, stop long"), {"s3://m/": str(tmp_path)})
-    out = got.collect()
-    assert bytes(out[0]["data"]) == b"234" and out[1]["error"] and out[2]["error"] == "bad range"
+    out = {(r["url"], r["start"]): (r["data"] and bytes(r["data"]), r["error"]) for r in got.collect()}
+    assert out == {("s3://m/f", 2): (b"234", None), ("s3://m/none", None): (None, "not found"), ("s3://m/f", 5): (None, "bad range")}
+    many = spark.range(300).select(F.concat(F.lit("s3://m/f#"), "id").alias("url"), F.lit(0).alias("start"), F.lit(4).alias("stop"))
+    many = many.withColumn("url", F.lit("s3://m/f")).union(spark.createDataFrame([(None, None, None)], "url string, start long, stop long"))
+    got = listing.fetch(many, {"s3://m/": str(tmp_path)}, connections=3).groupBy("data", "error").count().collect()
+    assert {(r["data"] and bytes(r["data"]), r["error"] is None): r["count"] for r in got} == {(b"0123", True): 300, (None, False): 1}
     with pytest.raises(ValueError):
         listing.inventory(spark, {"fileFormat": "CSV"}, str)
 
@@ -205,6 +212,7 @@ def test_documents(spark, rows, tmp_path):
     f = spark.createDataFrame([("n1", b"one"), ("n2", None), ("d/n3", b"")], "name string, content binary")
     assert docs.write_tars(f, str(tmp_path / "t")).agg(F.sum("n")).first()[0] == 2
     assert sorted((r["name"], bytes(r["content"])) for r in docs.tar_members(spark, str(tmp_path / "t/*.tar.gz")).collect()) == [("d/n3", b""), ("n1", b"one")]
+    assert [r["name"] for r in docs.tar_members(spark, str(tmp_path / "t/*.tar.gz"), lambda m: m.size > 0).collect()] == ["n1"]
     assert docs.tar_mode(True, True) == ":gz" and docs.tar_mode(pipe=True) == "|"
 
 
