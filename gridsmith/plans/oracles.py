@@ -165,6 +165,26 @@ ORACLES = {
     "p3_lineage": rf"""{_DATASETS},
         labels AS (SELECT doc_no, ds, unnest(json_keys(ds->'lineage')) AS label FROM numbered WHERE json_type(ds->'lineage') = 'OBJECT')
         SELECT doc_no, ds->>'id' AS dataset_id, label, unnest(json_extract(ds, '$.lineage."' || label || '"')->>'$[*]') AS parent_id FROM labels""",
+    "p3_properties": rf"""{_DATASETS},
+        named AS (SELECT doc_no, ds, unnest(json_keys(ds->'properties')) AS name FROM numbered WHERE json_type(ds->'properties') = 'OBJECT')
+        SELECT doc_no, ds->>'id' AS dataset_id, name, CAST(json_extract(ds, '$.properties."' || name || '"') AS varchar) AS value FROM named""",
+    "p3_tables": rf"""{_DATASETS},
+        parts AS (SELECT n, ds, part, json_extract(ds, '$.' || part) AS p FROM numbered, (VALUES ('grids'), ('measurements'), ('accessories'), ('lineage'), ('properties'), ('geometry')) v(part)),
+        keyed AS (SELECT n, part, unnest(json_keys(p)) AS k, p FROM parts WHERE json_type(p) = 'OBJECT'),
+        elements AS (
+            SELECT part, json_extract(p, '$."' || k || '"') AS x FROM keyed UNION ALL SELECT part, unnest(p->'$[*]') FROM parts WHERE json_type(p) = 'ARRAY'
+        ),
+        listed AS (SELECT unnest(json_keys(ds)) AS k, ds FROM numbered),
+        counts AS (
+            SELECT 'dataset' AS kind, count(*) AS n FROM numbered WHERE json_keys(ds) <> []
+            UNION ALL SELECT CASE part WHEN 'grids' THEN 'grid' WHEN 'measurements' THEN 'measurement' ELSE 'accessory' END, count(*) FROM elements WHERE part IN ('grids', 'measurements', 'accessories') AND json_type(x) = 'OBJECT' GROUP BY part
+            UNION ALL SELECT 'lineage', CAST(sum(CASE json_type(x) WHEN 'ARRAY' THEN json_array_length(x) ELSE 1 END) AS bigint) FROM elements WHERE part = 'lineage' AND json_type(x) IN ('ARRAY', 'VARCHAR')
+            UNION ALL SELECT 'property', count(*) FROM elements WHERE part = 'properties'
+            UNION ALL SELECT 'geometry', count(*) FROM parts WHERE part = 'geometry' AND json_type(p) = 'OBJECT'
+            UNION ALL SELECT 'other', count(*) FROM listed WHERE k NOT IN ('id', 'label', 'crs', 'product')
+                AND json_type(ds, '$."' || k || '"') NOT IN ('OBJECT', 'ARRAY')
+        )
+        SELECT kind, true AS inside, n FROM counts WHERE n > 0""",
     "p4_found": r"""WITH lines AS (SELECT stream_no, file_no, written_at, try_cast(payload AS json) AS j FROM metadata_line),
         cells AS (SELECT stream_no, file_no, written_at, j, unnest(json_keys(j)) AS field FROM lines WHERE json_type(j) = 'OBJECT'),
         kinds AS (

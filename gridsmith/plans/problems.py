@@ -45,7 +45,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_lineage(spark: SparkSession, d: str) -> DataFrame:
     """The flat lineage table: dataset, label and parent dataset."""
-    return nested.flatten(load(spark, d, "odc_document").select("doc_no", "href", "doc"))["lineage"].select("doc_no", "dataset_id", "label", "parent_id")
+    return nested.flatten(load(spark, d, "odc_document"), ["lineage"])["lineage"].select("doc_no", "dataset_id", "label", "parent_id")
+
+
+def p3_properties(spark: SparkSession, d: str) -> DataFrame:
+    """The flat property table: dataset, name and JSON text of each scalar property."""
+    return nested.flatten(load(spark, d, "odc_document"), ["property"])["property"].select("doc_no", "dataset_id", "name", "value")
+
+
+def p3_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every flat table that lie inside the interval of the dataset they name (all of them must)."""
+    tables = nested.flatten(load(spark, d, "odc_document"))
+    sets = tables["dataset"].select("doc_no", "dataset_pre", F.col("post").alias("end")).distinct()
+    out = tables["dataset"].select(F.lit("dataset").alias("kind"), F.lit(True).alias("inside"))
+    for kind, t in tables.items():
+        if kind != "dataset":
+            out = out.unionByName(t.join(sets, ["doc_no", "dataset_pre"], "left").select(F.lit(kind).alias("kind"), F.coalesce((F.col("dataset_pre") < F.col("pre")) & (F.col("post") < F.col("end")), F.lit(False)).alias("inside")))
+    return out.groupBy("kind", "inside").agg(F.count("*").alias("n"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -115,4 +131,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 from gridsmith.plans.oracles import ORACLES  # noqa: E402
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_lineage, p4_found, p4_statistics, p4_table, p5_found, p5_files, p6_found, p6_kept, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_lineage, p3_properties, p3_tables, p4_found, p4_statistics, p4_table, p5_found, p5_files, p6_found, p6_kept, p7_found)}

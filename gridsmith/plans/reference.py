@@ -192,6 +192,9 @@ def missing_products(s: SparkSession, d: str) -> DataFrame:
 
 # --- catalogue maintenance --------------------------------------------------------------------------------------------
 
+_DOCS = r"""WITH parsed AS (SELECT doc_no, try_cast(ltrim(doc, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS json) AS j FROM odc_document),
+    datasets AS (SELECT doc_no, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN j->'$[*]' WHEN json_type(j->'datasets') = 'ARRAY' THEN j->'$.datasets[*]' ELSE [j] END) AS ds FROM parsed WHERE j IS NOT NULL)"""
+
 _CUT = "2019-07-01"
 _ROWS = f"""rows AS (SELECT record_no AS seq, id, product, region_code, href AS uri, lower(trim(maturity)) AS maturity, loaded_at AS center_time, loaded_at FROM dataset_record),
     catalogue AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS k FROM rows WHERE loaded_at < TIMESTAMP '{_CUT}') WHERE k = 1),
@@ -269,10 +272,10 @@ def lineage_missing(s: SparkSession, d: str) -> DataFrame:
     return catalogue.missing_parents(edges, load(s, d, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("id"))).select("child", "label", "parent")
 
 
-@query(r"""WITH d AS (SELECT unnest(CASE WHEN json_type(try_cast(doc AS json)) = 'OBJECT' AND json_type(try_cast(doc AS json), '$.datasets') IS NULL THEN [try_cast(doc AS json)] ELSE [] END) AS ds FROM odc_document)
-    SELECT ds->>'$.product.name' AS product, count(*) AS n FROM d WHERE json_type(ds, '$.id') = 'VARCHAR' GROUP BY 1""")
+@query(rf"""{_DOCS} SELECT CASE WHEN json_type(ds->'product') = 'OBJECT' THEN ds->>'$.product.name' ELSE ds->>'product' END AS product, count(*) AS n
+    FROM datasets WHERE json_type(ds, '$.id') = 'VARCHAR' GROUP BY 1""")
 def count_by_product(s: SparkSession, d: str) -> DataFrame:
-    one = nested.flatten(load(s, d, "odc_document").select("doc_no", "href", "doc"))["dataset"].select(F.col("dataset_id").alias("id"), "product")
+    one = nested.flatten(load(s, d, "odc_document"), ["dataset"])["dataset"].select(F.col("dataset_id").alias("id"), "product")
     return one.filter("id IS NOT NULL").groupBy("product").agg(F.count("*").alias("n"))
 
 
@@ -532,14 +535,10 @@ def options_parse(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "events").select("event_id", text.options(t)["k"].cast("bigint").alias("k"))
 
 
-_DOCS = r"""WITH parsed AS (SELECT doc_no, try_cast(ltrim(doc, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS json) AS j FROM odc_document),
-    datasets AS (SELECT doc_no, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN j->'$[*]' WHEN json_type(j->'datasets') = 'ARRAY' THEN j->'$.datasets[*]' ELSE [j] END) AS ds FROM parsed WHERE j IS NOT NULL)"""
-
-
 @query(f"""{_DOCS}, g AS (SELECT doc_no, ds, unnest(json_keys(ds->'grids')) AS grid FROM datasets WHERE json_type(ds->'grids') = 'OBJECT')
     SELECT grid, count(*) AS n, count(*) FILTER (json_extract(ds, '$.grids."' || grid || '".crs') IS NOT NULL) AS n_crs FROM g GROUP BY grid""")
 def grids_by_name(s: SparkSession, d: str) -> DataFrame:
-    g = nested.flatten(load(s, d, "odc_document").select("doc_no", "href", "doc"))["grid"]
+    g = nested.flatten(load(s, d, "odc_document"), ["grid"])["grid"]
     return g.groupBy(F.col("grid_name").alias("grid")).agg(F.count("*").alias("n"), F.count("crs").alias("n_crs"))
 
 

@@ -103,10 +103,10 @@ def test_nested_tables(spark, rows):
     a, b = ("d1", "a", "default", 10, 20, 5, 7, "s3://b/k/a.tif"), ("d1", "b", "g2", 1, 2, 3, 4, "s3://b/s/b.tif")
     assert got == sorted([(0, *a), (0, *b), (1, *a), (1, *b), (0, "d2", "a", "default", 3, None, None, None, "s3://b/top.tif")], key=repr)
     tables = nested.flatten(df)
-    assert {k: t.count() for k, t in tables.items()} == {"dataset": 3, "grid": 5, "measurement": 9, "accessory": 2, "lineage": 4}
+    assert {k: t.count() for k, t in tables.items()} == {"dataset": 3, "grid": 5, "measurement": 9, "accessory": 2, "lineage": 4, "property": 0, "geometry": 0, "other": 0}
     assert {r["dataset_id"] for r in tables["lineage"].collect()} == {"d1"}
     sets = {(r["doc_no"], r["dataset_pre"]): r["post"] for r in tables["dataset"].collect()}
-    for t in ("grid", "measurement", "accessory", "lineage"):
+    for t in ("grid", "measurement", "accessory", "lineage", "other"):
         assert all(r["dataset_pre"] < r["pre"] < r["post"] < sets[r["doc_no"], r["dataset_pre"]] for r in tables[t].collect())
 
 
@@ -118,15 +118,34 @@ def test_count_by_product_reads_every_form(spark, tmp_path):
     assert {r["product"]: r["n"] for r in reference.count_by_product(spark, str(tmp_path)).collect()} == {"a": 3, "b": 2, None: 1}
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-def test_count_by_product_against_unnested_sql(spark):
-    import duckdb
-
-    d = "/root/testdata/sf0.001"
-    db = duckdb.connect()
-    db.execute(f"CREATE VIEW odc_document AS SELECT * FROM read_parquet('{d}/odc_document.parquet')")
-    sql = f"{reference._DOCS} SELECT CASE WHEN json_type(ds->'product') = 'OBJECT' THEN ds->>'$.product.name' ELSE ds->>'product' END AS product, count(*) AS n FROM datasets WHERE json_type(ds, '$.id') = 'VARCHAR' GROUP BY 1"
-    assert sorted(map(tuple, reference.count_by_product(spark, d).collect())) == sorted(db.sql(sql).fetchall())
+def leaves(x, path=""):
+    inner = x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ()
+    got = [y for k, v in inner for y in leaves(v, f"{path}[{k}]" if isinstance(x, list) else f"{path}.{k}" if path else k)]
+    return got or [(path, x)]
+
+
+def test_nested_tables_lose_nothing():
+    tree = {
+        "$schema": "s", "id": "d", "product": {"name": "p", "href": "h"}, "properties": {"a": 1, "b": {"c": [2, None]}, "e": {}}, "geometry": {"type": "Point", "coordinates": [1.5, 2]},
+        "grids": {"default": {"shape": [1, 2], "transform": [1, 0, 3, 0, 1, 4], "crs": "epsg:1", "extra": 5}}, "measurements": {"m": {"path": "x", "layer": "l", "band": 2}, "odd": 7}, "accessories": None, "lineage": {"l": ["p1", 3]}, "unknown": [{"q": "w"}],
+    }
+    nodes = nested.walk(json.dumps(tree), "s3://b/d.json")
+    at = lambda kind: {n["name"]: n for n in nodes if n["kind"] == kind}
+    assert {k: json.loads(n["value"]) for k, n in at("property").items()} == dict(leaves(tree["properties"]))
+    assert {k: json.loads(n["value"]) for k, n in at("other").items()} == {"$schema": "s", "product.name": "p", "product.href": "h", "measurements.odd": 7, "accessories": None, "lineage.l": 3, "unknown[0].q": "w"}
+    assert json.loads(at("grid")["default"]["value"]) == {k: v for k, v in tree["grids"]["default"].items() if k != "crs"} and json.loads(at("measurement")["m"]["value"]) == {"layer": "l"}
+    assert json.loads(at("geometry")["Point"]["value"]) == tree["geometry"] and [n["id"] for n in nodes if n["kind"] == "lineage"] == ["p1"]
+    labels = sorted(x for n in nodes for x in (n["pre"], n["post"]))
+    assert len(set(labels)) == len(labels)
+    spans = sorted((n["pre"], n["post"]) for n in nodes)
+    assert all(b[0] > a[1] or b[1] < a[1] for i, a in enumerate(spans) for b in spans[i + 1 :])
+    assert [n["pre"] for n in nested.walk(json.dumps(tree), None, ("grid",), rest=False)] == [at("grid")["default"]["pre"]]
+
+
+def test_tables_share_one_parse(spark):
+    df = spark.createDataFrame([(1, "s3://b/doc.json", json.dumps(DOC))], "doc_no long, href string, doc string")
+    plan = nested.flatten(df)["other"]._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "PartitionFilters: [isnotnull(kind" in plan
 
 
 def test_nested_empty(spark):
