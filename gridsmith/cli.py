@@ -69,8 +69,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         print(json.dumps(counts))
         return int(counts.get("failed", 0) > 0)
     elif a.command == "archive":
-        store = Store(spark, a.catalogue)
-        store.commit(catalogue.archive(store.read(), docs.lines(spark, a.ids, skip_empty=True).withColumnRenamed("value", "id"), F.current_timestamp()))
+        print(Store(spark, a.catalogue).archive(docs.lines(spark, a.ids, skip_empty=True).withColumnRenamed("value", "id")))
     elif a.command == "redrive":
         dead = spark.read.parquet(a.dead)
         n, _, _ = queue.redrive(dead, dead.limit(0), a.order, a.limit or None, dry_run=True)

@@ -119,18 +119,60 @@ def transverse_mercator(lon: float, lat: float, zone: int, south: bool) -> tuple
     return 500000 + k0 * big * east, (10_000_000 if south else 0) + k0 * big * north
 
 
+# Equal-area conic systems (latitude and longitude of origin, standard parallels, false easting and northing), on GRS80.
+CONIC = {3577: (0, 132, -18, -36, 0, 0), 5070: (23, -96, 29.5, 45.5, 0, 0), 3310: (0, -120, 34, 40.5, 0, -4_000_000), 102022: (0, 25, 20, -23, 0, 0)}
+
+
+def equal_area_conic(lon: float, lat: float, epsg: int) -> tuple[float, float]:
+    """Easting and northing of degrees in an equal-area conic system with two standard parallels (ellipsoid)."""
+    lat0, lon0, sp1, sp2, fe, fn = CONIC[epsg]
+    a, f = 6378137.0, 1 / 298.257222101
+    e2 = f * (2 - f)
+    e = math.sqrt(e2)
+
+    def q(phi: float) -> float:
+        s = e * math.sin(phi)
+        return (1 - e2) * (math.sin(phi) / (1 - s * s) + math.atanh(s) / e)
+
+    def m2(phi: float) -> float:
+        return math.cos(phi) ** 2 / (1 - e2 * math.sin(phi) ** 2)
+
+    p0, p1, p2 = (math.radians(v) for v in (lat0, sp1, sp2))
+    n = (m2(p1) - m2(p2)) / (q(p2) - q(p1))
+    c = m2(p1) + n * q(p1)
+    r, r0 = (a * math.sqrt(c - n * q(v)) / n for v in (math.radians(lat), p0))
+    theta = n * math.radians(lon - lon0)
+    return fe + r * math.sin(theta), fn + r0 - r * math.cos(theta)
+
+
+def web_mercator(lon: float, lat: float) -> tuple[float, float]:
+    return 6378137.0 * math.radians(lon), 6378137.0 * math.atanh(math.sin(math.radians(lat)))
+
+
+def projection(epsg: int):  # noqa: ANN201
+    """(lon, lat) → (x, y) of a reference system: geographic, UTM, equal-area conic, web mercator; null for any other."""
+    if epsg == 4326:
+        return lambda lon, lat: (float(lon), float(lat))
+    if 32601 <= epsg <= 32660 or 32701 <= epsg <= 32760:
+        return lambda lon, lat: transverse_mercator(lon, lat, epsg % 100, epsg > 32700)
+    if epsg in CONIC:
+        return lambda lon, lat: equal_area_conic(lon, lat, epsg)
+    return web_mercator if epsg == 3857 else None
+
+
 def project_geometry(geometry: dict, epsg: int, digits: int = 0) -> dict | None:
-    """A WGS84 GeoJSON geometry in a UTM reference system (or unchanged in 4326); null for other systems.
+    """A WGS84 GeoJSON geometry in another reference system (``projection``), rounded unless geographic; null for unknown systems.
 
     A MultiPolygon becomes its convex hull.
     """
-    if epsg == 4326:
-        move = lambda p: [float(p[0]), float(p[1])]
-    elif 32601 <= epsg <= 32660 or 32701 <= epsg <= 32760:
-        move = lambda p: [round(v, digits) for v in transverse_mercator(p[0], p[1], epsg % 100, epsg > 32700)]
-    else:
+    to = projection(epsg)
+    if to is None:
         return None
 
+    def move(p: list) -> list:
+        out = to(p[0], p[1])
+        return list(out) if epsg == 4326 else [round(v, digits) for v in out]
+
     def walk(c: list) -> list:
         return move(c) if c and not isinstance(c[0], list) else [walk(x) for x in c]
 

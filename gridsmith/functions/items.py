@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.functions import identifiers, urls
+from gridsmith.functions.text import last_wins
 
 # Names of item properties in dataset documents, product rules, region candidates.
 RENAMED = {
@@ -32,8 +33,16 @@ LANDSAT_PLATFORMS = {"LANDSAT_5": "ls5-c2l2-sr", "LANDSAT_7": "ls7-c2l2-sr", "LA
 ASSET = "struct<href:string,type:string,roles:array<string>,band:int,`proj:shape`:array<bigint>,`proj:transform`:array<double>>"
 ITEM = (
     "struct<id:string,title:string,collection:string,geometry:string,bbox:array<double>,properties:map<string,string>,"
-    "assets:map<string,string>,links:array<struct<rel:string,href:string>>>"
+    f"assets:map<string,{ASSET}>,links:array<struct<rel:string,href:string>>>"
 )
+# The releases of the land-cover map.
+MAP_VERSIONS = {"2020": ("v100", "2020"), "2021": ("v200", "2021")}
+
+
+def map_version(year: Column) -> Column:
+    """struct(algo, year) of a release of the land-cover map; any other word means the first release."""
+    release = lambda y: F.struct(*[F.lit(v).alias(n) for n, v in zip(("algo", "year"), MAP_VERSIONS[y])])
+    return F.when(year == "2021", release("2021")).otherwise(release("2020"))
 
 
 def read_items(df: DataFrame, text: str = "item") -> DataFrame:
@@ -56,6 +65,22 @@ def item_uri(links: Column) -> Column:
     return F.coalesce(F.get(F.filter(links, lambda x: x["rel"] == "canonical"), F.lit(0))["href"], link(links, "self"))
 
 
+def metadata_link(document: Column, way: str) -> Column:
+    """The URL of a dataset document that an item names: ``STAC-LINKS-REL:<relation>`` or a path of member names with slashes."""
+    relation = way.removeprefix("STAC-LINKS-REL:")
+    if relation != way:
+        return link(F.from_json(F.get_json_object(document, "$.links"), "array<struct<rel:string,href:string>>"), relation)
+    return F.get_json_object(document, "$" + "".join(f"['{k}']" for k in way.split("/")))
+
+
+def renamed_product(item: Column, product: str) -> Column:
+    """An item document whose product is ``product``, whatever it said before."""
+    rest = F.map_filter(F.from_json(item, "map<string,variant>"), lambda k, _: k != "properties")
+    own = F.map_filter(F.from_json(F.get_json_object(item, "$.properties"), "map<string,variant>"), lambda k, _: k != "odc:product")
+    name = F.create_map(F.lit("odc:product"), F.parse_json(F.lit(f'"{product}"')))
+    return F.to_json(F.map_concat(rest, F.create_map(F.lit("properties"), F.to_variant_object(F.map_concat(own, name)))))
+
+
 def region_code(p: Column) -> Column:
     """First known region property, else six digits of path and row; null if those are no numbers."""
     number = lambda k: F.try_to_number(p[k], F.lit("999999")).cast("int")
@@ -101,11 +126,15 @@ def dataset_id(df_product: Column, item_id: Column, source_id: Column) -> Column
 
 
 def properties(p: Column) -> Column:
-    """Renamed properties with processing time and file format filled in; instruments joined in upper case; lineage removed."""
+    """Renamed properties with processing time and file format filled in; instruments joined in upper case; lineage removed.
+
+    Of two spellings of one property the last in the document stands.
+    """
     renamed = F.create_map(*[F.lit(x) for kv in RENAMED.items() for x in kv])
     instruments = F.from_json(p["instruments"], "array<string>")
-    value = lambda k, v: F.when(k == "instruments", F.when(F.size(instruments) > 0, F.array_join(F.transform(instruments, lambda x: F.upper(x)), "_"))).otherwise(v)
-    moved = F.transform_keys(F.transform_values(p, value), lambda k, _: F.coalesce(F.try_element_at(renamed, k), k))
+    joined = F.when(F.size(instruments) > 0, F.array_join(F.transform(instruments, lambda x: F.upper(x)), "_"))
+    entry = lambda e: F.struct(F.coalesce(F.try_element_at(renamed, e["key"]), e["key"]).alias("k"), F.when(e["key"] == "instruments", joined).otherwise(e["value"]).alias("v"))
+    moved = last_wins(F.transform(F.map_entries(p), entry))
     filled = lambda c: F.nullif(c, F.lit(""))
     made = F.coalesce(filled(p["odc:processing_datetime"]), filled(p["created"]), filled(p["datetime"]))
     rest = F.map_filter(moved, lambda k, _: ~k.isin("odc:lineage", "odc:processing_datetime", "odc:file_format"))
@@ -117,84 +146,83 @@ def properties(p: Column) -> Column:
 
 
 def grid_name(transform: Column) -> Column:
-    """``g10m``, ``g0.000277778m``: six significant digits of the pixel size."""
+    """``g10m``, ``g0.000277778m``, ``g8.33333e-05m``: the pixel size in six significant digits, with an exponent below 1e-4 and from 1e6."""
     size = F.get(transform, F.lit(0)).cast("double")
-    digits = F.lit(5) - F.floor(F.log10(F.abs(size))).cast("int")
-    scale = F.pow(F.lit(10.0), digits)
-    text = F.round(size * scale) / scale
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.12f", text), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.concat(F.lit("g"), plain, F.lit("m"))
+    parts = F.split(F.format_string("%.5e", size), "e")
+    mantissa, exponent = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = bare(F.format_string("%.5e", size).cast("decimal(30,12)").cast("string"))
+    return F.concat(F.lit("g"), F.when(size == 0, "0").when(exponent.cast("int").between(-4, 5), plain).otherwise(F.concat(bare(mantissa), F.lit("e"), exponent)), F.lit("m"))
 
 
-def assets(df: DataFrame, key: str) -> DataFrame:
-    """One row per asset of parsed items: pos, name, path, band number, grid name, shape, transform, is_band.
+def _assets(it: Column) -> Column:
+    """The assets of an item in document order: name, path, is_band, band, grid, shape, transform."""
+    numbers = lambda k, t: F.from_json(it["properties"][k], t)
+    at_item = numbers("proj:transform", "array<double>"), numbers("proj:shape", "array<bigint>")
+    link_ = self_href(it["links"])
 
-    Order matters, as the first grid may become the default one; the map keeps the document's order.
-    """
-    rows = df.select(key, "default_grid", "it", F.posexplode(F.map_entries("it.assets")).alias("pos", "e"))
-    rows = rows.withColumn("a", F.from_json("e.value", ASSET))
-    numbers = lambda k, t: F.from_json(F.col("it.properties")[k], t)
-    image = F.coalesce(F.col("a.type").contains("jp2") | F.col("a.type").contains("geotiff"), F.lit(False)) & ~F.coalesce(F.array_contains("a.roles", "thumbnail"), F.lit(False))
-    transform = F.coalesce(F.col("a")["proj:transform"], numbers("proj:transform", "array<double>"))
-    return rows.select(
-        key, "default_grid", "pos", F.col("e.key").alias("name"), urls.relative_path(F.col("a.href"), self_href(F.col("it.links"))).alias("path"), image.alias("is_band"),
-        F.col("a.band").alias("band"), F.when(image, grid_name(transform)).alias("grid"),
-        F.when(image, F.coalesce(F.col("a")["proj:shape"], numbers("proj:shape", "array<bigint>"))).alias("shape"), F.when(image, transform).alias("transform"),
-    )
+    def one(e: Column) -> Column:
+        a = e["value"]
+        image = F.coalesce(a["type"].contains("jp2") | a["type"].contains("geotiff"), F.lit(False)) & ~F.coalesce(F.array_contains(a["roles"], "thumbnail"), F.lit(False))
+        transform = F.coalesce(a["proj:transform"], at_item[0])
+        return F.struct(
+            e["key"].alias("name"), urls.relative_path(a["href"], link_).alias("path"), image.alias("is_band"), a["band"].alias("band"), grid_name(transform).alias("grid"),
+            F.coalesce(a["proj:shape"], at_item[1]).alias("shape"), transform.alias("transform"),
+        )
 
+    return F.transform(F.map_entries(it["assets"]), one)
 
-def bands(asset_rows: DataFrame, key: str) -> DataFrame:
-    """measurements, grids and accessories of each item as maps: one aggregation on the item's key."""
-    first = F.min(F.when(F.col("is_band"), F.struct("pos", "grid")))
-    entry = F.struct(F.col("name").alias("k"), F.struct("path", "band", "grid").alias("v"))
-    grouped = asset_rows.groupBy(key).agg(
-        F.coalesce(F.first("default_grid", ignorenulls=True), first["grid"]).alias("default_grid"),
-        F.collect_list(F.when(F.col("is_band"), entry)).alias("b"),
-        F.collect_list(F.when(~F.col("is_band"), F.struct(F.col("name").alias("k"), F.struct("path").alias("v")))).alias("acc"),
-        F.collect_list(F.when(F.col("is_band"), F.struct("pos", "grid", "shape", "transform"))).alias("g"),
-    )
-    on = F.col("default_grid")
-    measured = F.transform("b", lambda e: F.struct(e["k"].alias("k"), F.struct(e["v"]["path"].alias("path"), e["v"]["band"].alias("band"), F.when(e["v"]["grid"] != on, e["v"]["grid"]).alias("grid")).alias("v")))
-    firsts = F.filter(F.array_sort("g"), lambda x: ~F.exists("g", lambda y: (y["grid"] == x["grid"]) & (y["pos"] < x["pos"])))
-    grids = F.transform(firsts, lambda x: F.struct(F.when(x["grid"] == on, "default").otherwise(x["grid"]).alias("k"), F.struct(x["shape"].alias("shape"), x["transform"].alias("transform")).alias("v")))
-    return grouped.select(key, F.map_from_entries(measured).alias("measurements"), F.map_from_entries(grids).alias("grids"), F.map_from_entries("acc").alias("accessories"))
+
+def with_bands(df: DataFrame) -> DataFrame:
+    """Add measurements, grids and accessories of parsed items (``it``, ``default_grid``): arrays taken apart in place, no exchange.
+
+    The first grid of a band is the default one unless the product names one; of two assets of one name the last stands.
+    """
+    entry = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    df = df.withColumn("__all", _assets(F.col("it"))).withColumn("__b", F.filter("__all", lambda a: a["is_band"]))
+    df = df.withColumn("__on", F.coalesce("default_grid", F.get("__b", F.lit(0))["grid"]))
+    measured = F.transform("__b", lambda a: entry(a["name"], F.struct(a["path"].alias("path"), a["band"].alias("band"), F.when(a["grid"] != F.col("__on"), a["grid"]).alias("grid"))))
+    firsts = F.filter("__b", lambda a, i: a["grid"].isNotNull() & ~F.exists(F.slice("__b", F.lit(1), i), lambda o: o["grid"] == a["grid"]))
+    grids = F.transform(firsts, lambda a: entry(F.when(a["grid"] == F.col("__on"), "default").otherwise(a["grid"]), F.struct(a["shape"].alias("shape"), a["transform"].alias("transform"))))
+    others = F.transform(F.filter("__all", lambda a: ~a["is_band"]), lambda a: entry(a["name"], F.struct(a["path"].alias("path"))))
+    return df.select("*", last_wins(measured).alias("measurements"), F.map_from_entries(grids).alias("grids"), last_wins(others).alias("accessories")).drop("__all", "__b", "__on")
 
 
 def to_datasets(df: DataFrame, key: str, text: str = "item") -> DataFrame:
     """Dataset documents of a table of items: (key, id, label, product, crs, geometry, grids, measurements, accessories, properties, lineage).
 
-    Reprojects footprints to the item's own reference system; without a usable footprint the box of the grid is taken.
-    Unreadable items and items without a product give null fields.
+    Row by row, without an exchange; equal keys stay apart. Reprojects footprints to the item's own reference system;
+    without a usable footprint the box of the grid is taken. Unreadable items and items without a product give null fields.
     """
     from gridsmith.functions import geo
 
-    items = with_product(read_items(df.select(key, text), text))
+    items = with_bands(with_product(read_items(df.select(key, text), text)))
     p = F.col("it.properties")
     epsg = p["proj:epsg"].try_cast("int")
     box = geo.box_of_transform(F.from_json(p["proj:transform"], "array<double>"), F.from_json(p["proj:shape"], "array<double>"))
     ring = F.array(F.array(box["left"], box["bottom"]), F.array(box["left"], box["top"]), F.array(box["right"], box["top"]), F.array(box["right"], box["bottom"]), F.array(box["left"], box["bottom"]))
     from_grid = F.when(box["left"].isNotNull(), F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))))
-    head = items.select(
+    own = F.map_filter(properties(p), lambda k, _: F.col("region").isNull() | (k != "odc:region_code"))
+    return items.select(
         key, dataset_id(F.col("product"), F.col("it.id"), F.col("source_id")).alias("id"), "label", F.lower("product").alias("product"),
         F.concat(F.lit("epsg:"), p["proj:epsg"]).alias("crs"), geo.projected(F.col("it.geometry"), epsg).alias("projected"), from_grid.alias("from_grid"),
-        F.when(F.col("region").isNotNull(), F.map_concat(F.map_filter(properties(p), lambda k, _: k != "odc:region_code"), F.create_map(F.lit("odc:region_code"), F.col("region")))).otherwise(properties(p)).alias("properties"),
-        F.from_json(p["odc:lineage"], "map<string,array<string>>").alias("lineage"),
-    )
-    head = head.withColumn("geometry", F.coalesce("projected", "from_grid")).drop("projected", "from_grid")
-    return head.join(bands(assets(items, key), key), key, "left")
+        F.when(F.col("region").isNotNull(), F.map_concat(own, F.create_map(F.lit("odc:region_code"), F.col("region")))).otherwise(own).alias("properties"),
+        F.from_json(p["odc:lineage"], "map<string,array<string>>").alias("lineage"), "measurements", "grids", "accessories",
+    ).withColumn("geometry", F.coalesce("projected", "from_grid")).drop("projected", "from_grid")
 
 
 def to_items(datasets: DataFrame) -> DataFrame:
     """Item documents (JSON text) of dataset rows with id, product, uri, properties, measurements and accessories."""
     back = F.create_map(*[F.lit(x) for k, v in RENAMED.items() for x in (v, k)])
-    p = F.map_concat(F.transform_keys("properties", lambda k, _: F.coalesce(F.try_element_at(back, k), k)), F.create_map(F.lit("odc:product"), F.col("product")))
+    named = F.transform(F.map_entries("properties"), lambda e: F.struct(F.coalesce(F.try_element_at(back, e["key"]), e["key"]).alias("k"), e["value"].alias("v")))
+    p = last_wins(F.concat(named, F.array(F.struct(F.lit("odc:product").alias("k"), F.col("product").alias("v")))))
     base = urls.parent(F.col("uri"))
     href = lambda v: F.when(v["path"].rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), v["path"]).otherwise(F.concat(base, v["path"]))
-    asset = lambda col: F.transform_values(col, lambda _, v: F.struct(href(v).alias("href")))
+    asset = lambda col: F.transform(F.map_entries(col), lambda e: F.struct(e["key"].alias("k"), F.struct(href(e["value"]).alias("href")).alias("v")))
     links = F.array(F.struct(F.lit("self").alias("rel"), F.col("uri").alias("href")))
     return datasets.select(
         "id",
-        F.when(F.col("uri").isNotNull(), F.to_json(F.struct(F.lit("Feature").alias("type"), F.lit("1.0.0").alias("stac_version"), "id", F.col("product").alias("collection"), p.alias("properties"), F.map_concat(asset("measurements"), asset("accessories")).alias("assets"), links.alias("links")))).alias("item"),
+        F.when(F.col("uri").isNotNull(), F.to_json(F.struct(F.lit("Feature").alias("type"), F.lit("1.0.0").alias("stac_version"), "id", F.col("product").alias("collection"), p.alias("properties"), last_wins(F.concat(asset("measurements"), asset("accessories"))).alias("assets"), links.alias("links")))).alias("item"),
     )
 
 
@@ -206,19 +234,22 @@ def event_attributes(action: Column | str, p: Column, collection: Column) -> Col
     return F.map_filter(m, lambda k, v: (k != "maturity") | v.isNotNull())
 
 
-def tile_items(tiles: DataFrame, product: str, url: str, step: int = 1, pixels: int = 3600, band: str = "elevation") -> DataFrame:
-    """Item documents (tile, item) of a tiled global raster: one geotiff asset per tile; ``url`` has ``{tile}`` for its name.
+def tile_items(tiles: DataFrame, product: str, url: str, step: int = 1, pixels: int = 3600, band: str = "elevation",
+               start: str = "1900-01-01", end: str = "2100-01-01") -> DataFrame:
+    """Item documents (tile, uri, item) of a tiled global raster: one geotiff asset per tile.
 
-    Such rasters have no acquisition time; their items hold from 1900 to 2100.
+    ``url`` has ``{tile}`` for the tile's label or ``{ns}`` and ``{ew}`` for its halves. Such rasters have no acquisition
+    time; unless told otherwise their items hold from 1900 to 2100.
     """
+    uri = F.replace(F.replace(F.replace(F.lit(url), F.lit("{tile}"), F.col("tile")), F.lit("{ns}"), F.split_part("tile", F.lit("_"), F.lit(2))), F.lit("{ew}"), F.split_part("tile", F.lit("_"), F.lit(1)))
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     size = step / pixels
     ring = F.array(F.array(x, y), F.array(x + step, y), F.array(x + step, y + step), F.array(x, y + step), F.array(x, y))
     grid = F.array(F.lit(size), F.lit(0.0), x, F.lit(0.0), F.lit(-size), y + step)
     properties_ = F.struct(
         F.lit(product).alias("odc:product"), F.col("tile").alias("odc:region_code"), F.lit(4326).alias("proj:epsg"),
-        F.lit("1900-01-01T00:00:00Z").alias("start_datetime"), F.lit("2100-01-01T00:00:00Z").alias("end_datetime"),
+        F.lit(start).alias("start_datetime"), F.lit(end).alias("end_datetime"),
     )
-    asset = F.struct(F.replace(F.lit(url), F.lit("{tile}"), F.col("tile")).alias("href"), F.lit("image/tiff; application=geotiff").alias("type"), F.array(F.lit(pixels), F.lit(pixels)).alias("proj:shape"), grid.alias("proj:transform"))
+    asset = F.struct(uri.alias("href"), F.lit("image/tiff; application=geotiff").alias("type"), F.array(F.lit(pixels), F.lit(pixels)).alias("proj:shape"), grid.alias("proj:transform"))
     item = F.struct(F.col("tile").alias("id"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), properties_.alias("properties"), F.struct(asset.alias(band)).alias("assets"))
-    return tiles.select("tile", F.to_json(item).alias("item"))
+    return tiles.select("tile", uri.alias("uri"), F.to_json(item).alias("item"))

@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridsmith.functions import geo, globs, identifiers, items, raster, text, urls
 from gridsmith.operators import catalogue, nested
+from gridsmith.plans.registry import ORACLES, QUERIES, query
 from gridsmith.session import broadcast_if_small, load, materialise
 from gridsmith.sources import docs, listing, queue
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    """Register a query under its name, with the SQL that must give the same rows."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def objects(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "tiny_file").select(F.col("href").alias("url"), F.col("n_bytes").alias("size"), F.col("written_at").alias("last_modified"), F.md5(F.coalesce("body", F.lit("")).cast("binary")).alias("etag"), "file_no")
 

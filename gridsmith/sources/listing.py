@@ -142,12 +142,6 @@ def fetch(requests: DataFrame, roots: dict[str, str] | None = None, connections:
     cols = requests.columns
     narrow = requests.select("url", *[(F.col(c) if c in cols else F.lit(None)).cast("long").alias(c) for c in ("start", "stop")])
 
-    def where(url: str | None) -> str:
-        for prefix, root in (roots or {}).items():
-            if url and url.startswith(prefix):
-                return root.rstrip("/") + "/" + url[len(prefix) :].lstrip("/")
-        return url or ""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
@@ -160,7 +154,7 @@ def fetch(requests: DataFrame, roots: dict[str, str] | None = None, connections:
             under_way: dict = {}
             for batch in batches:
                 for request in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    under_way[pool.submit(_read, where(request[0]), *request[1:], attempts, pause)] = request
+                    under_way[pool.submit(_read, _local(roots, request[0]), *request[1:], attempts, pause)] = request
                     if len(under_way) >= 2 * connections:
                         yield made(wait(under_way, return_when=FIRST_COMPLETED).done)
             while under_way:
@@ -174,6 +168,83 @@ def documents(listing: DataFrame, roots: dict[str, str] | None = None, **options
     return fetch(listing.select("url"), roots, **options).select(F.col("url").alias("uri"), F.col("data").alias("content"), "error")
 
 
+def _local(roots: dict[str, str] | None, url: str | None) -> str:
+    for prefix, root in (roots or {}).items():
+        if url and url.startswith(prefix):
+            return root.rstrip("/") + "/" + url[len(prefix) :].lstrip("/")
+    return url or ""
+
+
+def put(objects_: DataFrame, roots: dict[str, str] | None = None) -> DataFrame:
+    """(url, written, error): write objects (url, data); each appears whole or not at all, rows without data are not written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        for batch in batches:
+            rows = []
+            for url, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                error = None if data is not None else "no data"
+                try:
+                    if data is not None:
+                        fs, path = files.resolve(_local(roots, url))
+                        folder = path.rpartition("/")[0]
+                        fs.create_dir(folder, recursive=True)
+                        temp = f"{folder}/.{uuid.uuid4().hex}"
+                        with fs.open_output_stream(temp, compression=None) as out:
+                            out.write(data)
+                        fs.move(temp, path)
+                except Exception as x:  # noqa: BLE001
+                    error = str(x) or type(x).__name__
+                rows.append((url, error))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] is None for r in rows]), pa.array([r[1] for r in rows], pa.string())], names=["url", "written", "error"])
+
+    return objects_.select("url", F.col("data").cast("binary").alias("data")).mapInArrow(run, "url string, written boolean, error string")
+
+
+def download(requests: DataFrame, folder: str, roots: dict[str, str] | None = None, chunk: int = 10 << 20) -> DataFrame:
+    """(url, path, error): copy objects into ``folder`` under the last segment of their key, ``chunk`` bytes at a time.
+
+    Objects of one name overwrite each other, as files of one name do; a copy is renamed when it is complete.
+    """
+    narrow = requests.select("url", (F.col("name") if "name" in requests.columns else F.regexp_extract("url", "([^/]*)$", 1)).alias("name"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        fs, root = files.resolve(folder)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            rows = []
+            for url, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                temp, path, error = f"{root}/.{uuid.uuid4().hex}", f"{root}/{name}", None
+                try:
+                    with files.open_input(_local(roots, url)) as source, fs.open_output_stream(temp, compression=None) as out:
+                        while data := source.read(chunk):
+                            out.write(data)
+                    fs.move(temp, path)
+                except Exception as x:  # noqa: BLE001
+                    path, error = None, str(x) or type(x).__name__
+                rows.append((url, path, error))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["url", "path", "error"])
+
+    return narrow.mapInArrow(run, "url string, path string, error string")
+
+
+def to_tar(found: DataFrame, out: str, roots: dict[str, str] | None = None, **options: object) -> tuple[DataFrame, DataFrame]:
+    """Fetch found objects into tar archives in ``out``, a tar per task: ((path, n), (url, error)).
+
+    Members are named by their URL without its scheme; objects that cannot be fetched are not written but listed. Every object is
+    fetched once: what was fetched is written to the shared folder first.
+    """
+    from gridsmith.session import materialise
+    from gridsmith.sources import docs
+
+    got = materialise(fetch(found.select("url"), roots, **options), "fetched")
+    members = got.filter("error IS NULL").select(F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*://", "").alias("name"), F.col("data").alias("content"))
+    return docs.write_tars(members, out), got.filter("error IS NOT NULL").select("url", "error")
+
+
 def latest_manifest(listing: DataFrame, prefix: str) -> DataFrame:
     """(url): the greatest directory below ``prefix`` whose name ends in ``Z``; empty text if there is none."""
     folders = one_level(listing, prefix).filter(F.col("is_dir") & F.col("url").endswith("Z/"))
@@ -183,6 +254,11 @@ def latest_manifest(listing: DataFrame, prefix: str) -> DataFrame:
 MANIFEST_KEYS = ["fileFormat", "fileSchema", "files", "destinationBucket"]
 
 
+def missing_keys(document: Column, required: Sequence[str] = MANIFEST_KEYS) -> Column:
+    """The required members that a JSON document doesn't have (all of them if it is no object)."""
+    return F.array_except(F.array(*[F.lit(k) for k in required]), F.coalesce(F.json_object_keys(document), F.array().cast("array<string>")))
+
+
 def inventory(spark: SparkSession, manifest: dict, locate, prefix: str = "", suffix: str = "", contains: str = "") -> DataFrame:  # noqa: ANN001
     """All records of an inventory manifest (gzipped CSV parts, all columns text), filtered by key."""
     missing = [k for k in MANIFEST_KEYS if k not in manifest]
@@ -191,10 +267,23 @@ def inventory(spark: SparkSession, manifest: dict, locate, prefix: str = "", suf
     if manifest["fileFormat"] != "CSV":
         raise ValueError("only CSV inventories")
     schema = ", ".join(f"`{c.strip()}` string" for c in manifest["fileSchema"].split(","))
-    df = spark.read.schema(schema).csv([locate(f["key"]) for f in manifest["files"]])
+    df = spark.read.schema(schema).option("escape", '"').csv([locate(f["key"]) for f in manifest["files"]])
     return key_filter(df, "Key", prefix, suffix, contains)
 
 
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest at ``path``, or the one in the latest dated folder below it if it names a folder."""
+    import json
+
+    if not path.endswith(".json"):
+        found = scan(spark, path, "manifest.json").select("url")
+        latest = found.filter(F.col("url").rlike("Z/manifest.json$")).agg(F.max("url")).first()[0]
+        if latest is None:
+            raise ValueError(f"no manifest below {path}")
+        path = latest
+    return json.loads("".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+
+
 def key_filter(df: DataFrame, key: str, prefix: str = "", suffix: str = "", contains: str = "", regex: str | None = None, glob: str | None = None) -> DataFrame:
     """Rows by key: prefix (a leading slash falls away), suffix, part, and a regular expression from the start or a glob."""
     if regex and glob:

@@ -28,7 +28,7 @@ def test_index_skip_archive_and_summary(spark, tmp_path, capsys):
     assert code == 1 and json.loads(text) == {"added": 1, "failed": 1}
     rows = {r["id"]: r["archived_time"] is not None for r in Store(spark, cat).read().collect()}
     assert rows == {"a": True, "b": False, "c": False}
-    assert [(r["id"], r["action"]) for r in spark.read.parquet(f"{cat}/outbox").filter("cause = 'c'").orderBy("n").collect()] == [("a", "ARCHIVED"), ("c", "ADDED")]
+    assert [(r["id"], r["action"]) for r in Store(spark, cat).outbox().filter("cause = 'c'").orderBy("n").collect()] == [("a", "ARCHIVED"), ("c", "ADDED")]
     (tmp_path / "ids").write_text("b\n\n")
     assert out("archive", str(tmp_path / "ids"), cat)[0] == 0
     assert {r["id"] for r in Store(spark, cat).read().filter("archived_time IS NULL").collect()} == {"c"}

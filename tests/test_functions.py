@@ -83,7 +83,12 @@ def test_geo(spark):
     east, north = geo.transverse_mercator(3.0, 0.0, 31, False)
     assert abs(east - 500000) < 1e-6 and abs(north) < 1e-6
     g = {"type": "MultiPolygon", "coordinates": [[[[9, 48], [9.1, 48], [9.1, 48.1], [9, 48]]]]}
-    assert geo.project_geometry(g, 32632)["type"] == "Polygon" and geo.project_geometry(g, 3577) is None
+    assert geo.project_geometry(g, 32632)["type"] == "Polygon" and geo.project_geometry(g, 2154) is None
+    # The origin, and the worked example of the projection's definition (NAD 27 there; the ellipsoid moves it by tens of metres).
+    assert all(abs(x) < 1e-6 for x in geo.equal_area_conic(132, 0, 3577)) and abs(geo.equal_area_conic(-75, 35, 5070)[0] - 1885427) < 100
+    x, y = geo.equal_area_conic(149.1, -35.3, 3577)
+    assert abs(x - 1_550_000) < 10_000 and abs(y + 3_960_000) < 20_000
+    assert [round(v) for v in geo.web_mercator(180, 0)] == [20037508, 0]
 
 
 def test_geomedian_over_converges(spark):
@@ -135,6 +140,13 @@ def test_items(spark):
     uri = spark.createDataFrame([(json.dumps(ITEM),)], "item string")
     assert items.read_items(uri).select(items.item_uri(F.col("it.links"))).first()[0] == "s3://b/c.json"
     back = items.to_items(items.to_datasets(df.filter("k = 1"), "k").withColumn("uri", F.lit("s3://b/x/d.yaml"))).first()["item"]
+    twice = spark.createDataFrame([(7, json.dumps(ITEM | {"properties": {"gsd": 1, "eo:gsd": 2, "proj:epsg": 1}}))] * 2 + [(7, json.dumps(ITEM | {"properties": {"eo:gsd": 2, "gsd": 1}}))], "k int, item string")
+    assert sorted(r["properties"]["eo:gsd"] for r in items.to_datasets(twice, "k").collect()) == ["1", "2", "2"]
+    names = values(spark, items.grid_name(F.array("x")), 10.0, 0.5, 1 / 3600, 1 / 12000, 1e6, 123456.7, 1234567.0, 0.0001, 0.00001, 30.0, -10.0, 0.0, schema="x double")
+    assert names == [f"g{x:g}m" for x in (10.0, 0.5, 1 / 3600, 1 / 12000, 1e6, 123456.7, 1234567.0, 0.0001, 0.00001, 30.0, -10.0, 0.0)]
+    renamed = values(spark, items.renamed_product(F.col("x"), "new"), json.dumps(ITEM))[0]
+    assert json.loads(renamed) == ITEM | {"properties": ITEM["properties"] | {"odc:product": "new"}}
+    assert values(spark, items.metadata_link(F.col("x"), "STAC-LINKS-REL:canonical"), json.dumps(ITEM)) == ["s3://b/c.json"] and values(spark, items.metadata_link(F.col("x"), "properties/datetime"), json.dumps(ITEM)) == ["2020-01-01T00:00:00Z"]
     assert json.loads(back)["properties"]["gsd"] == "10" and json.loads(back)["assets"]["b1"]["href"] == "s3://b/x/b1.tif"
 
 
