@@ -71,11 +71,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     elif a.command == "archive":
         print(Store(spark, a.catalogue).archive(docs.lines(spark, a.ids, skip_empty=True).withColumnRenamed("value", "id")))
     elif a.command == "redrive":
-        dead = spark.read.parquet(a.dead)
-        n, _, _ = queue.redrive(dead, dead.limit(0), a.order, a.limit or None, dry_run=True)
-        if not a.dry_run and n:
-            queue.limited(dead, a.limit or None, a.order).write.mode("append").parquet(a.live)
-        print(n)
+        print(queue.redrive_folders(spark, a.dead, a.live, a.order, a.limit or None, a.dry_run))
     elif a.command == "sync-products":
         listed = spark.read.option("header", True).csv(a.csv).select(F.col("product").alias("names"), "definition")
         found = docs.parsed(docs.whole(spark, a.folder)).select(F.regexp_extract("uri", "([^/]*)$", 1).alias("definition"), F.get_json_object("doc", "$.name").alias("product"))

@@ -32,6 +32,17 @@ def boxes_overlap(a: dict[str, Column], left: float, bottom: float, right: float
     return x & (a["bottom"] <= top) & (a["top"] >= bottom)
 
 
+def box_polygon(left: float, bottom: float, right: float, top: float) -> dict:
+    """The box of a query as a GeoJSON polygon."""
+    return {"type": "Polygon", "coordinates": [[[left, bottom], [left, top], [right, top], [right, bottom], [left, bottom]]]}
+
+
+def box_within(a: dict[str, Column], polygon: dict) -> Column:
+    """Whether a box lies inside the polygon of a query box."""
+    xs, ys = zip(*polygon["coordinates"][0])
+    return (a["left"] >= min(xs)) & (a["right"] <= max(xs)) & (a["bottom"] >= min(ys)) & (a["top"] <= max(ys))
+
+
 def _label(x: str, y: str) -> str:
     return f"concat(IF({x} < 0, 'W', 'E'), lpad(abs({x}), 3, '0'), '_', IF({y} < 0, 'S', 'N'), lpad(abs({y}), 2, '0'))"
 

@@ -102,3 +102,9 @@ def predicate(url: Column, query: Query) -> Column:
     if query.glob is not None:
         return p & url.rlike(url_regex(query.glob))
     return p & (F.get(rel, F.lit(query.depth)) == query.file) if query.file is not None else p
+
+
+def is_query(uris: Column | str) -> Column:
+    """Whether given addresses are to be searched: a single one with a ``*``; anything else is a list of objects."""
+    u = F.col(uris) if isinstance(uris, str) else uris
+    return (F.size(u) == 1) & F.coalesce(F.get(u, F.lit(0)).contains("*"), F.lit(False))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsmith.session import broadcast_if_small
@@ -157,6 +157,18 @@ def product_sync(listed: DataFrame, definitions: DataFrame, known: DataFrame, up
     return each.join(there, "product", "left").select("product", status.alias("status"))
 
 
+def register(wanted: DataFrame, definitions: DataFrame, known: DataFrame) -> DataFrame:
+    """(product, status, doc) of products to be registered from their definitions (product, doc): known, registered or unknown.
+
+    The ``registered`` rows are what is appended to the products; an unknown product must stop the run.
+    """
+    docs = definitions.filter("product IS NOT NULL").groupBy("product").agg(F.min("doc").alias("doc"))
+    there = known.select("product").distinct().withColumn("__there", F.lit(True))
+    rows = wanted.select("product").distinct().join(docs, "product", "left").join(there, "product", "left")
+    status = F.when(F.col("__there"), "known").when(F.col("doc").isNotNull(), "registered").otherwise("unknown")
+    return rows.select("product", status.alias("status"), F.when(F.col("__there").isNull(), F.col("doc")).alias("doc"))
+
+
 def match_products(datasets: DataFrame, products: DataFrame) -> DataFrame:
     """(id, product) by band sets: a dataset belongs to each product all of whose bands it has.
 
@@ -204,6 +216,46 @@ def view(found: DataFrame, most: int = 2000) -> tuple[int, DataFrame | None]:
     return n, found if n < most else None
 
 
+def drawable(found: DataFrame, group: str, most: int = 2000) -> DataFrame:
+    """(group, n, shown): which groups of a search are few enough to be drawn (fewer than ``most``)."""
+    return found.groupBy(group).agg(F.count("*").alias("n")).withColumn("shown", F.col("n") < most)
+
+
+def point_in_time(catalogue: DataFrame, x: float, y: float) -> DataFrame:
+    """Datasets whose box holds a point, numbered in time order (``n``; ties by id).
+
+    One point has few datasets; their order comes from a ranked array per year, so that no task sees all of them.
+    """
+    hit = catalogue.filter((F.col("left") <= x) & (F.col("right") >= x) & (F.col("bottom") <= y) & (F.col("top") >= y))
+    return numbered_by(hit, F.year("center_time"), "center_time", "id")
+
+
+def numbered_by(df: DataFrame, part: Column, *order: str) -> DataFrame:
+    """Add ``n``, the row's place in ``order``: numbered within the parts (which must rise with the order), parts after one another."""
+    ranged = df.withColumn("__part", F.coalesce(part, F.lit(-(2**31))))
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__size"))
+    total = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__size").over(total), F.lit(0)).alias("__start"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(broadcast_if_small(starts), "__part").withColumn("n", F.col("__start") + nth).drop("__part", "__start")
+
+
+def progress(df: DataFrame, part: Column, order: str, every: int) -> DataFrame:
+    """Every ``every``-th row of a run: (n, order, elapsed seconds since the first)."""
+    if every < 1:
+        raise ValueError("every must be positive")
+    first = df.agg(F.min(order).alias("__first"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = numbered_by(df, part, order).filter(F.col("n") % every == 0)
+    return rows.crossJoin(F.broadcast(first)).select("n", order, ((micros(order) - micros("__first")) / 1e6).alias("elapsed"))
+
+
+def gauges(counts_: DataFrame, name: str, **tags: str) -> DataFrame:
+    """(line): a gauge report of each outcome, ``name:value|g|#tag:value,…``."""
+    said = ",".join([f"{k}:{v}" for k, v in sorted(tags.items())])
+    return counts_.select(F.concat(F.lit(f"{name}:"), F.col("n").cast("string"), F.lit("|g|#"), F.lit(said + "," if said else ""), F.lit("action:"), F.col("status")).alias("line"))
+
+
 def summaries(catalogue: DataFrame, *groups: str) -> DataFrame:
     """Total, live, temporal and spatial extent per product (or other groups)."""
     groups = groups or ("product",)
@@ -219,17 +271,3 @@ def rates(df: DataFrame, group: str, ts: str) -> DataFrame:
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     g = df.groupBy(group).agg(F.count("*").alias("n"), ((F.max(micros) - F.min(micros)) / 1e6).alias("elapsed"))
     return g.withColumn("fps", F.when(F.col("elapsed") > 0, F.col("n") / F.col("elapsed")).otherwise(F.lit(0.0)))
-
-
-def export(datasets: DataFrame, band_grids: dict[str, list[str]] | None = None) -> DataFrame:
-    """(file, document): dataset rows as JSON documents in files ``<id>-metadata.json``.
-
-    Rows without a uri are left out. ``band_grids`` names the bands of each grid; the other bands lie on ``default``. Band
-    numbers of 1 and null layers are omitted.
-    """
-    inverse = F.create_map(*[F.lit(x) for g, bs in (band_grids or {}).items() if g != "default" for b in bs for x in (b, g)]) if band_grids and any(g != "default" and b for g, b in band_grids.items()) else None
-    grid = lambda k, v: F.coalesce(F.try_element_at(inverse, k), v["grid"]) if inverse is not None else v["grid"]
-    m = F.transform_values("measurements", lambda k, v: F.struct(v["path"].alias("path"), F.when(v["band"] != 1, v["band"]).alias("band"), grid(k, v).alias("grid")))
-    cols = [c for c in ("label", "crs", "geometry", "grids", "accessories", "lineage", "properties") if c in datasets.columns]
-    doc = F.to_json(F.struct("id", F.struct(F.col("product").alias("name")).alias("product"), F.array("uri").alias("location"), m.alias("measurements"), *cols))
-    return datasets.filter("uri IS NOT NULL").select(F.concat("id", F.lit("-metadata.json")).alias("file"), doc.alias("document"))

@@ -69,8 +69,9 @@ def documents(datasets: DataFrame, product_bands: DataFrame, band_grids: Mapping
     df = datasets.filter(F.size("uris") > 0).join(product_bands.select("product", "bands"), "product", "left")
     df = df.withColumn("__grids", grids(F.col("measurements"), F.col("transform"), band_grids))
     if shared_grids:
-        done = df.groupBy("product").agg(F.min(F.when(known(F.col("__grids")), F.struct("id", "__grids"))).alias("__first"))
-        df = df.join(done, "product", "left").withColumn("__grids", F.when(F.col("id") > F.col("__first.id"), F.col("__first.__grids")).otherwise(F.col("__grids"))).drop("__first")
+        when = F.when(known(F.col("__grids")), F.col("id"))
+        done = df.groupBy("product").agg(F.min(when).alias("__first"), F.min_by("__grids", when).alias("__kept"))
+        df = df.join(done, "product", "left").withColumn("__grids", F.when(F.col("id") > F.col("__first"), F.col("__kept")).otherwise(F.col("__grids"))).drop("__first", "__kept")
     number = F.col("measurements")
     kept = F.transform_values(
         defined(number, F.coalesce("bands", F.expr("CAST(array() AS array<string>)"))),

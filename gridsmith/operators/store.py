@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsmith.operators import catalogue
+from gridsmith.session import materialise
 
 SCHEMA = "id string, product string, region_code string, center_time timestamp, maturity string, uri string, archived_time timestamp, doc string"
 EVENTS = "cause string, n int, id string, action string"
@@ -108,6 +109,8 @@ class Store:
         ``batch`` (stream, number) makes the call repeatable: a batch that is in already changes nothing and counts nothing.
         """
         within = options.get("archive_less_mature")
+        # Fetching gives rows in any order: what is judged and what is written must be the same rows.
+        incoming = materialise(incoming, "incoming")
 
         def change() -> dict[str, int]:
             number, manifest = self.head()

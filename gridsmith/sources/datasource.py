@@ -1,34 +1,40 @@
 """A live object listing as a data source: ``spark.read.format("object_listing").option("path", folder).load()``.
 
-The folder is split by its first level, a partition per sub-folder. A prefix condition on ``url`` is taken over by the
+The folder's upper levels are split, a partition per sub-folder; hidden files are objects like any other. A prefix condition on ``url`` is taken over by the
 reader (with ``spark.sql.python.filterPushdown.enabled``): sub-folders that cannot match are never listed.
 """
 
 from __future__ import annotations
 
+import fnmatch
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition, StringStartsWith
 
+from gridsmith.sources import files
+
+SPLIT, LEVELS = 32, 3
 SCHEMA = "url string, size long, last_modified timestamp, etag string"
 
 
 def _list(path: str, recursive: bool) -> list:
     import pyarrow.fs as pafs
 
-    fs, inner = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    fs, inner = files.resolve(path)
     return fs.get_file_info(pafs.FileSelector(inner, recursive=recursive, allow_not_found=True))
 
 
 class ListingPartition(InputPartition):
-    def __init__(self, path: str, recursive: bool):
-        self.path, self.recursive = path, recursive
+    """Folders (path, whether with all below) that one task lists."""
+
+    def __init__(self, folders: list[tuple[str, bool]]):
+        self.folders = folders
 
 
 class ListingReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root, self.prefix = root.rstrip("/"), ""
+    def __init__(self, root: str, pattern: str = "*", recursive: bool = True):
+        self.root, self.prefix, self.pattern, self.recursive = root.rstrip("/"), "", pattern, recursive
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
@@ -38,20 +44,23 @@ class ListingReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        import pyarrow.fs as pafs
-
-        folders = [f"{self.root}/{i.base_name}" for i in _list(self.root, False) if i.type == pafs.FileType.Directory]
-        folders = [f for f in folders if f"{f}/".startswith(self.prefix) or self.prefix.startswith(f"{f}/")]
-        return [ListingPartition(self.root, False), *[ListingPartition(f, True) for f in folders]]
+        """At most ``SPLIT`` tasks over the folders of the upper levels, which are opened until there are enough of them."""
+        open_, flat = [self.root], []
+        for _ in range(LEVELS if self.recursive else 0):
+            if len(open_) >= SPLIT:
+                break
+            below = [f"{f}/{i.base_name}" for f in open_ for i in _list(f, False) if not i.is_file]
+            below = [f for f in below if f"{f}/".startswith(self.prefix) or self.prefix.startswith(f"{f}/")]
+            flat, open_ = [*flat, *open_], below
+        folders = [*[(f, False) for f in flat], *[(f, self.recursive) for f in open_]]
+        return [ListingPartition(folders[i::SPLIT]) for i in range(min(SPLIT, len(folders)))]
 
     def read(self, partition: ListingPartition) -> Iterator[tuple]:
-        import pyarrow.fs as pafs
-
-        base = partition.path.rstrip("/")
-        inner = base.split("://", 1)[-1]
-        for i in _list(base, partition.recursive):
-            if i.type == pafs.FileType.File:
-                yield base + i.path[len(inner) :], i.size, i.mtime, None
+        for base, deep in partition.folders:
+            inner = files.resolve(base)[1].rstrip("/")
+            for i in _list(base, deep):
+                if i.is_file and fnmatch.fnmatchcase(i.base_name, self.pattern):
+                    yield base + i.path[len(inner) :], i.size, i.mtime, None
 
 
 class ObjectListing(DataSource):
@@ -63,7 +72,7 @@ class ObjectListing(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return ListingReader(self.options["path"])
+        return ListingReader(self.options["path"], self.options.get("pattern", "*"), self.options.get("recursive", "true") != "false")
 
 
 def register(spark: SparkSession) -> None:

@@ -21,7 +21,7 @@ def lines(spark: SparkSession, path: str, skip_empty: bool = False) -> DataFrame
 
 
 def whole(spark: SparkSession, path: str, binary: bool = False, pattern: str | None = None) -> DataFrame:
-    """(uri, content): whole files as text or bytes."""
+    """(uri, content): whole files as text or bytes; hidden and empty files are left out (``listing.documents`` has them)."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     df = (r.option("pathGlobFilter", pattern) if pattern else r).load(path).select(F.col("path").alias("uri"), "content")
     return df if binary else df.withColumn("content", F.decode("content", "UTF-8"))

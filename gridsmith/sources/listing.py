@@ -21,9 +21,12 @@ def objects(df: DataFrame, bucket: Column, key: Column, size: Column, last_modif
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """A listing of files on any file system Spark can reach; contents are not read."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return df.select(F.col("path").alias("url"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), F.lit(None).cast("string").alias("etag"))
+    """A listing of files on any file system, by tasks that list a folder each; contents are not read."""
+    from gridsmith.sources import datasource
+
+    datasource.register(spark)
+    root = path if ":" in path.split("/", 1)[0] else f"file:{path}"
+    return spark.read.format("object_listing").option("path", root).option("pattern", pattern).option("recursive", str(recursive).lower()).load()
 
 
 def find(listing: DataFrame, query: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridsmith.session import materialise
+
 ENVELOPE = "struct<Type:string,MessageId:string,TopicArn:string,Message:string,Timestamp:string,MessageAttributes:map<string,struct<Type:string,Value:string>>>"
 NOTIFICATION = "array<struct<eventTime:string,eventName:string,s3:struct<bucket:struct<name:string>,object:struct<key:string>>>>"
 
@@ -73,6 +75,29 @@ def redrive(dead: DataFrame, live: DataFrame, order: str, limit: int | None = No
     return n, dead.join(moving.select(order), order, "left_anti"), live.unionByName(moving.select(*live.columns))
 
 
+def redrive_folders(spark: SparkSession, dead: str, live: str, order: str, limit: int | None = None, dry_run: bool = False) -> int:
+    """Move messages between queues that are folders of Parquet files: sent first, deleted after; the number moved.
+
+    ``order`` identifies a message. If the run ends between the two steps messages are in both queues (at least once), never in none.
+    """
+    rows = spark.read.parquet(dead)
+    moving = limited(rows, limit, order)
+    if dry_run:
+        return moving.count()
+    moving = materialise(moving, "moving")
+    n = moving.count()
+    if n:
+        moving.write.mode("append").parquet(live)
+        rest = f"{dead.rstrip('/')}.rest"
+        rows.join(moving.select(order), order, "left_anti").select(*rows.columns).write.mode("overwrite").parquet(rest)
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        fs = path(dead).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(path(dead), True)
+        fs.rename(path(rest), path(dead))
+    return n
+
+
 def stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
     """Messages that land as Parquet files, as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)

@@ -178,16 +178,13 @@ def test_maturity(spark):
     assert sent == [("n", "ARCHIVED"), ("x", "ADDED"), ("z", "ADDED")]
 
 
-def test_archive_search_and_export(spark):
+def test_archive_and_search(spark):
     c = cat(spark, ("a", 5, None, "u"), ("b", 3, None, None))
     gone = catalogue.archive(c, spark.createDataFrame([("a",)], "id string"), F.current_timestamp())
     assert [r["id"] for r in catalogue.search(gone).collect()] == ["b"]
     assert [r["id"] for r in catalogue.search(c, "p", limit=1).collect()] == ["b"]
     with pytest.raises(ValueError):
         catalogue.search(c, limit=0)
-    d = c.withColumn("measurements", F.from_json(F.lit('{"x":{"path":"p","band":1},"y":{"path":"q","band":2}}'), "map<string,struct<path:string,band:int,grid:string>>"))
-    docs_ = catalogue.export(d, {"g": ["y"], "default": ["x"]}).collect()
-    assert [r["file"] for r in docs_] == ["a-metadata.json"] and json.loads(docs_[0]["document"])["measurements"] == {"x": {"path": "p"}, "y": {"path": "q", "band": 2, "grid": "g"}}
 
 
 def test_lineage_and_products(spark):
@@ -255,7 +252,7 @@ def test_listing_source(spark, rows, tmp_path):
     assert sorted(r["size"] for r in only.collect()) == [5, 5]
     reader = datasource.ListingReader(str(tmp_path))
     list(reader.pushFilters([datasource.StringStartsWith(("url",), f"{tmp_path}/a/x")]))
-    assert [p.path for p in reader.partitions()] == [str(tmp_path), f"{tmp_path}/a"]
+    assert sorted(f for p in reader.partitions() for f, _ in p.folders) == [str(tmp_path), f"{tmp_path}/a", f"{tmp_path}/a/x"]
 
 
 def test_view(spark):

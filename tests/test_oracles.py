@@ -7,10 +7,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from gridsmith.plans import problems, reference
+from gridsmith.plans import pipelines, problems, reference, registry
 
 DATA = "/root/testdata/sf0.001"
-MODULES = [problems, reference]
+MODULES = [problems, registry]
+REGISTERED = (reference, pipelines)
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 PAIRS = [(n, m) for m in MODULES for n in m.ORACLES]
 
