@@ -68,13 +68,22 @@ def box_of_transform(transform: Column, shape: Column) -> Column:
     return F.struct(F.least(x0, x1).alias("left"), F.least(y0, y1).alias("bottom"), F.greatest(x0, x1).alias("right"), F.greatest(y0, y1).alias("top"))
 
 
+def binned(df: DataFrame, x: Column, y: Column, size: float, member: str) -> DataFrame:
+    """(tx, ty, n, members): rows by square tiles of ``size``, with the sorted members of each.
+
+    Members are gathered: the size must be such that a tile's fit a task; ``n`` alone has no such bound.
+    """
+    tile = df.select(F.floor(x / size).alias("tx"), F.floor(y / size).alias("ty"), member)
+    return tile.groupBy("tx", "ty").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(member)).alias("members"))
+
+
 def solar_day(ts: Column, longitude: Column) -> Column:
     """Calendar day of the local solar time."""
     return F.timestamp_micros(F.unix_micros(ts.cast("timestamp")) + (longitude * 240_000_000).cast("long")).cast("date")
 
 
 def hull(points: list) -> list:
-    """Convex hull, counter-clockwise, closed."""
+    """Convex hull, counter-clockwise, closed. Points on a side (but for rounding) are no corners."""
     pts = sorted({(float(x), float(y)) for x, y in points})
     if len(pts) < 3:
         return [list(p) for p in pts]
@@ -82,7 +91,10 @@ def hull(points: list) -> list:
     def half(seq: list) -> list:
         out: list = []
         for p in seq:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+            while len(out) > 1:
+                (ax, ay), (bx, by) = (out[-1][0] - out[-2][0], out[-1][1] - out[-2][1]), (p[0] - out[-1][0], p[1] - out[-1][1])
+                if ax * by - ay * bx > 1e-12 * math.hypot(ax, ay) * math.hypot(bx, by):
+                    break
                 out.pop()
             out.append(p)
         return out
@@ -214,6 +226,14 @@ def convex_hull(points):  # noqa: ANN001, ANN201
     return points.map(lambda ps: None if ps is None else hull([list(p) for p in ps]))
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def simplified(ring, tolerance):  # noqa: ANN001, ANN201
+    """Arrow-batched ``simplify`` of rings: the end points and whatever is farther than the tolerance from the line of its neighbours."""
+    import pandas as pd
+
+    return pd.Series([None if r is None else simplify([list(p) for p in r], t) for r, t in zip(ring, tolerance)])
+
+
 def footprints(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """Convex hull of each group's points.
 
@@ -237,7 +257,10 @@ def footprints(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
 
 
 def feature_collection(df: DataFrame, x: str = "x", y: str = "y", step: int = 1) -> DataFrame:
-    """One row with the GeoJSON of a tile grid, titles like ``+5,-3``. For grids of bounded size (at most 360 x 180 tiles)."""
+    """One row with the GeoJSON of a tile grid, titles like ``+5,-3``. For grids of bounded size (at most 360 x 180 tiles).
+
+    A coordinate of zero has a plus sign.
+    """
     ring = F.expr(f"array(array({x}, {y}), array({x} + {step}, {y}), array({x} + {step}, {y} + {step}), array({x}, {y} + {step}), array({x}, {y}))")
     title = F.concat(F.when(F.col(x) < 0, "").otherwise("+"), F.col(x).cast("string"), F.lit(","), F.when(F.col(y) < 0, "").otherwise("+"), F.col(y).cast("string"))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(title.alias("title")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))

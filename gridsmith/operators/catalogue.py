@@ -240,14 +240,19 @@ def numbered_by(df: DataFrame, part: Column, *order: str) -> DataFrame:
     return ranged.join(broadcast_if_small(starts), "__part").withColumn("n", F.col("__start") + nth).drop("__part", "__start")
 
 
-def progress(df: DataFrame, part: Column, order: str, every: int) -> DataFrame:
-    """Every ``every``-th row of a run: (n, order, elapsed seconds since the first)."""
+def progress(df: DataFrame, part: Column, order: str, every: int, *ties: str) -> DataFrame:
+    """Every ``every``-th row of a run in ``order``: (n, order, elapsed seconds since the first). ``part`` must rise with the order."""
     if every < 1:
         raise ValueError("every must be positive")
-    first = df.agg(F.min(order).alias("__first"))
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = numbered_by(df, part, order).filter(F.col("n") % every == 0)
-    return rows.crossJoin(F.broadcast(first)).select("n", order, ((micros(order) - micros("__first")) / 1e6).alias("elapsed"))
+    first = df.agg(F.min(order).alias("first")).first()["first"]
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows = numbered_by(df, part, order, *ties).filter(F.col("n") % every == 0)
+    return rows.select("n", order, ((micros(F.col(order)) - micros(F.lit(first).cast(df.schema[order].dataType))) / 1e6).alias("elapsed"))
+
+
+def empty(df: DataFrame, result: str) -> DataFrame:
+    """Rows whose result (an array or map) is empty or absent: the list of failures of a step."""
+    return df.filter(F.coalesce(F.size(result), F.lit(0)) <= 0)
 
 
 def gauges(counts_: DataFrame, name: str, **tags: str) -> DataFrame:

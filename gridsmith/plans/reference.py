@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridsmith.functions import geo, globs, identifiers, items, raster, text, urls
+from gridsmith.functions import geo, identifiers, items, raster, text, urls
 from gridsmith.operators import catalogue, nested
-from gridsmith.plans.registry import ORACLES, QUERIES, query
-from gridsmith.session import broadcast_if_small, load, materialise
+from gridsmith.plans.registry import query
+from gridsmith.session import broadcast_if_small, load, scratch
 from gridsmith.sources import docs, listing, queue
 
 def objects(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "tiny_file").select(F.col("href").alias("url"), F.col("n_bytes").alias("size"), F.col("written_at").alias("last_modified"), F.md5(F.coalesce("body", F.lit("")).cast("binary")).alias("etag"), "file_no")
+    """The small files as a listing: raw entries of buckets made listing records."""
+    f = load(s, d, "tiny_file")
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce("body", F.lit("")).cast("binary")), F.lit('"'))
+    entries = f.select("file_no", F.regexp_extract("href", "^s3://([^/]*)", 1).alias("bucket"), F.regexp_replace("href", "^s3://[^/]*/", "").alias("key"), F.col("n_bytes").alias("bytes"), F.col("written_at").alias("at"), tag.alias("tag"))
+    return listing.objects(entries, F.col("bucket"), F.col("key"), F.col("bytes"), F.col("at"), F.col("tag"), "file_no")
 
 
 # --- listings ---------------------------------------------------------------------------------------------------------
@@ -77,7 +81,7 @@ def inventory_filter(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, CAST(sum(n_bytes) AS bigint) AS n_bytes, round(sum(n_bytes) / 1073741824.0, 6) AS gib FROM tiny_file")
 def inventory_summary(s: SparkSession, d: str) -> DataFrame:
-    return objects(s, d).agg(F.count("*").alias("n"), F.sum("size").alias("n_bytes"), F.round(F.sum("size") / 1073741824.0, 6).alias("gib"))
+    return listing.volume(objects(s, d)).withColumn("gib", F.round("gib", 6))
 
 
 @query("SELECT coalesce(max('s3://inv/' || strftime(written_at, '%Y-%m-%dT%H-%MZ') || '/'), '') AS url FROM tiny_file")
@@ -152,8 +156,12 @@ def message_decode(s: SparkSession, d: str) -> DataFrame:
 @query("""SELECT coalesce(message_attributes['action'].attr_value, 'ADDED') AS action, coalesce(message_attributes['product'].attr_value, try_cast(message AS json)->>'$.collection') AS product, count(*) AS n
     FROM sqs_message GROUP BY ALL""")
 def message_action(s: SparkSession, d: str) -> DataFrame:
-    m = load(s, d, "sqs_message").select(F.coalesce(F.col("message_attributes")["action"]["attr_value"], F.lit("ADDED")).alias("action"), F.col("message_attributes")["product"]["attr_value"].alias("p"), F.get_json_object("message", "$.collection").alias("c"))
-    a = items.event_attributes(F.col("action"), F.create_map(F.lit("odc:product"), F.coalesce("p", F.lit("")), F.lit("datetime"), F.lit("")), F.col("c"))
+    """Actions and products of messages, from their envelopes."""
+    attributes = F.transform_values("message_attributes", lambda _, v: F.struct(v["attr_type"].alias("Type"), v["attr_value"].alias("Value")))
+    body = F.to_json(F.struct(F.col("message_id").alias("MessageId"), F.col("message").alias("Message"), attributes.alias("MessageAttributes")))
+    m = queue.decoded(load(s, d, "sqs_message").select(F.col("message_attributes")["product"]["attr_value"].alias("p"), "message", body.alias("body")))
+    p = F.create_map(F.lit("odc:product"), F.coalesce("p", F.lit("")), F.lit("datetime"), F.lit(""))
+    a = items.event_attributes(F.coalesce("action", F.lit("ADDED")), p, F.get_json_object("message", "$.collection"))
     return m.select(a.alias("a")).groupBy(F.col("a")["action"].alias("action"), F.col("a")["product"].alias("product")).agg(F.count("*").alias("n"))
 
 
@@ -279,10 +287,17 @@ def match_by_bands(s: SparkSession, d: str) -> DataFrame:
     return catalogue.match_products(have, need)
 
 
-@query("SELECT action, id FROM (SELECT 'ADDED' AS action, in_id AS id FROM (" + f"{_PAIRS} SELECT DISTINCT in_id FROM pairs WHERE old_rank < in_rank) UNION ALL SELECT 'ARCHIVED', old_id FROM ({_PAIRS} SELECT DISTINCT in_id, old_id FROM pairs WHERE old_rank < in_rank))")
+@query(f"""WITH {_ROWS}, ranked AS (SELECT *, CASE maturity WHEN 'nrt' THEN 0 WHEN 'interim' THEN 1 WHEN 'final' THEN 2 END AS m FROM rows),
+    old AS (SELECT c.id, c.product, c.region_code, c.center_time, CASE c.maturity WHEN 'nrt' THEN 0 WHEN 'interim' THEN 1 WHEN 'final' THEN 2 END AS m FROM catalogue c),
+    near AS (SELECT i.seq, i.id AS in_id, o.id AS old_id, CASE i.maturity WHEN 'nrt' THEN 0 WHEN 'interim' THEN 1 WHEN 'final' THEN 2 END AS im, o.m FROM incoming i JOIN old o ON o.product = i.product AND o.region_code = i.region_code AND o.id <> i.id
+        AND abs(epoch_us(o.center_time) - epoch_us(i.center_time)) <= 2592000000000),
+    added AS (SELECT id FROM incoming i WHERE id IS NOT NULL AND uri IS NOT NULL AND k = 1 AND id NOT IN (SELECT id FROM catalogue WHERE id IS NOT NULL) AND id NOT IN (SELECT in_id FROM near WHERE m >= im))
+    SELECT id AS cause, 'ADDED' AS action, id FROM added UNION ALL SELECT DISTINCT in_id, 'ARCHIVED', old_id FROM near WHERE m < im AND in_id IN (SELECT id FROM added)""")
 def published_events(s: SparkSession, d: str) -> DataFrame:
-    gone = catalogue.less_mature(_order_pairs(s, d))
-    return gone.select("in_id").distinct().select(F.lit("ADDED").alias("action"), F.col("in_id").alias("id")).unionByName(gone.select(F.lit("ARCHIVED").alias("action"), F.col("old_id").alias("id")))
+    """What a batch publishes: less mature datasets archived on account of an addition, then the addition."""
+    old, new = _catalogue(s, d)
+    within = 30 * 86_400_000
+    return catalogue.events(catalogue.statuses(new, old, archive_less_mature=within), old, within).select("cause", "action", "id")
 
 
 # --- items and geometry -----------------------------------------------------------------------------------------------
@@ -303,15 +318,22 @@ def region_code(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "lineitem").select("l_orderkey", "l_linenumber", items.region_code(p).alias("region"))
 
 
-@query(r"""SELECT record_no, CASE WHEN starts_with(href, regexp_replace(href, '[^/]*/[^/]*$', '')) AND href LIKE '%://%' THEN regexp_extract(href, '([^/]*/[^/]*)$', 1) ELSE href END AS path FROM dataset_record""")
+@query(r"""WITH r AS (SELECT record_no, href, record_no % 3 AS way, regexp_replace(href, '[^/]*/[^/]*$', '') AS above FROM dataset_record)
+    SELECT record_no, CASE WHEN way = 0 AND href LIKE '%://%/%/%' THEN substr(href, length(above) + 1) ELSE href END AS path FROM r""")
 def relative_path(s: SparkSession, d: str) -> DataFrame:
-    base = F.regexp_replace("href", "[^/]*/[^/]*$", "item.json")
-    return load(s, d, "dataset_record").select("record_no", F.when(F.col("href").contains("://"), urls.relative_path(F.col("href"), base)).otherwise(F.col("href")).alias("path"))
+    """Addresses below the item's folder, in a folder beside it and of another host."""
+    way = F.col("record_no") % 3
+    base = F.when(way == 0, F.regexp_replace("href", "[^/]*/[^/]*$", "item.json")).when(way == 1, F.regexp_replace("href", "[^/]*$", "sub/item.json")).otherwise(F.lit("s3://elsewhere/x/item.json"))
+    below = F.when(F.col("href").rlike("://.*/.*/"), urls.relative_path(F.col("href"), base)).otherwise(F.col("href"))
+    return load(s, d, "dataset_record").select("record_no", below.alias("path"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'g' || p_size || 'm' ELSE 'g' || (p_size / 4.0) || 'm' END AS grid FROM part WHERE p_size IS NOT NULL""")
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'g' || p_size || 'm' WHEN 1 THEN 'g' || regexp_replace(CAST(CAST(p_size / 4.0 AS decimal(9,2)) AS varchar), '\\.?0+$', '') || 'm'
+    WHEN 2 THEN 'g' || printf('%g', p_size / 600000.0) || 'm' ELSE 'g' || printf('%g', p_size * 100000.0) || 'm' END AS grid FROM part WHERE p_size IS NOT NULL""")
 def grid_names(s: SparkSession, d: str) -> DataFrame:
-    size = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("double")).otherwise(F.col("p_size") / 4.0)
+    """Names of grids from very small to very large pixels."""
+    n = F.col("p_size")
+    size = F.when(n % 4 == 0, n.cast("double")).when(n % 4 == 1, n / 4.0).when(n % 4 == 2, n / 600000.0).otherwise(n * 100000.0)
     return load(s, d, "part").select("p_partkey", items.grid_name(F.array(size)).alias("grid"))
 
 
@@ -332,9 +354,10 @@ def dem_tiles(s: SparkSession, d: str) -> DataFrame:
     return geo.tiles(s, None, 1)
 
 
-@query(_tile_sql(3))
+@query(f"SELECT * FROM ({_tile_sql(3)}) WHERE x BETWEEN -18 AND 60 AND y BETWEEN -39 AND 36")
 def worldcover_tiles(s: SparkSession, d: str) -> DataFrame:
-    return geo.tiles(s, (-180.0, -90.0, 180.0, 90.0), 3)
+    """A box that is no multiple of three on any side, snapped outward."""
+    return geo.tiles(s, (-17.9, -38.2, 60.4, 36.1), 3)
 
 
 _POINTS = "SELECT c_custkey AS id, c_mktsegment AS product, (c_custkey * 37 % 3600) / 10.0 - 180 AS lon, (c_custkey * 53 % 1800) / 10.0 - 90 AS lat, c_nationkey FROM customer"
@@ -366,13 +389,16 @@ def period_step(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "orders").select("o_orderkey", t("yyyy-MM-dd").alias("day"), t("yyyy-MM").alias("month"), t("yyyy").alias("year"))
 
 
-@query(f"WITH p AS ({_POINTS}) SELECT id, row_number() OVER (ORDER BY c_nationkey, id) AS n FROM p WHERE lon <= 10.05 AND lon + 5 >= 10.05 AND lat <= 20.05 AND lat + 5 >= 20.05")
-def pixel_drill(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+_SCENES_AT = "SELECT record_no AS id, loaded_at AS center_time, (record_no * 37 % 3600) / 10.0 - 180 AS lon, (record_no * 53 % 1800) / 10.0 - 90 AS lat FROM dataset_record"
+
 
-    hit = _points(s, d).filter((F.col("lon") <= 10.05) & (F.col("lon") + 5 >= 10.05) & (F.col("lat") <= 20.05) & (F.col("lat") + 5 >= 20.05))
-    # Drilling one point gives few datasets; they are numbered in time order.
-    return hit.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("c_nationkey", "id")).cast("bigint").alias("n"))
+@query(f"WITH p AS ({_SCENES_AT}) SELECT id, row_number() OVER (ORDER BY center_time, id) AS n FROM p WHERE lon <= 10.05 AND lon + 25 >= 10.05 AND lat <= 20.05 AND lat + 25 >= 20.05")
+def pixel_drill(s: SparkSession, d: str) -> DataFrame:
+    """The datasets that hold one point, numbered in time order."""
+    n = F.col("record_no")
+    lon, lat = (n * 37 % 3600) / 10.0 - 180, (n * 53 % 1800) / 10.0 - 90
+    boxes = load(s, d, "dataset_record").select(n.alias("id"), F.col("loaded_at").alias("center_time"), lon.alias("left"), (lon + 25).alias("right"), lat.alias("bottom"), (lat + 25).alias("top"))
+    return catalogue.point_in_time(boxes, 10.05, 20.05).select("id", "n")
 
 
 @query("""SELECT CAST(ts + to_microseconds(CAST((user_id % 360 - 180) * 240000000 AS bigint)) AS date) AS day, count(*) AS n FROM events GROUP BY 1""")
@@ -380,19 +406,31 @@ def solar_day_groups(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "events").groupBy(geo.solar_day(F.col("ts"), (F.col("user_id") % 360 - 180).cast("double")).alias("day")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH p AS ({_POINTS}) SELECT CAST(floor(lon / 10) AS bigint) AS tx, CAST(floor(lat / 10) AS bigint) AS ty, count(*) AS n, min(id) AS first_id FROM p GROUP BY 1, 2")
+@query(f"WITH p AS ({_POINTS}) SELECT CAST(floor(lon / 10) AS bigint) AS tx, CAST(floor(lat / 10) AS bigint) AS ty, count(*) AS n, array_to_string(list_sort(list(id)), ',') AS members FROM p GROUP BY 1, 2")
 def tile_binning(s: SparkSession, d: str) -> DataFrame:
-    return _points(s, d).groupBy(F.floor(F.col("lon") / 10).alias("tx"), F.floor(F.col("lat") / 10).alias("ty")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    """Points binned to tiles of ten degrees, with their members."""
+    g = geo.binned(_points(s, d), F.col("lon"), F.col("lat"), 10.0, "id")
+    return g.select("tx", "ty", "n", F.array_join("members", ",").alias("members"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT DISTINCT product, lon, lat FROM ({_POINTS})),
+    slopes AS (SELECT a.product, a.lon, a.lat, atan2(b.lat - a.lat, b.lon - a.lon) AS w FROM p a JOIN p b ON a.product = b.product AND (a.lon <> b.lon OR a.lat <> b.lat)),
+    gaps AS (SELECT product, lon, lat, w, lead(w) OVER (PARTITION BY product, lon, lat ORDER BY w) - w AS gap, min(w) OVER (PARTITION BY product, lon, lat) + 2 * pi() - max(w) OVER (PARTITION BY product, lon, lat) AS round FROM slopes)
+    SELECT product, lon, lat FROM gaps GROUP BY ALL HAVING greatest(max(gap), max(round)) > pi() + 1e-9""")
 def footprint_hulls(s: SparkSession, d: str) -> DataFrame:
-    return geo.footprints(_points(s, d), "product", "lon", "lat")
+    """Corners of the hull of each product's points. A point is a corner if all others lie within less than half a turn of it."""
+    rings = geo.footprints(_points(s, d), "product", "lon", "lat")
+    return rings.select("product", F.explode(F.array_distinct("ring")).alias("p")).select("product", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
 
 
-@query()
+@query("""WITH t AS (SELECT x, y FROM range(-2, 7, 1) a(x), range(-1, 7, 1) b(y)),
+    f AS (SELECT printf('%+d,%+d', x, y) AS title, x, y, '[[' || x || ',' || y || '],[' || (x + 1) || ',' || y || '],[' || (x + 1) || ',' || (y + 1) || '],[' || x || ',' || (y + 1) || '],[' || x || ',' || y || ']]' AS ring FROM t)
+    SELECT title, ring FROM f""")
 def grid_geojson(s: SparkSession, d: str) -> DataFrame:
-    return geo.feature_collection(geo.tiles(s, (5, 5, 7, 7)))
+    """The tile grid of a box as one GeoJSON document, its features taken apart again."""
+    doc = geo.feature_collection(geo.tiles(s, (-1.5, -1, 7, 7)))
+    feature = F.explode(F.from_json(F.get_json_object("geojson", "$.features"), "array<struct<properties:struct<title:string>,geometry:struct<coordinates:array<array<array<int>>>>>>")).alias("f")
+    return doc.filter(F.get_json_object("geojson", "$.type") == "FeatureCollection").select(feature).select(F.col("f.properties.title").alias("title"), F.to_json(F.col("f.geometry.coordinates")[0]).alias("ring"))
 
 
 # --- queues -----------------------------------------------------------------------------------------------------------
@@ -425,11 +463,9 @@ _LIVE = "WITH k AS (SELECT user_id AS key, event_id AS tie, epoch_us(ts) AS inst
 @query(f"{_LIVE} SELECT key, tie FROM k WHERE n = 1 AND live")
 def stream_index(s: SparkSession, d: str) -> DataFrame:
     """Events through the streaming indexer until the queue is empty; must equal the batch result."""
-    from gridsmith.session import shared_dir
     from gridsmith.streaming import indexer
-    import uuid
 
-    out = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    out = scratch(s, "stream")
     load(s, d, "events").repartitionByRange(4, "ts").write.parquet(f"{out}/queue")
     decode = lambda b: b.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("instant"), F.col("event_id").alias("tie"), (F.col("event_type") != "click").alias("live"))
     messages = queue.stream(s, f"{out}/queue", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string", 2)
@@ -454,10 +490,13 @@ def rgba_scale(s: SparkSession, d: str) -> DataFrame:
     return px.select("l_orderkey", "l_linenumber", raster.opaque(F.col("px")).alias("o")).select("l_orderkey", "l_linenumber", "o.*")
 
 
-@query("SELECT n.n_name, r.r_name AS colour, count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY ALL")
+@query("""SELECT l_orderkey, l_linenumber, c.r, c.g, c.b, c.a FROM (SELECT *, CAST(l_quantity AS int) % 7 AS class FROM lineitem) l
+    LEFT JOIN (VALUES (0, 0, 0, 0, 0), (1, 255, 0, 0, 255), (2, 0, 255, 0, 255), (3, 10, 20, 30, 128)) c(class, r, g, b, a) USING (class)""")
 def class_colours(s: SparkSession, d: str) -> DataFrame:
-    colours = load(s, d, "nation").join(broadcast_if_small(load(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", F.col("r_name").alias("colour"))
-    return load(s, d, "customer").join(broadcast_if_small(colours), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", "colour").agg(F.count("*").alias("n"))
+    """Classes of pixels as colours; a class without a colour has none."""
+    colours = {0: (0, 0, 0, 0), 1: (255, 0, 0, 255), 2: (0, 255, 0, 255), 3: (10, 20, 30, 128)}
+    px = load(s, d, "lineitem").select("l_orderkey", "l_linenumber", raster.coloured(F.col("l_quantity").cast("int") % 7, colours).alias("px"))
+    return px.select("l_orderkey", "l_linenumber", "px.*")
 
 
 @query("""WITH g AS (SELECT l_returnflag AS image, list_sort(list(DISTINCT l_linenumber)) AS xs, list_sort(list(DISTINCT CAST(l_quantity AS bigint))) AS ys FROM lineitem GROUP BY 1)
@@ -469,10 +508,19 @@ def pixel_bounds(s: SparkSession, d: str) -> DataFrame:
     return b.withColumn("aspect", F.round("aspect", 9))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT label, vec_id, CAST(embedding AS double[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+    x AS (SELECT label, vec_id, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM e),
+    m(step, label, i, c) AS (
+        SELECT 0, label, i, avg(c) FROM x GROUP BY label, i
+        UNION ALL
+        SELECT any_value(w.step) + 1, x.label, x.i, sum(x.c * w.w) / sum(w.w)
+        FROM x JOIN (SELECT m.step, x.label, x.vec_id, 1 / greatest(sqrt(sum((x.c - m.c) ** 2)), 1e-12) AS w FROM x JOIN m USING (label, i) WHERE m.step < 60 GROUP BY ALL) w USING (label, vec_id) GROUP BY x.label, x.i
+    )
+    SELECT label, CAST(i - 1 AS int) AS i, round(c, 5) + 0.0 AS c FROM m WHERE step = (SELECT max(step) FROM m)""")
 def geomedian_by_label(s: SparkSession, d: str) -> DataFrame:
+    """Geometric median of each label's vectors, iterated until no group moves."""
     e = load(s, d, "embeddings").select("label", F.col("embedding").cast(T.ArrayType(T.DoubleType())).alias("v"))
-    return raster.geomedian_over(e, "label", "v", eps=1e-9)
+    return raster.geomedian_over(e, "label", "v", eps=1e-9).select("label", F.posexplode("median").alias("i", "c")).select("label", "i", (F.round("c", 5) + 0.0).alias("c"))
 
 
 # --- documents --------------------------------------------------------------------------------------------------------
@@ -496,10 +544,7 @@ def group_text_parse(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT file_no, href AS name, md5(coalesce(body, '')) AS digest FROM tiny_file WHERE body IS NOT NULL")
 def tar_round_trip(s: SparkSession, d: str) -> DataFrame:
     """All small files written to tar archives, one per partition, and read back."""
-    from gridsmith.session import shared_dir
-    import uuid
-
-    out = f"{shared_dir(s)}/tars-{uuid.uuid4().hex}"
+    out = scratch(s, "tars")
     f = load(s, d, "tiny_file").select(F.concat_ws("#", "file_no", F.substr(F.col("href"), F.lit(6))).alias("name"), F.col("body").alias("content"))
     docs.write_tars(f, out).agg(F.sum("n")).first()
     m = docs.tar_members(s, f"{out}/*.tar.gz")
@@ -525,13 +570,6 @@ def grids_by_name(s: SparkSession, d: str) -> DataFrame:
     return g.groupBy(F.col("grid_name").alias("grid")).agg(F.count("*").alias("n"), F.count("crs").alias("n_crs"))
 
 
-@query()
-def items_to_datasets(s: SparkSession, d: str) -> DataFrame:
-    """Messages' item documents as dataset documents."""
-    m = load(s, d, "sqs_message").select("delivery_id", "message").filter(F.col("message").rlike(r"^\s*\{"))
-    return items.to_datasets(m, "delivery_id", "message").select("delivery_id", "id", "product", F.col("properties")["odc:region_code"].alias("region"), F.col("properties")["odc:file_format"].alias("file_format"))
-
-
 @query(f"""WITH t AS ({_tile_sql(3)}), h AS (SELECT *, sha1(unhex('{_NS}') || encode(lower('land_cover_stac_process' || chr(10) || '1.0.0' || chr(10) || chr(10) || tile))) AS h FROM t)
     SELECT tile, {_UUID} AS id, 'land_cover' AS product, tile AS region, 's3://cover/' || tile || '.tif' AS path, 'epsg:4326' AS crs, CAST(x AS double) AS x0, CAST(y + 3 AS double) AS y0 FROM h""")
 def tile_datasets(s: SparkSession, d: str) -> DataFrame:
@@ -604,4 +642,3 @@ def set_operations(s: SparkSession, d: str) -> DataFrame:
     return a.subtract(load(s, d, "nation").filter("n_regionkey = 0").select(F.col("n_nationkey").alias("k")))
 
 
-__all__ = ["ORACLES", "QUERIES", "globs", "materialise"]

@@ -15,9 +15,15 @@ from gridsmith.sources import files
 OBJECTS = "url string, size long, last_modified timestamp, etag string"
 
 
-def objects(df: DataFrame, bucket: Column, key: Column, size: Column, last_modified: Column, etag: Column) -> DataFrame:
-    """Listing records of raw entries; quotation marks around the tag fall away."""
-    return df.select(F.concat(F.lit("s3://"), bucket, F.lit("/"), key).alias("url"), size.alias("size"), last_modified.alias("last_modified"), F.trim(etag, F.lit('"')).alias("etag"))
+def objects(df: DataFrame, bucket: Column, key: Column, size: Column, last_modified: Column, etag: Column, *columns: str) -> DataFrame:
+    """Listing records of raw entries; quotation marks around the tag fall away. Missing parts are null."""
+    return df.select(F.concat(F.lit("s3://"), bucket, F.lit("/"), key).alias("url"), size.alias("size"), last_modified.alias("last_modified"), F.trim(etag, F.lit('"')).alias("etag"), *columns)
+
+
+def volume(listing: DataFrame) -> DataFrame:
+    """(n, n_bytes, gib) of a listing."""
+    total = F.sum(F.col("size").cast("bigint"))
+    return listing.agg(F.count("*").alias("n"), total.alias("n_bytes"), (total / 1073741824.0).alias("gib"))
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:

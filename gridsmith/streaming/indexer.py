@@ -39,6 +39,43 @@ def windowed_counts(events: DataFrame, ts: str, group: str, width: str, slide: s
     return events.withWatermark(ts, late).groupBy(w.alias("w"), group).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), group, "n")
 
 
+def session_counts(events: DataFrame, ts: str, group: str, gap: str, late: str = "10 minutes") -> DataFrame:
+    """Counts per session of a group: events less than ``gap`` apart, by event time, with a watermark on streams."""
+    w = F.session_window(F.col(ts), gap)
+    return events.withWatermark(ts, late).groupBy(w.alias("w"), group).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), group, "n")
+
+
+def first_stream(events: DataFrame, key: str, ts: str, tie: str, out: str) -> StreamingQuery:
+    """Each batch's first event of every key, one row a key, under the batch's number; ``firsts`` joins the batches."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        batch.groupBy(key).agg(F.min(F.struct(ts, tie)).alias("f")).select(key, "f.*").write.mode("overwrite").parquet(f"{out}/firsts/batch={number}")
+
+    return events.writeStream.foreachBatch(take).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+
+
+def firsts(spark, out: str, key: str, ts: str, tie: str) -> DataFrame:  # noqa: ANN001
+    return spark.read.parquet(f"{out}/firsts").groupBy(key).agg(F.min(F.struct(ts, tie)).alias("f")).select(key, "f.*")
+
+
+def queue_to_catalogue(messages: DataFrame, store, checkpoint: str, name: str = "queue", limit: int | None = None, apply: dict | None = None, **decisions: object) -> StreamingQuery:  # noqa: ANN001
+    """Run a queue (seq, body) into a catalogue until it is empty: every micro-batch is decided, archived and indexed as a whole.
+
+    A batch that is replayed after a failure is recognised by its number and changes nothing. Failed messages go to the
+    store's quarantine with their reason. ``decisions`` go to ``intake.decide``, ``apply`` to the store.
+    """
+    from gridsmith.operators import intake
+
+    def take(batch: DataFrame, number: int) -> None:
+        from gridsmith.session import materialise
+
+        decided = materialise(intake.decide(batch if limit is None else batch.orderBy("seq").limit(limit), **decisions), "decided")
+        intake.run(decided, store, (name, number), **(apply or {}))
+        store.quarantine(decided.filter("verdict = 'fail'").select(F.col("seq").cast("string").alias("id"), "uri", "reason"))
+
+    return messages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def distinct_messages(events: DataFrame, key: str, ts: str, late: str = "10 minutes") -> DataFrame:
     """A stream without repeats of a key within the watermark."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])

@@ -106,6 +106,21 @@ def test_raster(spark):
     df = spark.createDataFrame([(0.0,), (20.0,), (90.0,), (-9.0,)], "v double")
     assert [tuple(r[0]) for r in df.select(raster.rgba(F.col("v"), F.col("v"), F.col("v"), F.lit(40.0), F.lit(-9.0))).collect()] == [(0, 0, 0, 255), (127, 127, 127, 255), (255, 255, 255, 255), (0, 0, 0, 0)]
     assert raster.png(np.zeros((2, 3, 3), np.uint8))[:4] == b"\x89PNG"
+    rnd = np.random.default_rng(3)
+    smooth = np.clip(np.add.outer(np.arange(37) * 5, np.arange(50) * 2)[:, :, None] + np.array([0, 20, 40]) + rnd.normal(0, 3, (37, 50, 3)), 0, 255).astype(np.uint8)
+    assert (raster.png_pixels(raster.png(smooth)) == smooth).all() and (raster.png_pixels(raster.png(smooth[:, :, 0])) == smooth[:, :, :1]).all()
+
+    def decoded(data):
+        """By Java's own decoder."""
+        jvm = spark.sparkContext._jvm
+        im = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+        return np.array([[[im.getRGB(x, y) >> s & 255 for s in (16, 8, 0)] for x in range(im.getWidth())] for y in range(im.getHeight())])
+
+    noise = rnd.integers(0, 256, (9, 17, 3)).astype(np.uint8)
+    assert np.abs(decoded(raster.jpeg(smooth, 95)).astype(int) - smooth).mean() < 2.5 and np.abs(decoded(raster.jpeg(noise, 100)).astype(int) - noise).mean() < 3
+    assert np.abs(decoded(raster.jpeg(smooth, 30)).astype(int) - smooth).mean() < 12 and decoded(raster.jpeg(smooth[:, :, 0], 90)).shape == (37, 50, 3)
+    clear = np.concatenate([smooth[:8, :8], np.zeros((8, 8, 1), np.uint8)], axis=2)
+    assert np.abs(decoded(raster.jpeg(clear, 95, (10, 200, 30))) - np.array([10, 200, 30])).max() < 6
     m = raster.geometric_median(np.array([[0.0, 0], [0, 0.1], [0.1, 0], [50, 50]]))
     assert np.linalg.norm(m) < 1
     px = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 2.0]), (2, None)], "p int, v array<double>")

@@ -7,11 +7,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from gridsmith.plans import pipelines, problems, reference, registry
+from gridsmith.plans import pipelines, problems, reference, registry, values
 
 DATA = "/root/testdata/sf0.001"
 MODULES = [problems, registry]
-REGISTERED = (reference, pipelines)
+REGISTERED = (reference, pipelines, values)
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 PAIRS = [(n, m) for m in MODULES for n in m.ORACLES]
 
