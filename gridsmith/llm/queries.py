@@ -9,7 +9,7 @@ from gridsmith.functions.timestamps import with_instant
 from gridsmith.llm import leakage, reading, survivorship, tokenize
 from gridsmith.plans.oracles import instants
 from gridsmith.plans.problems import clocks
-from gridsmith.session import load
+from gridsmith.session import load, materialise
 
 
 def _scenes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -68,6 +68,14 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.clean(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "eval_item")).select("doc_id")
 
 
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document after the leaking passages are cut out: how many were, and what still leaks then (nothing may)."""
+    docs, items = load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "eval_item")
+    made = materialise(leakage.redacted(docs, items), "redacted")
+    still = leakage.leaked(made, items).select("doc_id").distinct().withColumn("leaks", F.lit(True))
+    return made.join(still, "doc_id", "left").groupBy(F.coalesce("leaks", F.lit(False)).alias("leaks"), (F.col("n_cut") > 0).alias("was_cut")).agg(F.count("*").alias("n_docs"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Reading level of every document with enough prose."""
     docs = load(spark, d, "documents")
@@ -118,4 +126,4 @@ ORACLES = {
     "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_golden, p8_ids, p8_decoded, p9_found, p9_clean, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_golden, p8_ids, p8_decoded, p9_found, p9_clean, p9_redacted, p10_found, p10_profile)}

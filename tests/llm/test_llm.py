@@ -49,16 +49,18 @@ WORDS = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu", "ha", "je") for b in
 
 
 def brute(item: list[str], doc: list[str]) -> bool:
-    """Edit distance of every span of 30 words with free ends in the document."""
+    """Edit distance of every span of 30 words or more with free ends in the document, one edit in ten allowed."""
     for i in range(len(item) - 29):
-        p = item[i : i + 30]
-        row = list(range(31))
+        p = item[i:]
+        row = list(range(len(p) + 1))
+        if any(row[n] <= n // 10 for n in range(30, len(p) + 1)):
+            return True
         for x in doc:
             new = [0]
-            for k in range(1, 31):
+            for k in range(1, len(p) + 1):
                 new.append(min(row[k - 1] + (p[k - 1] != x), row[k] + 1, new[k - 1] + 1))
             row = new
-            if row[30] <= 3:
+            if any(row[n] <= n // 10 for n in range(30, len(p) + 1)):
                 return True
     return False
 
@@ -84,9 +86,9 @@ def test_leaks_against_brute_force(spark):
     for n in range(150):
         it = rnd.choice(items)
         a = rnd.randrange(max(1, len(it) - 29))
-        part = it[a : a + rnd.choice([25, 29, 30, 31, 40])]
+        part = it[a : a + rnd.choice([25, 29, 30, 31, 40, 45, 52, 66])]
         pad = lambda: [rnd.choice(WORDS) for _ in range(rnd.randrange(15))]
-        docs.append(pad() + edited(part, rnd.choice([0, 1, 2, 3, 4, 5]), rnd) + pad())
+        docs.append(pad() + edited(part, rnd.choice([0, 1, 2, 3, 4, 4, 5, 6, 7]), rnd) + pad())
     d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)] + [(900, None), (901, ""), (902, "x " * 50000)], "doc_id long, text string")
     t = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(77, None), (78, "")], "item_id long, item_text string")
     got = {(r[0], r[1]) for r in leakage.leaked(d, t).collect()}
@@ -110,11 +112,27 @@ def test_longer_leaks_with_one_edit_in_ten(spark):
 
 
 def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 250)
     w = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
     t = spark.createDataFrame([(k, " ".join(w[k * 35 : k * 35 + 35])) for k in range(5)], "item_id long, item_text string")
     d = spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")
-    assert sorted(r["item_id"] for r in leakage.leaked(d, t).collect()) == [0, 1, 2, 3, 4]
+    assert len(list(leakage._blocks(t, "item_id", "item_text"))) == 5
+    got = leakage.leaked(d, t)
+    assert sorted(r["item_id"] for r in got.collect()) == [0, 1, 2, 3, 4] and got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_passages_are_cut(spark):
+    w = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(90)]
+    disguised = "// " + "\n// ".join(" ".join(w[k : k + 9]) for k in range(0, 45, 9)).replace("wab", "w\u200bab").replace("wbc", "<b>wb</b>c").replace(" wad", "&nbsp;wad")
+    docs = {1: "before it " + " ".join(w[:40]) + " after it", 2: "kept as it is, " * 20, 3: "Head.\n" + disguised + "\nint x = 3;", 4: None, 5: " ".join(w) + " tail", 6: "a " + " ".join("zz" if k % 11 == 5 else x for k, x in enumerate(w[:44])) + " b " + " ".join(w[50:85])}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    t = spark.createDataFrame([(1, " ".join(w))], "item_id long, item_text string")
+    got = {r["doc_id"]: (r["text"], r["n_cut"]) for r in leakage.redacted(d, t).collect()}
+    assert got[2] == (docs[2], 0) and got[4] == (None, 0)
+    assert got[1][0].split() == ["before", "it", "after", "it"] and got[3][0].split() == ["Head.", "//", "int", "x", "=", "3;"] and got[5][0].split() == ["tail"]
+    # Passages of one item at most ten words apart are one.
+    assert got[6][0].split()[0] == "a" and set(got[6][0].split()) <= {"a", "b", "zz", *w[:6]} and got[6][1] == 1
+    assert leakage.leaked(leakage.redacted(d, t), t).count() == 0
 
 
 def test_disguises():
