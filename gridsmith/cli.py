@@ -5,88 +5,238 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.functions import geo, items
-from gridsmith.operators import catalogue
+from gridsmith.functions import geo, items, text
+from gridsmith.operators import catalogue, export, intake
 from gridsmith.operators.store import Store, dataset_rows
-from gridsmith.sources import docs, listing, queue
+from gridsmith.sources import docs, item_api, listing, queue
+from gridsmith.streaming import indexer
+
+COMMANDS: dict[str, tuple[Callable, str, tuple[str, ...], dict[str, object]]] = {}
+INDEXING = {"update": False, "update_if_exists": False, "allow_unsafe": False, "archive_less_mature": 0, "stac": False, "rename_product": None}
+
+
+def command(help_: str, *args: str, **flags: object):  # noqa: ANN201
+    """Register a function as the command of its name; False makes a switch, null an optional text."""
+
+    def add(f: Callable) -> Callable:
+        COMMANDS[f.__name__.replace("_", "-")] = (f, help_, args, flags)
+        return f
+
+    return add
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gridsmith")
     sub = p.add_subparsers(dest="command", required=True)
-
-    def command(name: str, help_: str, *args: str, **flags: object) -> argparse.ArgumentParser:
+    for name, (_, help_, args, flags) in COMMANDS.items():
         c = sub.add_parser(name, help=help_)
         for a in args:
             c.add_argument(a)
         for f, default in flags.items():
             kind = {"action": "store_true"} if default is False else {"type": type(default) if default is not None else str, "default": default}
             c.add_argument("--" + f.replace("_", "-"), **kind)
-        return c
-
-    command("find", "URLs under a folder that a query finds", "folder", "query")
-    command("inventory", "keys of an inventory", "manifest", "folder", prefix="", suffix="", contains="", regex=None, glob=None)
-    command("to-tar", "files of a folder into tar archives", "folder", "out", pattern="*")
-    for name, what in (("index", "documents of a folder"), ("index-tar", "documents of tar archives"), ("index-items", "item documents (JSON) of a folder")):
-        command(name, f"add or update {what}", "folder", "catalogue", update=False, update_if_exists=False, allow_unsafe=False, archive_less_mature=0, pattern=None)
-    command("archive", "archive datasets by id (a file of ids)", "ids", "catalogue")
-    command("redrive", "move messages of a queue folder to another", "dead", "live", "order", limit=0, dry_run=False)
-    command("sync-products", "compare a product list (CSV) with definitions (YAML folder)", "csv", "folder", "catalogue", update_if_exists=False)
-    command("export", "live datasets of a product as documents", "catalogue", "out", product=None, limit=0)
-    command("tiles", "tiles that cover a box left,bottom,right,top", box=None, step=1, limit=0)
-    command("summary", "extents by product", "catalogue")
     return p
 
 
+def show(df: DataFrame) -> None:
+    for r in df.toLocalIterator():
+        print(*[v for v in r if v is not None], sep="\t")
+
+
+def _box(a: argparse.Namespace) -> tuple[float, ...] | None:
+    box = tuple(float(v) for v in a.box.split(",")) if a.box else None
+    if box is not None and len(box) != 4:
+        raise ValueError("a box has four numbers: left,bottom,right,top")
+    return box
+
+
+def _index(spark: SparkSession, a: argparse.Namespace, raw: DataFrame, always_items: bool = False) -> int:
+    """Documents or items (uri, content) into the catalogue; prints the counts and the gauges to report."""
+    if a.stac or always_items:
+        content = F.col("content").cast("string")
+        raw = raw.withColumn("content", items.renamed_product(content, a.rename_product) if a.rename_product else content)
+        parsed = items.to_datasets(raw, "uri", "content").select("uri", intake.dataset_text().alias("doc"))
+    else:
+        parsed = docs.parsed(raw)
+    counts = Store(spark, a.catalogue).index(dataset_rows(parsed), update=a.update, update_if_exists=a.update_if_exists, allow_unsafe=a.allow_unsafe, archive_less_mature=a.archive_less_mature or None)
+    print(json.dumps(counts))
+    return int(counts.get("failed", 0) > 0)
+
+
+@command("URLs under a folder that a query finds", "folder", "query")
+def find(spark: SparkSession, a: argparse.Namespace) -> None:
+    show(listing.find(listing.scan(spark, a.folder), a.query).select("url"))
+
+
+@command("keys of an inventory", "manifest", "folder", prefix="", suffix="", contains="", regex=None, glob=None)
+def inventory(spark: SparkSession, a: argparse.Namespace) -> None:
+    df = listing.inventory(spark, listing.read_manifest(spark, a.manifest), lambda k: f"{a.folder.rstrip('/')}/{k}")
+    show(listing.key_filter(df, "Key", a.prefix, a.suffix, a.contains, a.regex, a.glob).select("Bucket", "Key"))
+
+
+def _blobs(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Files of a folder whose names (the last segment) start and end as asked."""
+    name = F.regexp_extract("url", "([^/]*)$", 1)
+    return listing.scan(spark, a.folder).filter(name.startswith(a.prefix) & name.endswith(a.suffix))
+
+
+def _tar(found: DataFrame, out: str) -> int:
+    made, failed = listing.to_tar(found, out)
+    print(made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    gone = failed.collect()
+    for r in gone:
+        print(r["url"], r["error"], sep="\t", file=sys.stderr)
+    return int(bool(gone))
+
+
+@command("files of a folder into tar archives", "folder", "out", pattern="*")
+def to_tar(spark: SparkSession, a: argparse.Namespace) -> int:
+    return _tar(listing.scan(spark, a.folder, a.pattern), a.out)
+
+
+@command("URLs of a text file into tar archives", "urls", "out")
+def urls_to_tar(spark: SparkSession, a: argparse.Namespace) -> int:
+    return _tar(docs.lines(spark, a.urls, skip_empty=True).withColumnRenamed("value", "url"), a.out)
+
+
+@command("blobs by prefix and suffix into tar archives", "folder", "out", prefix="", suffix="")
+def blobs_to_tar(spark: SparkSession, a: argparse.Namespace) -> int:
+    return _tar(_blobs(spark, a), a.out)
+
+
+@command("a crawled catalogue's entries into tar archives", "folder", "out", select=".*", skip=None)
+def crawl_to_tar(spark: SparkSession, a: argparse.Namespace) -> int:
+    return _tar(listing.crawl(listing.scan(spark, a.folder), [a.skip] if a.skip else [], [a.select]), a.out)
+
+
+@command("add or update documents of a folder", "folder", "catalogue", pattern=None, **INDEXING)
+def index(spark: SparkSession, a: argparse.Namespace) -> int:
+    return _index(spark, a, docs.whole(spark, a.folder, pattern=a.pattern))
+
+
+@command("add or update item documents (JSON) of a folder", "folder", "catalogue", pattern=None, **INDEXING)
+def index_items(spark: SparkSession, a: argparse.Namespace) -> int:
+    return _index(spark, a, docs.whole(spark, a.folder, pattern=a.pattern), always_items=True)
+
+
+@command("add or update documents of tar archives", "folder", "catalogue", **INDEXING)
+def index_tar(spark: SparkSession, a: argparse.Namespace) -> int:
+    m = docs.tar_members(spark, a.folder)
+    return _index(spark, a, m.select(F.concat("archive", F.lit("!"), "name").alias("uri"), F.decode("content", "UTF-8").alias("content")))
+
+
+@command("add or update documents by prefix and suffix of their names", "folder", "catalogue", prefix="", suffix="", **INDEXING)
+def index_blobs(spark: SparkSession, a: argparse.Namespace) -> int:
+    return _index(spark, a, listing.documents(_blobs(spark, a)))
+
+
+@command("add documents of a crawled catalogue that could be read", "folder", "catalogue", select=".*", skip=None, **INDEXING)
+def index_crawl(spark: SparkSession, a: argparse.Namespace) -> int:
+    got = listing.documents(listing.crawl(listing.scan(spark, a.folder), [a.skip] if a.skip else [], [a.select]))
+    return _index(spark, a, got.filter("error IS NULL"))
+
+
+@command("add or update items of an item API", "address", "catalogue", collections="", box=None, datetime=None, limit=0, options=None, **INDEXING)
+def index_api(spark: SparkSession, a: argparse.Namespace) -> int:
+    more = {r["k"]: r["v"] for r in spark.range(1).select(F.explode(text.options(F.lit(a.options))).alias("k", "v")).collect()} if a.options else {}
+    names = (more.get("collections") or a.collections).split(",")
+    found = item_api.search(spark, a.address, names, _box(a), more.get("datetime") or a.datetime, int(more.get("max_items") or a.limit) or None)
+    counts = item_api.index(Store(spark, a.catalogue), found, a.rename_product, update_if_exists=a.update_if_exists, allow_unsafe=True, archive_less_mature=a.archive_less_mature or None)
+    print(json.dumps(counts))
+    return int(counts.get("failed", 0) > 0)
+
+
+@command("add, update and archive by the messages of a queue folder (seq, body) until it is empty", "queue", "catalogue", "checkpoint", archive=False, record_path=None, metadata_link=None, regions=None, limit=0, **INDEXING)
+def index_queue(spark: SparkSession, a: argparse.Namespace) -> int:
+    store = Store(spark, a.catalogue)
+    decisions: dict[str, object] = {"archive": a.archive, "stac": a.stac, "metadata_link": a.metadata_link, "record_path": a.record_path.split(",") if a.record_path else None}
+    if a.regions:
+        decisions["regions"] = docs.lines(spark, a.regions, skip_empty=True).select(F.explode(F.split("value", ",")).alias("region_code"))
+        if decisions["regions"].limit(1).count() == 0:
+            raise ValueError(f"no region codes in {a.regions}")
+    options = {"update": a.update, "update_if_exists": a.update_if_exists, "allow_unsafe": a.allow_unsafe, "archive_less_mature": a.archive_less_mature or None}
+    run_ = indexer.queue_to_catalogue(queue.stream(spark, a.queue, "seq long, body string"), store, a.checkpoint, limit=a.limit or None, apply=options, **decisions)
+    run_.awaitTermination()
+    print(store.read().filter("archived_time IS NULL").count())
+    return 0
+
+
+@command("add or update the tiles of a global raster", "catalogue", product="dem_30", url="{tile}.tif", step=1, pixels=3600, band="elevation", start="1900-01-01", end="2100-01-01", box=None, limit=0, **INDEXING)
+def index_tiles(spark: SparkSession, a: argparse.Namespace) -> int:
+    made = items.tile_items(geo.tiles(spark, _box(a), a.step, a.limit or None), a.product, a.url, a.step, a.pixels, a.band, a.start, a.end)
+    return _index(spark, a, made.select("uri", F.col("item").alias("content")), always_items=True)
+
+
+@command("tiles that cover a box left,bottom,right,top", box=None, step=1, limit=0, url=None)
+def tiles(spark: SparkSession, a: argparse.Namespace) -> None:
+    found = geo.tiles(spark, _box(a), a.step, a.limit or None)
+    show(items.tile_items(found, "tiles", a.url, a.step).select("tile", "uri") if a.url else found.select("tile"))
+
+
+@command("archive by id (a file of ids)", "ids", "catalogue")
+def archive(spark: SparkSession, a: argparse.Namespace) -> None:
+    print(Store(spark, a.catalogue).archive(docs.lines(spark, a.ids, skip_empty=True).withColumnRenamed("value", "id")))
+
+
+@command("move messages of a queue folder to another", "dead", "live", "order", limit=0, dry_run=False)
+def redrive(spark: SparkSession, a: argparse.Namespace) -> None:
+    print(queue.redrive_folders(spark, a.dead, a.live, a.order, a.limit or None, a.dry_run))
+
+
+def _definitions(spark: SparkSession, folder: str) -> DataFrame:
+    return docs.parsed(docs.whole(spark, folder)).select(F.regexp_extract("uri", "([^/]*)$", 1).alias("definition"), F.get_json_object("doc", "$.name").alias("product"), "doc")
+
+
+@command("compare a product list (CSV) with definitions (YAML folder)", "csv", "folder", "catalogue", update_if_exists=False)
+def sync_products(spark: SparkSession, a: argparse.Namespace) -> int:
+    listed = spark.read.option("header", True).csv(a.csv).select(F.col("product").alias("names"), F.regexp_extract("definition", "([^/]*)$", 1).alias("definition"))
+    store, found = Store(spark, a.catalogue), _definitions(spark, a.folder)
+    known = store.products().select("product").unionByName(store.read().select("product"))
+    got = catalogue.product_sync(listed, found, known, a.update_if_exists)
+    show(got)
+    store.register(got.filter("status = 'added'").select("product"), found)
+    return int(got.filter("status = 'failed'").limit(1).count() > 0)
+
+
+@command("a new catalogue with the products of a folder of definitions", "catalogue", "folder")
+def bootstrap(spark: SparkSession, a: argparse.Namespace) -> int:
+    store, found = Store(spark, a.catalogue), _definitions(spark, a.folder)
+    number, manifest = store.head()
+    if number == 0:
+        store.commit(0, manifest, store.read(manifest), set())
+    counts = store.register(found.filter("product IS NOT NULL").select("product"), found)
+    print(json.dumps(counts))
+    return int(counts.get("unknown", 0) > 0)
+
+
+@command("live datasets of a product as documents, a YAML file each", "catalogue", "out", product=None, limit=0, bands=None, grids=None, shared_grids=False)
+def export_(spark: SparkSession, a: argparse.Namespace) -> int:
+    live = catalogue.search(Store(spark, a.catalogue).read(), a.product, limit=a.limit or None)
+    datasets = export.from_catalogue(live, F.current_timestamp())
+    every = F.array_distinct(F.flatten(F.collect_list(F.map_keys("measurements")))) if not a.bands else F.first(F.array(*[F.lit(b) for b in a.bands.split(",")]))
+    bands = datasets.groupBy("product").agg(every.alias("bands"))
+    got = export.write(export.documents(datasets, bands, json.loads(a.grids) if a.grids else None, a.shared_grids), a.out)
+    done = {r[0]: r[1] for r in got.groupBy("written").count().collect()}
+    print(done.get(True, 0))
+    return int(bool(done.get(False)))
+
+
+@command("extents by product", "catalogue")
+def summary(spark: SparkSession, a: argparse.Namespace) -> None:
+    show(catalogue.summaries(Store(spark, a.catalogue).read()))
+
+
+COMMANDS["export"] = COMMANDS.pop("export-")
+
+
 def run(spark: SparkSession, argv: list[str]) -> int:
     a = parser().parse_args(argv)
-    show = lambda df: [print(*[v for v in r if v is not None], sep="\t") for r in df.toLocalIterator()]
-    if a.command == "find":
-        show(listing.find(listing.scan(spark, a.folder), a.query).select("url"))
-    elif a.command == "inventory":
-        manifest = json.loads(docs.whole(spark, a.manifest).first()["content"])
-        df = listing.inventory(spark, manifest, lambda k: f"{a.folder.rstrip('/')}/{k}")
-        show(listing.key_filter(df, "Key", a.prefix, a.suffix, a.contains, a.regex, a.glob).select("Bucket", "Key"))
-    elif a.command == "to-tar":
-        files = docs.whole(spark, a.folder, binary=True, pattern=a.pattern).select(F.regexp_replace("uri", "^[a-z0-9]+:/*", "").alias("name"), "content")
-        print(docs.write_tars(files, a.out).agg(F.sum("n")).first()[0])
-    elif a.command in ("index", "index-tar", "index-items"):
-        if a.command == "index-tar":
-            raw = docs.tar_members(spark, a.folder).select(F.concat("archive", F.lit("!"), "name").alias("uri"), F.decode("content", "UTF-8").alias("content"))
-        else:
-            raw = docs.whole(spark, a.folder, pattern=a.pattern)
-        if a.command == "index-items":
-            made = items.to_datasets(raw.withColumnRenamed("content", "item"), "uri")
-            doc = F.to_json(F.struct("id", F.struct(F.col("product").alias("name")).alias("product"), "label", "crs", "grids", "measurements", "accessories", "lineage", "properties"))
-            parsed = made.select("uri", F.when(F.col("product").isNotNull(), doc).alias("doc"))
-        else:
-            parsed = docs.parsed(raw)
-        counts = Store(spark, a.catalogue).index(dataset_rows(parsed), update=a.update, update_if_exists=a.update_if_exists, allow_unsafe=a.allow_unsafe, archive_less_mature=a.archive_less_mature or None)
-        print(json.dumps(counts))
-        return int(counts.get("failed", 0) > 0)
-    elif a.command == "archive":
-        print(Store(spark, a.catalogue).archive(docs.lines(spark, a.ids, skip_empty=True).withColumnRenamed("value", "id")))
-    elif a.command == "redrive":
-        print(queue.redrive_folders(spark, a.dead, a.live, a.order, a.limit or None, a.dry_run))
-    elif a.command == "sync-products":
-        listed = spark.read.option("header", True).csv(a.csv).select(F.col("product").alias("names"), "definition")
-        found = docs.parsed(docs.whole(spark, a.folder)).select(F.regexp_extract("uri", "([^/]*)$", 1).alias("definition"), F.get_json_object("doc", "$.name").alias("product"))
-        listed = listed.withColumn("definition", F.regexp_extract("definition", "([^/]*)$", 1))
-        got = catalogue.product_sync(listed, found, Store(spark, a.catalogue).read().select("product"), a.update_if_exists)
-        show(got)
-        return int(got.filter("status = 'failed'").limit(1).count() > 0)
-    elif a.command == "export":
-        live = catalogue.search(Store(spark, a.catalogue).read(), a.product, limit=a.limit or None).filter("uri IS NOT NULL")
-        live.select(F.concat("id", F.lit("-metadata.json")).alias("name"), F.encode("doc", "UTF-8").alias("content")).transform(lambda d: docs.write_tars(d, a.out)).collect()
-    elif a.command == "tiles":
-        show(geo.tiles(spark, tuple(float(v) for v in a.box.split(",")) if a.box else None, a.step, a.limit or None).select("tile"))
-    elif a.command == "summary":
-        show(catalogue.summaries(Store(spark, a.catalogue).read()))
-    return 0
+    return COMMANDS[a.command][0](spark, a) or 0
 
 
 if __name__ == "__main__":

@@ -87,6 +87,24 @@ def documents(datasets: DataFrame, product_bands: DataFrame, band_grids: Mapping
     return df.select(F.concat("id", F.lit("-metadata.yaml")).alias("file"), "id", F.to_json(doc).alias("document"))
 
 
+_DOCUMENT = (
+    "struct<crs:string,geometry:string,format:string,grids:map<string,struct<shape:array<bigint>,transform:array<double>>>,"
+    "measurements:map<string,struct<path:string,band:int,layer:string,grid:string>>,lineage:map<string,array<string>>>"
+)
+
+
+def from_catalogue(rows: DataFrame, indexed_time: Column) -> DataFrame:
+    """Exportable datasets of catalogue rows (id, product, uri, center_time, doc): shapes come from the grids of their documents."""
+    d = F.from_json("doc", _DOCUMENT)
+    df = rows.withColumn("d", d)
+    grid = lambda m: F.try_element_at(F.col("d.grids"), F.coalesce(m["grid"], F.lit("default")))
+    measured = F.transform_values("d.measurements", lambda _, m: F.struct(m["path"].alias("path"), m["band"].alias("band"), m["layer"].alias("layer"), grid(m)["shape"].alias("shape"), grid(m)["transform"].alias("transform")))
+    return df.select(
+        "id", "product", F.regexp_extract("d.crs", r"(\d+)$", 1).alias("epsg"), F.array_compact(F.array("uri")).alias("uris"), F.col("d.format").alias("format"), F.col("d.geometry").alias("geometry"), "center_time", indexed_time.alias("indexed_time"),
+        F.try_element_at(F.col("d.grids"), F.lit("default"))["transform"].alias("transform"), measured.alias("measurements"), F.transform_values("d.lineage", lambda _, v: F.get(v, F.lit(0))).alias("sources"), F.col("doc").alias("metadata"),
+    )
+
+
 def write(documents_: DataFrame, folder: str) -> DataFrame:
     """Write each document as a YAML file of its own into ``folder``: (file, written, error)."""
     from gridsmith.sources import listing

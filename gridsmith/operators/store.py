@@ -19,6 +19,7 @@ from gridsmith.session import materialise
 
 SCHEMA = "id string, product string, region_code string, center_time timestamp, maturity string, uri string, archived_time timestamp, doc string"
 EVENTS = "cause string, n int, id string, action string"
+PRODUCTS = "product string, doc string"
 BUCKETS = 64
 ATTEMPTS = 10
 
@@ -91,6 +92,17 @@ class Store:
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
 
+    def products(self) -> DataFrame:
+        """(product, doc) of the registered products."""
+        there = self._fs.exists(self._path(f"{self.root}/products"))
+        return self.spark.read.schema(PRODUCTS).parquet(f"{self.root}/products") if there else self.spark.createDataFrame([], PRODUCTS)
+
+    def register(self, wanted: DataFrame, definitions: DataFrame) -> dict[str, int]:
+        """Register wanted products from their definitions (product, doc); counts of known, registered and unknown ones."""
+        judged = materialise(catalogue.register(wanted, definitions, self.products()), "products")
+        judged.filter("status = 'registered'").select("product", "doc").coalesce(1).write.mode("append").parquet(f"{self.root}/products")
+        return {r[0]: r[1] for r in judged.groupBy("status").count().collect()}
+
     def quarantine(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.root}/quarantine")
 
