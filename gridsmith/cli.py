@@ -172,9 +172,10 @@ def index_tiles(spark: SparkSession, a: argparse.Namespace) -> int:
     return _index(spark, a, made.select("uri", F.col("item").alias("content")), always_items=True)
 
 
-@command("tiles that cover a box left,bottom,right,top", box=None, step=1, limit=0, url=None)
+@command("tiles that cover a box left,bottom,right,top or ranges of columns and rows", box=None, step=1, limit=0, url=None, range="")
 def tiles(spark: SparkSession, a: argparse.Namespace) -> None:
-    found = geo.tiles(spark, _box(a), a.step, a.limit or None)
+    (x0, x1), (y0, y1) = text.range_2d_option(a.range) if a.range else ((0, 0), (0, 0))
+    found = geo.tiles(spark, (x0, y0, x1, y1) if a.range else _box(a), a.step, a.limit or None)
     show(items.tile_items(found, "tiles", a.url, a.step).select("tile", "uri") if a.url else found.select("tile"))
 
 
@@ -220,7 +221,7 @@ def export_(spark: SparkSession, a: argparse.Namespace) -> int:
     datasets = export.from_catalogue(live, F.current_timestamp())
     every = F.array_distinct(F.flatten(F.collect_list(F.map_keys("measurements")))) if not a.bands else F.first(F.array(*[F.lit(b) for b in a.bands.split(",")]))
     bands = datasets.groupBy("product").agg(every.alias("bands"))
-    got = export.write(export.documents(datasets, bands, json.loads(a.grids) if a.grids else None, a.shared_grids), a.out)
+    got = export.write(export.documents(datasets, bands, text.yaml_setting(a.grids) if a.grids else None, a.shared_grids), a.out)
     done = {r[0]: r[1] for r in got.groupBy("written").count().collect()}
     print(done.get(True, 0))
     return int(bool(done.get(False)))

@@ -6,6 +6,8 @@ are read once by :func:`read_items`; every rule is a Column built on those parts
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,11 @@ def read_items(df: DataFrame, text: str = "item") -> DataFrame:
     return df.withColumn("it", F.from_json(F.col(text), ITEM))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once a row, however often (and in whatever lambda) it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def self_href(links: Column) -> Column:
     """The first link to the item itself."""
     return F.get(F.filter(links, lambda x: x["rel"] == "self"), F.lit(0))["href"]
@@ -133,8 +140,8 @@ def properties(p: Column) -> Column:
     renamed = F.create_map(*[F.lit(x) for kv in RENAMED.items() for x in kv])
     instruments = F.from_json(p["instruments"], "array<string>")
     joined = F.when(F.size(instruments) > 0, F.array_join(F.transform(instruments, lambda x: F.upper(x)), "_"))
-    entry = lambda e: F.struct(F.coalesce(F.try_element_at(renamed, e["key"]), e["key"]).alias("k"), F.when(e["key"] == "instruments", joined).otherwise(e["value"]).alias("v"))
-    moved = last_wins(F.transform(F.map_entries(p), entry))
+    entry = lambda c: lambda e: F.struct(F.coalesce(F.try_element_at(renamed, e["key"]), e["key"]).alias("k"), F.when(e["key"] == "instruments", c).otherwise(e["value"]).alias("v"))
+    moved = let(let(joined, lambda c: F.transform(F.map_entries(p), entry(c))), last_wins)
     filled = lambda c: F.nullif(c, F.lit(""))
     made = F.coalesce(filled(p["odc:processing_datetime"]), filled(p["created"]), filled(p["datetime"]))
     rest = F.map_filter(moved, lambda k, _: ~k.isin("odc:lineage", "odc:processing_datetime", "odc:file_format"))
@@ -158,19 +165,18 @@ def grid_name(transform: Column) -> Column:
 def _assets(it: Column) -> Column:
     """The assets of an item in document order: name, path, is_band, band, grid, shape, transform."""
     numbers = lambda k, t: F.from_json(it["properties"][k], t)
-    at_item = numbers("proj:transform", "array<double>"), numbers("proj:shape", "array<bigint>")
-    link_ = self_href(it["links"])
+    own = F.struct(numbers("proj:transform", "array<double>").alias("transform"), numbers("proj:shape", "array<bigint>").alias("shape"), self_href(it["links"]).alias("link"))
 
-    def one(e: Column) -> Column:
+    def one(e: Column, item: Column) -> Column:
         a = e["value"]
         image = F.coalesce(a["type"].contains("jp2") | a["type"].contains("geotiff"), F.lit(False)) & ~F.coalesce(F.array_contains(a["roles"], "thumbnail"), F.lit(False))
-        transform = F.coalesce(a["proj:transform"], at_item[0])
-        return F.struct(
-            e["key"].alias("name"), urls.relative_path(a["href"], link_).alias("path"), image.alias("is_band"), a["band"].alias("band"), grid_name(transform).alias("grid"),
-            F.coalesce(a["proj:shape"], at_item[1]).alias("shape"), transform.alias("transform"),
+        made = lambda transform: F.struct(
+            e["key"].alias("name"), urls.relative_path(a["href"], item["link"]).alias("path"), image.alias("is_band"), a["band"].alias("band"), grid_name(transform).alias("grid"),
+            F.coalesce(a["proj:shape"], item["shape"]).alias("shape"), transform.alias("transform"),
         )
+        return let(F.coalesce(a["proj:transform"], item["transform"]), made)
 
-    return F.transform(F.map_entries(it["assets"]), one)
+    return let(own, lambda item: F.transform(F.map_entries(it["assets"]), lambda e: one(e, item)))
 
 
 def with_bands(df: DataFrame) -> DataFrame:
@@ -202,7 +208,8 @@ def to_datasets(df: DataFrame, key: str, text: str = "item") -> DataFrame:
     box = geo.box_of_transform(F.from_json(p["proj:transform"], "array<double>"), F.from_json(p["proj:shape"], "array<double>"))
     ring = F.array(F.array(box["left"], box["bottom"]), F.array(box["left"], box["top"]), F.array(box["right"], box["top"]), F.array(box["right"], box["bottom"]), F.array(box["left"], box["bottom"]))
     from_grid = F.when(box["left"].isNotNull(), F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))))
-    own = F.map_filter(properties(p), lambda k, _: F.col("region").isNull() | (k != "odc:region_code"))
+    items = items.withColumn("__p", properties(p))
+    own = F.map_filter("__p", lambda k, _: F.col("region").isNull() | (k != "odc:region_code"))
     return items.select(
         key, dataset_id(F.col("product"), F.col("it.id"), F.col("source_id")).alias("id"), "label", F.lower("product").alias("product"),
         F.concat(F.lit("epsg:"), p["proj:epsg"]).alias("crs"), geo.projected(F.col("it.geometry"), epsg).alias("projected"), from_grid.alias("from_grid"),

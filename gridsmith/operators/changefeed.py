@@ -9,7 +9,7 @@ the preceding change of the same part, then over the at most ``salts`` images th
 all changes is thereby spread over ``salts`` tasks and never gathered in one.
 
 Defined results: changes without key or instant change nothing; equal instants are decided by the tie column (greater
-wins); exact repeats of a change collapse; an empty feed returns the base.
+wins), equal ties too by the state (live wins); exact repeats of a change collapse; an empty feed returns the base.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 def _round(images: DataFrame, part: list[str]) -> DataFrame:
     """One telescoping round: +1 for each image, -1 for the one before it in its part; positive sums remain."""
-    previous = Window.partitionBy(*part).orderBy("instant", "tie")
+    previous = Window.partitionBy(*part).orderBy("instant", "tie", "live")
     signed = images.withColumn("before", F.lag(F.struct("instant", "tie", "live")).over(previous))
     after = F.struct("instant", "tie", "live", F.lit(1).alias("n"))
     before = F.when(F.col("before").isNotNull(), F.struct("before.instant", "before.tie", "before.live", F.lit(-1).alias("n")))
@@ -29,17 +29,21 @@ def _round(images: DataFrame, part: list[str]) -> DataFrame:
     return signed.groupBy(*part, "instant", "tie", "live").agg(F.sum("n").alias("n")).filter("n > 0").drop("n")
 
 
+def last_images(changes: DataFrame, salts: int = 64) -> DataFrame:
+    """(key, instant, tie, live): the image that set each key's last state, removals included."""
+    images = changes.select("key", "instant", "tie", "live").filter("key IS NOT NULL AND instant IS NOT NULL AND tie IS NOT NULL")
+    images = images.withColumn("salt", F.pmod(F.xxhash64("tie", "instant"), F.lit(salts)))
+    return _round(_round(images, ["key", "salt"]).drop("salt"), ["key"])
+
+
 def live_rows(changes: DataFrame, base: DataFrame | None = None, salts: int = 64) -> DataFrame:
     """The rows that are live after all changes: (key, tie) of the image that set each key's last state.
 
     ``changes``: key, instant (bigint), tie (bigint), live (boolean; false removes). ``base``: key, tie of rows already there.
     """
-    images = changes.select("key", "instant", "tie", "live").filter("key IS NOT NULL AND instant IS NOT NULL AND tie IS NOT NULL")
     if base is not None:
-        images = images.unionByName(base.select("key", F.lit(-(2**63)).alias("instant"), "tie", F.lit(True).alias("live")))
-    images = images.withColumn("salt", F.pmod(F.xxhash64("tie", "instant"), F.lit(salts)))
-    left = _round(images, ["key", "salt"])
-    return _round(left.drop("salt"), ["key"]).filter("live").select("key", "tie")
+        changes = changes.select("key", "instant", "tie", "live").unionByName(base.select("key", F.lit(-(2**63)).alias("instant"), "tie", F.lit(True).alias("live")))
+    return last_images(changes, salts).filter("live").select("key", "tie")
 
 
 def is_live(action: Column) -> Column:

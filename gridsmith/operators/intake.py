@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gridsmith.functions import globs, identifiers, items
 from gridsmith.operators.store import Store, dataset_rows
+from gridsmith.session import materialise
 from gridsmith.sources import docs, listing, queue
 
 
@@ -80,11 +81,21 @@ def decide(messages: DataFrame, archive: bool = False, record_path: Sequence[str
 
 
 def run(decided: DataFrame, store: Store, batch: tuple[str, int] | None = None, **options: object) -> dict[str, int]:
-    """Carry out decided messages; counts of success, failed and skipped. Archiving comes before indexing within a batch."""
+    """Carry out decided messages; counts of success, failed and skipped.
+
+    The outcome is that of the messages one after another (by ``seq``): what is archived was in the catalogue before the batch, or
+    an earlier message of the batch put it there. A dataset that is in, archived or not, is not added again.
+    """
     part = lambda name: (f"{batch[0]}/{name}", batch[1]) if batch else None
+    decided = materialise(decided, "decided")
     verdicts = {r[0]: r[1] for r in decided.groupBy("verdict").count().collect()}
-    store.archive(decided.filter("verdict = 'archive'").select("id"), part("archive"))
+    gone = decided.filter("verdict = 'archive'").groupBy("id").agg(F.max("seq").alias("__last"))
+    come = decided.filter("verdict = 'index'").groupBy("id").agg(F.min("seq").alias("__first"))
+    there = store.read().select("id").distinct().withColumn("__there", F.lit(True))
+    gone = gone.join(come, "id", "left").join(there, "id", "left").filter("__first IS NULL OR __last > __first OR __there").select("id")
+    gone = materialise(gone, "archiving")
     counts = store.index(dataset_rows(decided.filter("verdict = 'index'").select("uri", "doc", "seq")), part("index"), **options)
+    store.archive(gone, part("archive"))
     return {
         "success": verdicts.get("archive", 0) + counts.get("added", 0) + counts.get("updated", 0),
         "failed": verdicts.get("fail", 0) + counts.get("failed", 0), "skipped": verdicts.get("skip", 0) + counts.get("skipped", 0),

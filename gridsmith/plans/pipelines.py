@@ -359,6 +359,19 @@ def queue_links(s: SparkSession, d: str) -> DataFrame:
     return got.select("seq", "reason")
 
 
+@query(f"""WITH {_DECIDED}, come AS (SELECT id, min(seq) AS first FROM decided WHERE verdict = 'index' GROUP BY id), gone AS (SELECT lower(id) AS id, max(seq) AS last FROM decided WHERE verdict = 'archive' GROUP BY 1)
+    SELECT id, coalesce(last > first, false) AS archived FROM come LEFT JOIN gone USING (id)""")
+def queue_stream(s: SparkSession, d: str) -> DataFrame:
+    """The queue as a stream into a catalogue until it is empty: as if message after message had been carried out."""
+    from gridsmith.streaming import indexer
+
+    at = scratch(s, "queue")
+    _envelopes(s, d).write.parquet(f"{at}/messages")
+    store = Store(s, scratch(s, "catalogue"))
+    indexer.queue_to_catalogue(queue.stream(s, f"{at}/messages", "seq long, body string"), store, f"{at}/checkpoint").awaitTermination()
+    return store.read().select("id", F.col("archived_time").isNotNull().alias("archived"))
+
+
 def _notifications(s: SparkSession, d: str) -> tuple[DataFrame, dict[str, str]]:
     """(seq, body): a bucket notification for each document, some of an older form, without a key or of another path."""
     _, roots = _folder(s, d)
@@ -427,6 +440,49 @@ def index_folder(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(list(counts.items()), "status string, n long")
 
 
+_LISTS = "lists AS (SELECT file_no, href, try_cast(body AS json)->>'$.etag' AS id, body FROM tiny_file WHERE body IS NOT NULL AND href IN (SELECT href FROM tiny_file WHERE body IS NOT NULL GROUP BY href HAVING count(*) = 1))"
+
+
+def _single(s: SparkSession, d: str, roots: dict[str, str]) -> DataFrame:
+    """Listed objects that were written once."""
+    once = load(s, d, "tiny_file").filter("body IS NOT NULL").groupBy(F.col("href").alias("url")).count().filter("count = 1").select("url")
+    return _listed(s, roots).join(once, "url", "left_semi")
+
+
+@query(f"""WITH {_LISTS}, w AS (SELECT *, json_type(try_cast(body AS json)) = 'OBJECT' AND regexp_full_match(body, '\\s*\\{{[^{{}}]*\\}}\\s*') AS ok FROM lists WHERE href LIKE 's3://tn-lists/vd%' AND href LIKE '%.json')
+    SELECT 'blob' AS product, count(DISTINCT href) FILTER (ok) AS added, count(*) FILTER (NOT coalesce(ok, false)) AS failed FROM w""")
+def index_blobs(s: SparkSession, d: str) -> DataFrame:
+    """Blobs by prefix and suffix as items of a renamed product: fetched, transformed, indexed; unreadable ones fail."""
+    roots = _bucket(s, d)
+    got = listing.documents(listing.blobs(_single(s, d, roots), "s3://tn-lists/vd", ".json"), roots)
+    text_ = F.col("content").cast("string")
+    item = F.when(text_.rlike(r"^\s*\{[^{}]*\}\s*\z") & F.try_parse_json(text_).isNotNull(), items.renamed_product(F.concat(F.lit('{"id":"'), F.md5("uri"), F.lit('","properties":{}}')), "blob"))
+    made = items.to_datasets(got.select("uri", item.alias("item")), "uri").select("uri", intake.dataset_text().alias("doc"))
+    store = Store(s, scratch(s, "catalogue"))
+    counts = store.index(dataset_rows(made))
+    return store.read().select("product").distinct().select("product", *[F.lit(counts.get(k, 0)).cast("bigint").alias(k) for k in ("added", "failed")])
+
+
+@query(f"""WITH {_LISTS}, w AS (SELECT * FROM lists WHERE regexp_matches(href, 'part-0000[01]') AND NOT regexp_matches(href, '_gm_|day=2015')) SELECT count(*) AS n FROM w""")
+def index_crawl(s: SparkSession, d: str) -> DataFrame:
+    """A crawled catalogue's entries, fetched and added; failed downloads are left out (there are none but the one asked for)."""
+    roots = _bucket(s, d)
+    asked = listing.crawl(_single(s, d, roots), ["_gm_", "day=2015"], ["part-0000[01]"]).select("url").unionByName(s.createDataFrame([("s3://tn-lists/part-00000-none.json",)], "url string"))
+    got = listing.documents(asked, roots).filter("error IS NULL")
+    rows = got.select("uri", F.concat(F.lit('{"id":"'), F.md5("uri"), F.lit('","product":{"name":"crawled"}}')).alias("doc"))
+    store = Store(s, scratch(s, "catalogue"))
+    store.index(dataset_rows(rows))
+    return store.read().agg(F.count("*").alias("n"))
+
+
+@query("SELECT 's3://tiles/' || lower(r_name) || '/item.json' AS url FROM region")
+def listed_urls(s: SparkSession, d: str) -> DataFrame:
+    """Addresses made of the names in a text file."""
+    path = scratch(s, "names")
+    load(s, d, "region").select(F.concat(F.lit(" "), F.lower("r_name"), F.lit(" \n")).alias("value")).write.text(path)
+    return docs.lines(s, path, skip_empty=True).select(F.format_string("s3://tiles/%s/item.json", "value").alias("url"))
+
+
 @query("""WITH r AS (SELECT record_no AS seq, id, product, region_code, lower(trim(maturity)) AS maturity, loaded_at AS t, href FROM dataset_record),
     ranked AS (SELECT *, CASE maturity WHEN 'nrt' THEN 0 WHEN 'interim' THEN 1 WHEN 'final' THEN 2 END AS k FROM r),
     old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS z FROM ranked WHERE t < TIMESTAMP '2019-07-01') WHERE z = 1),

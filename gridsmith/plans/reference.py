@@ -130,12 +130,13 @@ _NS = identifiers.NAMESPACE.replace("-", "")
 _UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
 
 
-@query(f"""WITH g AS (SELECT product, region_code, list_sort(list(id)) AS ids FROM dataset_record WHERE id IS NOT NULL GROUP BY ALL),
-    h AS (SELECT *, sha1(unhex('{_NS}') || encode(lower(array_to_string(list_concat(['stack', '1.0', '', 'product=' || product, 'region=' || coalesce(region_code, '')], ids), chr(10))))) AS h FROM g)
-    SELECT product, region_code, {_UUID} AS id FROM h""")
+@query(f"""WITH g AS (SELECT product, label, list_sort(list(id)) AS ids FROM dataset_record WHERE id IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
+    h AS (SELECT *, sha1(unhex('{_NS}') || encode(lower(array_to_string(list_concat(['stack', '1.0', '', 'label=' || label, 'product=' || product], ids), chr(10))))) AS h FROM g)
+    SELECT product, label, {_UUID} AS id FROM h""")
 def deterministic_uuid(s: SparkSession, d: str) -> DataFrame:
-    g = load(s, d, "dataset_record").filter("id IS NOT NULL").groupBy("product", "region_code").agg(F.collect_list("id").alias("ids"))
-    return g.select("product", "region_code", identifiers.dataset_uuid("stack", "1.0", F.col("ids"), tags={"product": F.col("product"), "region": F.coalesce("region_code", F.lit(""))}).alias("id"))
+    """Identifiers of what is derived from the records of one label; the sources of an identifier are few, as one document names them all."""
+    g = load(s, d, "dataset_record").filter("id IS NOT NULL AND label IS NOT NULL").groupBy("product", "label").agg(F.collect_list("id").alias("ids"))
+    return g.select("product", "label", identifiers.dataset_uuid("stack", "1.0", F.col("ids"), tags={"product": F.col("product"), "label": F.col("label")}).alias("id"))
 
 
 @query(r"""SELECT delivery_id, coalesce(regexp_matches(x, '^[0-9a-f]{32}$'), false) AS valid FROM (

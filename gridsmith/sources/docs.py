@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.functions.text import yaml_documents
+from gridsmith.functions.text import complete_json, yaml_documents
 from gridsmith.sources import files
 
 
@@ -30,7 +30,7 @@ def whole(spark: SparkSession, path: str, binary: bool = False, pattern: str | N
 def parsed(raw: DataFrame, uri: str = "uri", content: str = "content") -> DataFrame:
     """(uri, doc, error): JSON text of each document; ``.json`` is JSON, everything else YAML (all documents of a file)."""
     df = raw.select(F.col(uri).alias("uri"), F.col(content).cast("string").alias("content"))
-    as_json = df.filter(F.lower("uri").endswith(".json")).select("uri", F.when(F.try_parse_json("content").isNotNull(), F.col("content")).alias("doc"))
+    as_json = df.filter(F.lower("uri").endswith(".json")).select("uri", F.when(complete_json(F.col("content")), F.col("content")).alias("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridsmith.functions.text import complete_json
 from gridsmith.session import materialise
 
 ENVELOPE = "struct<Type:string,MessageId:string,TopicArn:string,Message:string,Timestamp:string,MessageAttributes:map<string,struct<Type:string,Value:string>>>"
@@ -30,7 +31,7 @@ def decoded(messages: DataFrame, body: str = "body") -> DataFrame:
     """Envelope and inner document of raw bodies: message_id, action, document, error. Only ``Value`` attributes count."""
     e = F.from_json(F.col(body), ENVELOPE)
     df = messages.withColumn("__e", e)
-    doc = F.when(F.try_parse_json("__e.Message").isNotNull() & F.col("__e.Message").rlike(r"^\s*\{"), F.col("__e.Message"))
+    doc = F.when(complete_json(F.col("__e.Message")) & F.col("__e.Message").rlike(r"^\s*\{"), F.col("__e.Message"))
     return df.select(*messages.columns, F.col("__e.MessageId").alias("message_id"), F.col("__e.MessageAttributes")["action"]["Value"].alias("action"), doc.alias("document"), F.when(doc.isNull(), "unreadable message").alias("error"))
 
 

@@ -28,9 +28,30 @@ def index_stream(messages: DataFrame, out: str, decode: Callable[[DataFrame], Da
     return messages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _changes(spark, out: str) -> tuple[DataFrame, int | None]:  # noqa: ANN001
+    """The compacted images and all later batches; the last batch's number."""
+    batches = spark.read.parquet(f"{out}/changes")
+    last = batches.agg(F.max("batch")).first()[0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/images")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = sorted(int(p.getPath().getName()[5:]) for p in fs.listStatus(path) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p.getPath(), "_SUCCESS"))) if fs.exists(path) else []
+    columns = ["key", "instant", "tie", "live"]
+    if not done:
+        return batches.select(*columns), last
+    images = spark.read.schema(batches.select(*columns).schema).parquet(f"{out}/images/upto-{done[-1]}")
+    return images.unionByName(batches.filter(F.col("batch") > done[-1]).select(*columns)), last
+
+
+def compact(spark, out: str) -> None:  # noqa: ANN001
+    """Fold all batches so far into one image a key (removals stay, so that late changes still meet them); reads get shorter."""
+    rows, last = _changes(spark, out)
+    if last is not None:
+        changefeed.last_images(rows).write.mode("overwrite").parquet(f"{out}/images/upto-{last}")
+
+
 def current(spark, out: str) -> DataFrame:  # noqa: ANN001
     """The datasets that are live after all batches so far: (key, tie)."""
-    return changefeed.live_rows(spark.read.parquet(f"{out}/changes"))
+    return changefeed.live_rows(_changes(spark, out)[0])
 
 
 def windowed_counts(events: DataFrame, ts: str, group: str, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:

@@ -1,3 +1,4 @@
+import argparse
 import fnmatch
 import json
 import uuid
@@ -65,6 +66,12 @@ def test_text(spark):
     assert values(spark, text.options(F.col("x")), "a=1#b=2#c#d=1=2") == [{"a": "1", "b": "2"}]
     assert values(spark, text.options(F.col("x")), "a=1#b=2#a=3#a=", "", None) == [{"b": "2", "a": ""}, {}, None]
     assert values(spark, text.flag(F.col("x")), "yes", "T", "0", None) == [True, True, False, False]
+    assert values(spark, text.complete_json(F.col("x")), '{"x":1}', ' [1] \n', '{"x":1} junk', '{"x":1}\n{"y":2}', '{"x":1},{"y":2}', '{"x":1}] [1]', '{"x":1}} {', "", None) == [True, True, *[False] * 7]
+    assert text.yaml_setting("{a: [1, b]}") == {"a": [1, "b"]} and text.range_2d_option("1:2,-3:4") == ((1, 2), (-3, 4)) and text.slice_option("1::3") == slice(1, None, 3)
+    for call in (lambda: text.yaml_setting("nofile"), lambda: text.range_2d_option("1:2"), lambda: text.slice_option("a:b")):
+        with pytest.raises((OSError, argparse.ArgumentTypeError)):
+            call()
+    assert json.loads(text.group_text('GROUP = A\nX = -1.5e3\nY = 2015-01-01\nEND_GROUP = A\n')) == {"A": {"X": -1500.0, "Y": "2015-01-01"}}
     assert json.loads(text.group_text('GROUP = A\nX = 1\nY = "q"\nEND_GROUP = A\nEND\n')) == {"A": {"X": 1, "Y": "q"}}
     for bad in ("GROUP = A\nEND_GROUP = B", "END_GROUP = A", "X = 1\nX = 2", "junk"):
         assert text.group_text(bad) is None

@@ -42,6 +42,12 @@ def test_indexing_equals_the_batch_and_can_be_resumed(spark, rows, tmp_path):
         indexer.index_stream(queue.stream(spark, path, SCHEMA, 2), out, decode, str(tmp_path / "cp")).awaitTermination()
     assert rows(indexer.current(spark, out)) == rows(changefeed.live_rows(decode(table)))
     assert [r["tie"] for r in spark.read.parquet(f"{out}/quarantine").collect()] == [7]
+    indexer.compact(spark, out)
+    assert rows(indexer.current(spark, out)) == rows(changefeed.live_rows(decode(table)))
+    late = table.filter("id = 5").select(F.lit(1000).cast("long").alias("id"), F.lit("1970-01-01").cast("timestamp").alias("ts"), "kind", F.lit(True).alias("live"))
+    late.coalesce(1).write.mode("append").parquet(path)
+    indexer.index_stream(queue.stream(spark, path, SCHEMA, 2), out, decode, str(tmp_path / "cp")).awaitTermination()
+    assert rows(indexer.current(spark, out)) == rows(changefeed.live_rows(decode(table.unionByName(late))))
 
 
 def test_hot_keys(spark, rows):
