@@ -236,6 +236,7 @@ ORACLES = {
         records AS (SELECT try_cast(piece AS json) AS j FROM pieces)
         SELECT DISTINCT j->>'href' AS href, trim(j->>'etag', '"') AS etag FROM records WHERE json_type(j, '$.href') = 'VARCHAR' AND json_type(j, '$.etag') = 'VARCHAR'""",
     "p5_files": "SELECT file_no, href AS path, CAST(octet_length(encode(body)) AS bigint) AS n_bytes, md5(body) AS digest FROM tiny_file",
+    "p5_lookup": "SELECT file_no, href AS path, md5(body) AS digest FROM tiny_file WHERE href IN (SELECT href FROM tiny_file WHERE href LIKE '%day=2017-%')",
     "p6_found": f"{_KEYED} SELECT delivery_id FROM ranked WHERE place > 1",
     "p6_kept": f"{_KEYED} SELECT delivery_id, message_id, product, md5(message) AS digest FROM ranked WHERE place = 1",
     "p7_found": f"""WITH {instants('''SELECT record_no AS row_key, 'dataset_record' AS table_name, 'datetime_text' AS field, datetime_text AS text, product FROM dataset_record

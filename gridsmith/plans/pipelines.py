@@ -13,7 +13,7 @@ from gridsmith.operators.store import Store, dataset_rows
 from gridsmith.plans.reference import objects
 from gridsmith.plans.registry import query
 from gridsmith.session import load, scratch
-from gridsmith.sources import docs, item_api, listing, queue
+from gridsmith.sources import archive, docs, item_api, listing, queue
 
 # --- objects: put, list, fetch, download --------------------------------------------------------------------------------
 
@@ -74,6 +74,14 @@ def download_objects(s: SparkSession, d: str) -> DataFrame:
     return listing.documents(listing.scan(s, out)).select(F.regexp_extract("uri", "([^/]*)$", 1).alias("name"), F.md5("content").alias("digest"))
 
 
+@query(f"WITH {_STORED} SELECT url AS path, CAST(octet_length(encode(body)) AS bigint) AS n_bytes, md5(body) AS digest FROM stored")
+def pack_objects(s: SparkSession, d: str) -> DataFrame:
+    """Objects of a bucket, fetched and packed into containers, then taken out again."""
+    roots = _bucket(s, d)
+    rows = archive.pack(listing.documents(_listed(s, roots), roots), scratch(s, "archive"), None, "uri", "content", 1 << 18)
+    return archive.unpack(rows).select("path", F.length("body").cast("bigint").alias("n_bytes"), F.md5("body").alias("digest"))
+
+
 @query("SELECT substr(href, 15) AS key FROM tiny_file WHERE href LIKE 's3://tn-lists/%'")
 def list_keys(s: SparkSession, d: str) -> DataFrame:
     """Keys below a prefix, without it."""

@@ -62,8 +62,11 @@ def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return spark.read.schema(kept).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows; beyond that the planner's own join is used."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows and ``max_bytes`` bytes (as JSON text).
+
+    Beyond that the planner's own join is used. The sizes are taken from the data, at most one row more than allowed.
+    """
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, n_bytes = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and n_bytes <= max_bytes else df

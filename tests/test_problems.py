@@ -263,17 +263,26 @@ def test_drift_empty(spark):
     assert drift.changes(lines(spark, [])).count() == 0
 
 
-def test_archive_round_trip(spark, rows):
+def test_archive_round_trip(spark, tmp_path):
     rnd = random.Random(3)
     files = [(n, f"p{n % 90}", rnd.choice([None, "", "x" * rnd.randrange(3000), "é\n" * 5])) for n in range(400)]
     df = spark.createDataFrame(files, "file_no long, href string, body string")
-    packed = archive.pack(df, block_bytes=20_000).cache()
-    assert packed.count() < 100
+    at = f"file://{tmp_path}/a b"
+    packed = archive.pack(df, at, block_bytes=20_000)
+    assert packed.count() == 400 and 5 < packed.select("container").distinct().count() < 100
     back = [(r["file_no"], r["path"], None if r["body"] is None else r["body"].decode()) for r in archive.unpack(packed).collect()]
-    assert sorted(back) == sorted(files)
-    some = archive.unpack(packed, ["p3", "p5"]).collect()
-    assert sorted(r["file_no"] for r in some) == sorted(n for n, p, _ in files if p in ("p3", "p5"))
-    assert archive.pack(df.limit(0)).count() == 0
+    assert sorted(back, key=repr) == sorted(files, key=repr)
+    for asked in (["p3", "p5"], spark.createDataFrame([("p3",), ("p5",), ("p5",), ("none",)], "p string")):
+        assert sorted(r["file_no"] for r in archive.lookup(packed, asked).collect()) == sorted(n for n, p, _ in files if p in ("p3", "p5"))
+    assert "PushedFilters: [In(path, [p3,p5])]" in archive.lookup(packed, ["p3", "p5"])._jdf.queryExecution().executedPlan().toString()
+    # What a lost attempt leaves is no file of the archive.
+    (tmp_path / "a b" / "containers" / "000000-000000-999.pack").write_bytes(b"left over")
+    assert archive.sweep(spark, at) == 1 and archive.unpack(archive.index(spark, at)).count() == 400
+    one = next((tmp_path / "a b" / "containers").glob("*.pack"))
+    one.write_bytes(b"?" + one.read_bytes()[1:])
+    with pytest.raises(Exception, match="checksum"):
+        archive.unpack(packed).collect()
+    assert archive.unpack(archive.pack(df.limit(0), f"{at}0")).count() == 0
 
 
 def test_complete_records():
@@ -286,7 +295,7 @@ def test_complete_records():
     assert list(archive.complete_records("")) == []
 
 
-def test_records(spark, rows):
+def test_records(spark, rows, tmp_path):
     bodies = ['{"href":"a","etag":"\\"1\\""}', '{"href":"a","etag":"1","size":7}\n{"href":"b","etag":null}', '{"href":"c","etag":"2"', None, ""]
     df = spark.createDataFrame([(i, "p", b) for i, b in enumerate(bodies)], "file_no long, href string, body string")
-    assert rows(archive.records(archive.pack(df)).select("href", "etag").distinct()) == [("a", "1")]
+    assert rows(archive.records(archive.pack(df, str(tmp_path / "r"))).select("href", "etag").distinct()) == [("a", "1")]
