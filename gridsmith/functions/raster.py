@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -212,24 +213,61 @@ def geometric_median(vectors: np.ndarray, eps: float = 1e-4, most: int = 200) ->
     return m
 
 
+#: So many numbers of centres (groups times length of a vector) are sent to the tasks at most; beyond that centres are joined.
+MOST_CENTRES = 4_000_000
+
+
+def _joined_step(rows: DataFrame, centre: DataFrame, group: str) -> DataFrame:
+    """One pass for any number of groups: vectors taken apart and joined with their group's centre."""
+    parts = rows.select(group, "row", F.posexplode("v").alias("i", "x"))
+    near = parts.join(centre, [group, "i"])
+    weight = near.groupBy(group, "row").agg((1 / F.greatest(F.sqrt(F.sum((F.col("x") - F.col("m")) ** 2)), F.lit(1e-12))).alias("w"))
+    return parts.join(weight, [group, "row"]).groupBy(group, "i").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("m"))
+
+
+def _broadcast_step(rows: DataFrame, centre: DataFrame, group: str) -> DataFrame:
+    """One pass with the centres in every task: a batch of vectors gives a weighted sum per group, and only those are shuffled."""
+    centres: dict = {}
+    for g, i, m in centre.select(group, "i", "m").toLocalIterator():
+        centres.setdefault(g, {})[i] = m
+    shared = rows.sparkSession.sparkContext.broadcast({g: np.array([x[i] for i in range(len(x))]) for g, x in centres.items()})
+    schema = T.StructType([rows.schema[group], T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("w", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).dictionary_encode()
+            lists = batch.column(1)
+            vectors = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
+            codes = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            out: tuple[list, list, list] = ([], [], [])
+            for code in np.unique(codes):
+                key, v = None if code < 0 else keys.dictionary[int(code)].as_py(), vectors[codes == code]
+                w = 1 / np.maximum(np.linalg.norm(v - shared.value[key], axis=1), 1e-12)
+                for c, x in zip(out, (key, (v * w[:, None]).sum(axis=0).tolist(), float(w.sum()))):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.float64())], names=[group, "s", "w"])
+
+    sums = rows.select(group, "v").mapInArrow(run, schema).select(group, "w", F.posexplode("s").alias("i", "x"))
+    return sums.groupBy(group, "i").agg((F.sum("x") / F.sum("w")).alias("m"))
+
+
 def geomedian_over(df: DataFrame, group: str, vector: str, steps: int = 200, eps: float = 1e-4) -> DataFrame:
-    """Geometric median per group of any size: each Weiszfeld step is one aggregation of weighted sums (JVM side).
+    """Geometric median per group of any size: each Weiszfeld step is one aggregation of weighted sums.
 
-    Passes end once every group has moved by less than ``eps`` (groups with NaN don't count); a group that still moves after
-    ``steps`` passes is an error.
+    All vectors have one length. Passes end once every group has moved by less than ``eps`` (groups with NaN don't count); a
+    group that still moves after ``steps`` passes is an error.
     """
-    # The row's number is given before its elements are taken apart, so that they share one weight.
-    rows = df.filter(F.col(vector).isNotNull()).withColumn("row", F.monotonically_increasing_id()).select(group, F.posexplode(vector).alias("i", "v"), "row")
-    centre = rows.groupBy(group, "i").agg(F.avg("v").alias("m"))
     from gridsmith.session import materialise
 
+    # The row's number is given before its elements are taken apart, so that they share one weight.
+    rows = df.filter(F.col(vector).isNotNull()).select(group, F.monotonically_increasing_id().alias("row"), F.col(vector).cast("array<double>").alias("v"))
     rows = materialise(rows, "geomedian-rows")
+    centre = materialise(rows.select(group, F.posexplode("v").alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("m")), "geomedian")
+    step = _broadcast_step if centre.count() <= MOST_CENTRES else _joined_step
     shift = F.nanvl(F.sqrt(F.sum((F.col("m") - F.col("before")) ** 2)), F.lit(0.0)).alias("shift")
     for _ in range(steps):
         before = centre.select(group, "i", F.col("m").alias("before"))
-        near = rows.join(centre, [group, "i"])
-        weight = near.groupBy(group, "row").agg((1 / F.greatest(F.sqrt(F.sum((F.col("v") - F.col("m")) ** 2)), F.lit(1e-12))).alias("w"))
-        centre = materialise(rows.join(weight, [group, "row"]).groupBy(group, "i").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m")), "geomedian")
+        centre = materialise(step(rows, centre, group), "geomedian")
         moved = centre.join(before, [group, "i"]).groupBy(group).agg(shift).agg(F.max("shift")).first()[0]
         if moved is None or moved < eps:
             break

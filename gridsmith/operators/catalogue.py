@@ -125,6 +125,15 @@ def events(judged: DataFrame, catalogue: DataFrame, archive_less_mature: int | N
     return added.select("cause", "n", "id", "action").unionByName(gone.select(F.col("in_id").alias("cause"), F.lit(0).alias("n"), F.col("old_id").alias("id"), F.lit("ARCHIVED").alias("action")))
 
 
+def publications(events_: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, message, attributes) of events: the item document (id, item) of each dataset and what subscribers filter by."""
+    from gridsmith.functions import items
+
+    rows = events_.join(documents.select("id", F.col("item").alias("message")), "id")
+    p = F.from_json(F.get_json_object("message", "$.properties"), "map<string,string>")
+    return rows.select("id", "message", items.event_attributes(F.col("action"), p, F.get_json_object("message", "$.collection")).alias("attributes"))
+
+
 def missing(requested: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Requested keys that are not known (must be empty for a run to start)."""
     return requested.select(key).distinct().join(known.select(key), key, "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 # Affixes of names that carry no meaning of their own (namespaces written with an underscore, units, fillers).
 AFFIXES = ["eo", "odc", "dea", "m", "name", "value"]
 KINDS = ["boolean", "list", "object", "point", "text", "whole"]
-BINS = 8
+BINS = 4
 
 
 def path_values(payload: Column) -> Column:

@@ -412,6 +412,22 @@ def queue_notifications(s: SparkSession, d: str) -> DataFrame:
     return got.join(marked, "seq", "left_anti").select("seq", "verdict", "reason")
 
 
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY record_no) AS k FROM dataset_record WHERE loaded_at >= TIMESTAMP '2019-07-01')
+    SELECT id, 'ADDED' AS action, product, datetime_text AS datetime, nullif(maturity, '') AS maturity FROM r WHERE k = 1 AND id IS NOT NULL AND href IS NOT NULL
+        AND id NOT IN (SELECT id FROM dataset_record WHERE loaded_at < TIMESTAMP '2019-07-01' AND id IS NOT NULL) AND product IS NOT NULL AND datetime_text IS NOT NULL""")
+def published_messages(s: SparkSession, d: str) -> DataFrame:
+    """The messages of a batch's events: documents and attributes; the maturity only where there is one."""
+    from gridsmith.plans.reference import _catalogue
+
+    old, new = _catalogue(s, d)
+    events = catalogue.events(catalogue.statuses(new, old), old)
+    properties = F.struct(F.col("datetime_text").alias("datetime"), F.col("maturity").alias("dea:dataset_maturity"))
+    item = F.to_json(F.struct("id", F.col("product").alias("collection"), properties.alias("properties")))
+    first = load(s, d, "dataset_record").filter("loaded_at >= '2019-07-01'").groupBy("id").agg(F.min_by(F.struct("id", "product", "datetime_text", "maturity"), "record_no").alias("r")).select("r.*")
+    sent = catalogue.publications(events, first.filter("product IS NOT NULL AND datetime_text IS NOT NULL").select("id", item.alias("item")))
+    return sent.select("id", *[F.col("attributes")[k].alias(k) for k in ("action", "product", "datetime", "maturity")])
+
+
 @query("""SELECT moved, count(*) AS n, min(delivery_id) AS first_id FROM (SELECT delivery_id, row_number() OVER (ORDER BY delivery_id) <= 57 AS moved FROM sqs_message) GROUP BY moved""")
 def redrive_queue(s: SparkSession, d: str) -> DataFrame:
     """57 messages moved from a dead queue to the live one: appended there, then deleted here."""

@@ -224,11 +224,11 @@ def progress_marks(s: SparkSession, d: str) -> DataFrame:
     return catalogue.progress(e, F.dayofyear("ts") + 366 * F.year("ts"), "ts", 100, "event_id").select("n", "ts", F.round("elapsed", 6).alias("elapsed"))
 
 
-@query("SELECT 'datacube_index:' || count(*) || '|g|#app:queue,action:' || lower(trim(maturity)) AS line FROM dataset_record WHERE trim(maturity) <> '' GROUP BY lower(trim(maturity))")
+@query("SELECT 'catalogue_index:' || count(*) || '|g|#app:queue,action:' || lower(trim(maturity)) AS line FROM dataset_record WHERE trim(maturity) <> '' GROUP BY lower(trim(maturity))")
 def gauge_lines(s: SparkSession, d: str) -> DataFrame:
     """Counts as gauge reports."""
     judged = load(s, d, "dataset_record").filter("trim(maturity) <> ''").select(F.lower(F.trim("maturity")).alias("status"))
-    return catalogue.gauges(catalogue.counts(judged), "datacube_index", app="queue")
+    return catalogue.gauges(catalogue.counts(judged), "catalogue_index", app="queue")
 
 
 @query("""WITH w AS (SELECT event_type, ts, unnest(generate_series(0, 1)) AS k FROM events)

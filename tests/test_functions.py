@@ -98,7 +98,7 @@ def test_geo(spark):
     assert [round(v) for v in geo.web_mercator(180, 0)] == [20037508, 0]
 
 
-def test_geomedian_over_converges(spark):
+def test_geomedian_over_converges(spark, monkeypatch):
     far = [[0.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.2, 1.1], [900.0, 700.0], [800.0, 950.0]]
     near = [[0.0, 0.0], [0.0, 2.0], [2.0, 0.0], [2.0, 2.0]]
     df = spark.createDataFrame([("far", v) for v in far] + [("near", v) for v in near] + [("near", None)], "g string, v array<double>")
@@ -107,6 +107,9 @@ def test_geomedian_over_converges(spark):
     assert np.abs(got["near"] - 1.0).max() < 1e-9
     with pytest.raises(RuntimeError):
         raster.geomedian_over(df, "g", "v", steps=3)
+    monkeypatch.setattr(raster, "MOST_CENTRES", 1)
+    joined = {r["g"]: np.array(r["median"]) for r in raster.geomedian_over(df, "g", "v", eps=1e-5).collect()}
+    assert all(np.abs(joined[g] - got[g]).max() < 1e-9 for g in got)
 
 
 def test_raster(spark):
