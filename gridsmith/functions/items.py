@@ -47,9 +47,17 @@ def map_version(year: Column) -> Column:
     return F.when(year == "2021", release("2021")).otherwise(release("2020"))
 
 
+def once(value: Column) -> Column:
+    """The value, kept as a column of its own: the optimizer would copy it (and a whole parse) into everything that uses it.
+
+    The partition test is always true; being non-deterministic it must not be copied.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def read_items(df: DataFrame, text: str = "item") -> DataFrame:
     """Add ``it``, the parsed parts of an item; null if the text is no JSON object."""
-    return df.withColumn("it", F.from_json(F.col(text), ITEM))
+    return df.withColumn("it", once(F.from_json(F.col(text), ITEM)))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -185,7 +193,7 @@ def with_bands(df: DataFrame) -> DataFrame:
     The first grid of a band is the default one unless the product names one; of two assets of one name the last stands.
     """
     entry = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
-    df = df.withColumn("__all", _assets(F.col("it"))).withColumn("__b", F.filter("__all", lambda a: a["is_band"]))
+    df = df.withColumn("__all", once(_assets(F.col("it")))).withColumn("__b", once(F.filter("__all", lambda a: a["is_band"])))
     df = df.withColumn("__on", F.coalesce("default_grid", F.get("__b", F.lit(0))["grid"]))
     measured = F.transform("__b", lambda a: entry(a["name"], F.struct(a["path"].alias("path"), a["band"].alias("band"), F.when(a["grid"] != F.col("__on"), a["grid"]).alias("grid"))))
     firsts = F.filter("__b", lambda a, i: a["grid"].isNotNull() & ~F.exists(F.slice("__b", F.lit(1), i), lambda o: o["grid"] == a["grid"]))
@@ -208,7 +216,7 @@ def to_datasets(df: DataFrame, key: str, text: str = "item") -> DataFrame:
     box = geo.box_of_transform(F.from_json(p["proj:transform"], "array<double>"), F.from_json(p["proj:shape"], "array<double>"))
     ring = F.array(F.array(box["left"], box["bottom"]), F.array(box["left"], box["top"]), F.array(box["right"], box["top"]), F.array(box["right"], box["bottom"]), F.array(box["left"], box["bottom"]))
     from_grid = F.when(box["left"].isNotNull(), F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))))
-    items = items.withColumn("__p", properties(p))
+    items = items.withColumn("__p", once(properties(p)))
     own = F.map_filter("__p", lambda k, _: F.col("region").isNull() | (k != "odc:region_code"))
     return items.select(
         key, dataset_id(F.col("product"), F.col("it.id"), F.col("source_id")).alias("id"), "label", F.lower("product").alias("product"),
