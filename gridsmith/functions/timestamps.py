@@ -5,7 +5,8 @@ text and writes the groups, joined by a separator, into a single string; splitti
 components are checked against the calendar and assembled to microseconds since 1970 by integer day arithmetic.
 
 Defined results: null, blank, unreadable or impossible texts, texts on a local clock without a known zone and slashed
-dates without a known order give null. Fraction digits beyond six are cut off. A local time that occurs twice is its
+dates without a known order give null. So do forms that are none of the alternatives: dates without a time, week dates,
+month names before the day, zone names without brackets, second 60 and hour 24. Fraction digits beyond six are cut off. A local time that occurs twice is its
 first occurrence; a skipped one takes the offset before the change.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 import zoneinfo
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,11 @@ def is_canonical(text: Column) -> Column:
 
 
 def _known_zones() -> list[str]:
-    return sorted(z for z in zoneinfo.available_timezones() if "/" in z or z in ("UTC", "GMT"))
+    """Names of zones: Python's list, or the JVM's where the image has none."""
+    names = zoneinfo.available_timezones()
+    if not names and SparkContext._active_spark_context is not None:
+        names = set(SparkContext._active_spark_context._jvm.java.time.ZoneId.getAvailableZoneIds())
+    return sorted(z for z in names if "/" in z or z in ("UTC", "GMT"))
 
 
 def _let(value: str, name: str, body: str) -> str:

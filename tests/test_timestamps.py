@@ -98,3 +98,10 @@ def test_result_can_be_filtered_and_grouped(spark):
 @pytest.mark.parametrize("n", [0])
 def test_empty(spark, n):
     assert with_instant(spark.createDataFrame([], SCHEMA), "text", "u", "zone", "ord").count() == n
+
+
+def test_zones_of_an_image_without_a_zone_list(spark, monkeypatch):
+    from gridsmith.functions import timestamps
+
+    monkeypatch.setattr(timestamps.zoneinfo, "available_timezones", set)
+    assert {"Europe/Berlin", "UTC", "Australia/Sydney"} <= set(timestamps._known_zones())
