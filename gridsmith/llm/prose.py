@@ -13,7 +13,6 @@ _ASSIGNED = re.compile(r"""[=(,:\[{+]\s*[rbfuRBFU]{0,2}(?:\"{3}|'{3})""")
 _WORD = re.compile(r"[^\W\d_]+")
 # A line of prose: words with sentence punctuation and inline markup, nothing that code or data has.
 _PROSE = re.compile(r"^[^\W\d_(*_`'’-][^=;{}\[\]<>|\\@$%^&+~\"]*$")
-_SENTENCE_END = re.compile(r"[^\W\d_]{2}[.!?](?=[\s<*_`\"')­​‌‍⁠﻿]|$)")
 _SPLIT = re.compile(r"(?<=[.!?])[\"')*_`]*\s+")
 
 
@@ -93,7 +92,7 @@ def _is_prose(s: str) -> bool:
 
 def sentences(text: str | None) -> list[list[str]]:
     """The words (lower case) of each complete sentence of at least three words."""
-    if not text or not _SENTENCE_END.search(text):
+    if not text:
         return []
     out = []
     for p in paragraphs(text):

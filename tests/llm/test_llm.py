@@ -2,6 +2,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 
 from gridsmith.llm import leakage, prose, reading, tokenize
@@ -190,6 +191,37 @@ def test_no_labels(spark):
     assert reading.grade(d, reading.fit(d, spark.createDataFrame([], "doc_id long, reading_level int"))).count() == 0
 
 
+def test_training_takes_every_label(spark, monkeypatch):
+    """The old bound is set low: no label may be left out because of it, on the driver or spread over tasks."""
+    rnd = random.Random(8)
+    docs = [(i, corpus(rnd, 1 + i % 4, 25 if i != 7 else 3)) for i in range(90)] + [(5, corpus(rnd, 2, 25)), (6, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, 1 + (i + (i % 11 == 0)) % 4) for i in range(60)] + [(4, 3), (8, 4), (8, 2), (8, 2), (999, 2)], "doc_id long, reading_level int")
+    monkeypatch.setattr(reading, "MAX_TRAINING_DOCS", 8, raising=False)
+    rated = {}
+    for i, v in labels.collect():
+        rated.setdefault(i, []).append(v)
+    rows = sorted((i, t) for i, t in docs if i in rated and sum(map(len, prose.sentences(t))) >= reading.MIN_WORDS)
+    whole = reading.Model([prose.sentences(t) for _, t in rows], [sum(rated[i]) / len(rated[i]) for i, _ in rows])
+    want = sorted((i, int(v)) for i, t in docs if i != 7 and t for v in whole.levels([prose.sentences(t)]))
+    for chars, parts in ((reading.DRIVER_CHARS if hasattr(reading, "DRIVER_CHARS") else 0, 3_000_000), (0, 20_000)):
+        monkeypatch.setattr(reading, "DRIVER_CHARS", chars, raising=False)
+        monkeypatch.setattr(reading, "TASK_CHARS", parts, raising=False)
+        monkeypatch.setattr(reading, "ROWS", 50, raising=False)
+        m = reading.fit(d, labels)
+        assert m.vocabulary == whole.vocabulary and np.allclose(m.values, whole.values) and np.allclose(m.beta, whole.beta)
+        assert sorted(tuple(r) for r in reading.grade(d, m).collect()) == want
+
+
+def test_sentences_that_end_in_figures_or_brackets(spark):
+    rnd = random.Random(9)
+    texts = [(i, corpus(rnd, 1 + i % 4, 20)) for i in range(24)]
+    odd = " ".join(f"The village market opened again (as in the summer of {k})." for k in range(1900, 1910))
+    d = spark.createDataFrame([*texts, (100, odd), (101, odd.replace("(", "").replace(")", ""))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 + i % 4) for i in range(24)], "doc_id long, reading_level int")
+    assert {100, 101} <= {r[0] for r in reading.grade(d, reading.fit(d, labels)).collect()}
+
+
 def test_isotonic_map_is_monotone():
     rnd = random.Random(7)
     docs = [prose.sentences(corpus(rnd, 1 + i % 4, 20)) for i in range(60)]
